@@ -6,29 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spindrift.llm.mixing import OP7_SQL, op7_mix_sources
 from spindrift.llm.quality import op4_quality_rules
 from spindrift.llm.sharding import op6_byte_sharding
-
-OP6_SQL = r"""
-with sized as (
-  select doc_id, strlen(coalesce(text, '')) + 1 as size, coalesce(text, '') as t from documents
-), at as (
-  select doc_id, size, t, sum(size) over (order by doc_id rows unbounded preceding) - size as start, sum(size) over () as total from sized
-), cutted as (
-  select doc_id, size, t, least(start // greatest(1, -(-total // 8)), 7) as shard from at
-)
-select doc_id, cast(size as bigint) as size, 'bytes' as law, cast(shard as int) as shard,
-  cast(row_number() over (partition by shard order by doc_id) - 1 as bigint) as slot, cast(null as int) as grown_shard
-from cutted
-"""
-
+from spindrift.llm.urls import OP5_SQL, op5_url_filter
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_quality_rules": op4_quality_rules,
+        "op5_url_filter": op5_url_filter,
         "op6_byte_sharding": op6_byte_sharding,
+        "op7_mix_sources": op7_mix_sources,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_url_filter": OP5_SQL, "op7_mix_sources": OP7_SQL}
