@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spindrift.llm.jaccard import op8_ngram_jaccard
 from spindrift.llm.mixing import OP7_SQL, op7_mix_sources
 from spindrift.llm.packing import op1_best_fit_packing
 from spindrift.llm.quality import op4_quality_rules
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_url_filter": op5_url_filter,
         "op6_byte_sharding": op6_byte_sharding,
         "op7_mix_sources": op7_mix_sources,
+        "op8_ngram_jaccard": op8_ngram_jaccard,
     }
 
 
