@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spindrift.llm.jaccard import op8_ngram_jaccard
 from spindrift.llm.mixing import OP7_SQL, op7_mix_sources
+from spindrift.llm.neardup_vectors import op2_vector_neardup
 from spindrift.llm.packing import op1_best_fit_packing
 from spindrift.llm.quality import op4_quality_rules
 from spindrift.llm.sharding import op6_byte_sharding
@@ -16,6 +17,7 @@ from spindrift.llm.urls import OP5_SQL, op5_url_filter
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_vector_neardup": op2_vector_neardup,
         "op4_quality_rules": op4_quality_rules,
         "op5_url_filter": op5_url_filter,
         "op6_byte_sharding": op6_byte_sharding,
