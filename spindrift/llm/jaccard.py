@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm.bloom import passes, words_of
 from spindrift.llm.common import components, cut, keep
 from spindrift.llm.wordscan import grams, mix, slices, texts_of
 
@@ -40,10 +41,12 @@ COUNTERS = 1 << 20
 CHUNKS = 64
 #: Classes in a block of a large tile; classes and bytes of sets in a block of a large group.
 TILE_BLOCK = 1024
-GROUP_BLOCK = 1024
+GROUP_BLOCK = 256
 GROUP_BYTES = 16 << 20
-#: Bits of the widest signature; a set of n grams has the power of two near n, at least 64.
+#: Bits of the widest signature; a set of n grams has the power of two from n / 2, at least 64.
 MOST_BITS = 2048
+#: 64-bit blocks of the filter that keeps sets without candidates out of the last shuffle: 2 MB, whatever the input.
+FILTER_BLOCKS = 1 << 18
 
 _U = np.uint64
 
@@ -69,7 +72,7 @@ def sets_of(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def parity(grams_: np.ndarray) -> bytes:
     """Signature: bit i is the parity of the number of grams that hash to i.  Folding halves with xor gives the narrower one."""
-    bits = max(64, min(MOST_BITS, 1 << max(0, int(len(grams_) - 1).bit_length())))
+    bits = max(64, min(MOST_BITS, 1 << max(0, int(len(grams_) - 1).bit_length() - 1)))
     odd = np.bincount((mix(grams_) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -301,10 +304,16 @@ def candidates(entries: DataFrame, sigs: DataFrame, num: int, den: int) -> DataF
 
 def verified(sets: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) that connect all classes of groups(node, component) that are similar indeed."""
-    members = sets.where("grams is not null").select("class", "n", "grams").join(groups.select(F.col("node").alias("class"), F.col("component").alias("grp")), "class")
-    sizes = groups.join(sets.where("grams is not null").select(F.col("class").alias("node"), "n").distinct(), "node").groupBy(F.col("component").alias("grp")).agg(F.count("*").alias("held"), F.sum("n").alias("all_n"))
-    rows = members.join(sizes, "grp")
-    rows = blocked(rows, "grp", F.greatest(F.ceil(F.col("held") / GROUP_BLOCK), F.ceil(F.col("all_n") * 8 / GROUP_BYTES)))
+    size_of = sets.where("grams is not null").select(F.col("class").alias("node"), "n").distinct()
+    named = keep(groups.join(size_of, "node").select(F.col("node").alias("class"), F.col("component").alias("grp"), "n"))
+    held = named.groupBy("grp").agg(F.count("*").alias("held"), F.sum("n").alias("all_n"))
+    blocks = F.greatest(F.ceil(F.col("held") / GROUP_BLOCK), F.ceil(F.col("all_n") * 8 / GROUP_BYTES))
+    spread = blocked(named.join(held, "grp"), "grp", blocks).select("class", "grp", "a", "b")
+    maybe = (
+        sets.where("grams is not null").select("class", "n", "grams").withColumn("words", words_of(named, "class", FILTER_BLOCKS))
+        .where(F.expr(passes("class", "words", FILTER_BLOCKS))).drop("words")
+    )
+    rows = maybe.join(spread, "class")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Forest()

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.llm.bloom import passes, words_of
+
 MAX_BLOCKS = 1 << 20
 BITS_PER_RULE = 16
 
@@ -44,15 +46,8 @@ def path_of(url: str) -> Column:
     return F.regexp_extract(F.expr(f"coalesce({rest}, '')"), "^[^/?#]*([^?#]*)", 1)
 
 
-def _bits(key: str) -> str:
-    """Four bits of a block, from a second hash of the key."""
-    h = f"xxhash64({key}, 29)"
-    return "(" + " | ".join(f"shiftleft(1L, cast(shiftrightunsigned({h}, {6 * i}) & 63 as int))" for i in range(4)) + ")"
-
-
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise: str = "allow") -> DataFrame:
     """pages plus host, path, rule and verdict; rules(host, path, verdict)."""
-    spark = pages.sparkSession
     listed = (
         rules.where("host is not null and path is not null and verdict is not null")
         .select(F.concat("host", "path").alias("key"), F.length("path").alias("cut"), "verdict")
@@ -63,13 +58,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise:
     n_blocks = 1
     while n_blocks * 64 < n * BITS_PER_RULE and n_blocks < MAX_BLOCKS:
         n_blocks *= 2
-    block = f"cast(pmod(xxhash64({{}}), {n_blocks}) as int)"
-    words = (
-        listed.select(F.expr(block.format("key")).alias("block"), F.expr(_bits("key")).alias("word"))
-        .unionByName(spark.range(n_blocks).select(F.col("id").cast("int").alias("block"), F.lit(0).cast("long").alias("word")))
-        .groupBy("block").agg(F.bit_or("word").alias("word"))
-        .agg(F.expr("transform(array_sort(collect_list(struct(block, word))), x -> x.word)").alias("words"))
-    )
     if not n:
         cuts = []
     lengths = "array(" + ", ".join(map(str, cuts)) + ")" if cuts else "cast(array() as array<int>)"
@@ -81,8 +69,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise:
     names = pages.columns
     scored = (
         pages.select("*", host_of(f"`{url}`").alias("url_host"), path_of(f"`{url}`").alias("url_path"))
-        .withColumn("url_words", words.scalar())
-        .withColumn("url_hits", F.expr(f"if(url_host = '', cast(array() as array<string>), filter({keys}, k -> (element_at(url_words, {block.format('k')} + 1) & {_bits('k')}) = {_bits('k')}))"))
+        .withColumn("url_words", words_of(listed, "key", n_blocks))
+        .withColumn("url_hits", F.expr(f"if(url_host = '', cast(array() as array<string>), filter({keys}, k -> {passes('k', 'url_words', n_blocks)}))"))
         .drop("url_words")
     )
     none = scored.where(F.size("url_hits") == 0).withColumn("rule", F.lit(None).cast("string")).withColumn("rule_verdict", F.lit(None).cast("string"))
