@@ -18,7 +18,7 @@ from spindrift.llm.wordscan import Texts
 SLOTS = 1 << 21
 MOST_IDS = 1 << 24
 
-_open: dict[str, StretchTokenizer] = {}
+_open: dict[tuple[str, bool], StretchTokenizer] = {}
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -28,11 +28,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class StretchTokenizer:
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.clear()
 
@@ -75,11 +76,11 @@ class StretchTokenizer:
         return self.ids[where], per_text
 
 
-def tokenizer(path: str) -> StretchTokenizer:
-    """One for each Python worker and file."""
-    if path not in _open:
-        _open[path] = StretchTokenizer(path)
-    return _open[path]
+def tokenizer(path: str, plain: bool = False) -> StretchTokenizer:
+    """One for each Python worker and file; plain: a special token's name in a text is ordinary text."""
+    if (path, plain) not in _open:
+        _open[path, plain] = StretchTokenizer(path, plain)
+    return _open[path, plain]
 
 
 def with_end(ids: np.ndarray, per_text: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:

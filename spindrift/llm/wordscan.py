@@ -66,9 +66,9 @@ class Texts:
         """A-Z in lower case; other characters stay."""
         return Texts(LOWER[self.data], self.offsets)
 
-    def words(self) -> Texts:
-        """Fills starts, ends (byte positions) and doc (index of the text) of every word."""
-        word = IS_WORD[self.data]
+    def words(self, kind: np.ndarray = IS_WORD) -> Texts:
+        """Fills starts, ends (byte positions) and doc (index of the text) of every run of bytes of the kind."""
+        word = kind[self.data]
         inner = self.offsets[1:-1]
         inner = inner[(inner > 0) & (inner < len(word))]
         edge = np.zeros(len(word) + 1, dtype=bool)
