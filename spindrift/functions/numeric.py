@@ -89,7 +89,7 @@ def line_height(y0, y1) -> Column:
 
 def polygon_box(points) -> Column:
     """array<array<double>> of corners to [x0, y0, x1, y1]."""
-    xs, ys = (F.transform(_c(points), lambda p, i=i: p[i]) for i in (0, 1))
+    xs, ys = F.transform(_c(points), lambda p: p[0]), F.transform(_c(points), lambda p: p[1])
     return F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
 
 

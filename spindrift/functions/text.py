@@ -114,6 +114,17 @@ def text_layer(x, minimum: float = 0.95) -> Column:
     return F.struct(n.alias("script_words"), valid.alias("valid_words"), score.alias("score"), ((n > 0) & (score >= F.lit(minimum))).alias("trusted"))
 
 
+def text_layer_plain(x, minimum: float = 0.95) -> Column:
+    """The plainer check: fewer punctuation marks are stripped, two joiners removed, nothing composed."""
+    parts = F.split(F.coalesce(_c(x), F.lit("")), SPACE)
+    bare = F.transform(F.filter(F.transform(parts, lambda w: F.btrim(w, F.lit(".,;:!?\"'()[]"))), lambda w: w != ""), lambda w: F.translate(w, "\u200c\u200d", ""))
+    mine = F.filter(bare, has_script)
+    bad = lambda w: w.rlike(f"(^|[^{_C}])[{_D}{PULLI}]") | w.rlike(f"(^|[^{_C}{E_SIGN}]){AU_MARK}")
+    n, valid = F.size(mine), F.size(F.filter(mine, lambda w: w.rlike("^[\\x{0B80}-\\x{0BFF}]+$") & ~bad(w)))
+    score = F.coalesce(F.try_divide(valid.cast("double"), n.cast("double")), F.lit(0.0))
+    return F.struct(n.alias("script_words"), valid.alias("valid_words"), score.alias("score"), ((n > 0) & (score >= F.lit(minimum))).alias("trusted"))
+
+
 def ctc_decode(tokens, charset: str | list[str]) -> Column:
     """Greedy decoding of an array<int>: immediate repeats and blanks (0) go; id k is the k-th character."""
     p = _c(tokens)

@@ -73,7 +73,7 @@ def classification(labels: Column, probabilities: Column) -> Column:
     """array<struct(source_type, confidence, percentage)>, falling by the rounded confidence, first one first."""
     both = F.zip_with(labels, probabilities, lambda s, p: F.struct(s.alias("source_type"), p.alias("p")))
     known = F.filter(both, lambda x: x["source_type"].isNotNull() & x["p"].isNotNull())
-    rows = F.transform(known, lambda x, i: F.struct((-py_round(x["p"], 4)).alias("o"), i.alias("i"), x["source_type"].alias("source_type"), py_round(x["p"], 4).alias("confidence"), py_round(x["p"] * 100, 1).alias("percentage")))
+    rows = F.transform(known, lambda x, i: F.struct((-py_round(x["p"], 4)).alias("o"), i.alias("i"), x["source_type"].alias("source_type"), py_round(x["p"], 4).alias("confidence"), py_round(x["p"] * 100, 2).alias("percentage")))
     return F.transform(F.array_sort(rows), lambda x: F.struct(x["source_type"].alias("source_type"), x["confidence"].alias("confidence"), x["percentage"].alias("percentage")))
 
 

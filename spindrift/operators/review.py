@@ -15,7 +15,7 @@ def listing(documents: DataFrame, pages: DataFrame, limit: int = 100) -> DataFra
         raise ValueError("limit must be from 1 to 1000")
     verified = pages.where(F.col("review_status") == "verified").groupBy("doc_id").agg(F.count("*").alias("n"))
     newest = documents.orderBy(F.col("created_at").desc(), "id").limit(limit)
-    return newest.join(verified, "doc_id", "left").withColumn("verified_pages", F.coalesce("n", F.lit(0))).drop("n")
+    return newest.join(verified, "doc_id", "left").withColumn("verified_pages", F.coalesce("n", F.lit(0))).drop("n").orderBy(F.col("created_at").desc(), "id")
 
 
 def review_lines(documents: DataFrame, pages: DataFrame, lines: DataFrame) -> DataFrame:

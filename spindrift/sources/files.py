@@ -28,7 +28,7 @@ def upload_code(name, size, pdf: bool = False) -> Column:
 
 
 def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a landing folder with the reason why each isn't taken."""
+    """Files of a landing folder with the reason why each isn't taken; Spark's readers skip empty files."""
     return binary_files(spark, path).withColumn("code", upload_code("path", F.col("length")))
 
 
