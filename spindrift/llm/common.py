@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,26 +42,73 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
+#: Links that one task connects at the end; above that the graph is first made smaller, round by round.
+LAST_LINKS = 1 << 20
+
+
+class Forest:
+    """Union-find over 64-bit ids, smallest id as root."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        up = self.up
+        root = x
+        while up.get(root, root) != root:
+            root = up[root]
+        while up.get(x, x) != root:
+            up[x], x = root, up[x]
+        return root
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+
+    def batch(self) -> pa.RecordBatch:
+        """(a, b) of every node that isn't a root, and its root."""
+        pairs = [(x, self.find(x)) for x in list(self.up)]
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def _connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forest, roots = Forest(), set()
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            forest.join(a, b)
+    found = forest.batch()
+    yield found
+    roots = sorted(set(found.column("b").to_pylist()))
+    yield pa.RecordBatch.from_arrays([pa.array(roots, pa.int64()), pa.array(roots, pa.int64())], names=["a", "b"])
+
+
+def components(links: DataFrame, last: int | None = None) -> DataFrame:
     """Connected components of links(a long, b long): one row (node, component) for every node that
     has a link; component is the smallest node reachable.  Null ends are ignored.
 
-    Min-label propagation with pointer jumping.  A hub's links are folded by partial aggregates and
-    its joins are plain ones, which Spark can split; nothing is gathered on the driver but a count.
+    A round hangs each node below its smallest neighbour, shortens those paths and puts the roots in
+    place of the nodes, which at least halves the nodes that still have links.  A hub's links are folded
+    by partial aggregates, its joins are plain ones that Spark can split.  When at most ``last`` links
+    are left, one task connects them; only counts reach the driver.
     """
-    both = links.where("a is not null and b is not null and a <> b").select("a", "b")
-    both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("l")).select(F.col("a").alias("node"), "l"))
-    for _ in range(most_rounds):
-        near = (
-            both.join(label.select(F.col("node").alias("b"), "l"), "b")
-            .groupBy(F.col("a").alias("node")).agg(F.min("l").alias("m"))
-        )
-        # the label of the best label: paths halve each round
-        step = label.join(near, "node").select("node", "l", F.least("l", "m").alias("m"))
-        jump = label.select(F.col("node").alias("m"), F.col("l").alias("up"))
-        moved = cut(step.join(jump, "m", "left").select("node", F.least("m", F.coalesce("up", "m")).alias("l"), (F.col("l") > F.least("m", F.coalesce("up", "m"))).alias("moved")))
-        label = moved.select("node", "l")
-        if not moved.where("moved").limit(1).count():
-            return label.select("node", F.col("l").alias("component"))
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    # tables, not checkpoints: a checkpoint carries its plan's constraints along, and they multiply in a loop
+    last = LAST_LINKS if last is None else last
+    edges = keep(links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    rounds: list[DataFrame] = []
+    while edges.count() > last:
+        both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")).select("l.a", "l.b")
+        up = keep(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("up")).select(F.col("a").alias("node"), "up"))
+        moved = True
+        while moved:  # each step halves the way to the root
+            step = keep(up.join(up.select(F.col("node").alias("up"), F.col("up").alias("next")), "up").select("node", F.col("next").alias("up"), (F.col("next") < F.col("up")).alias("moved")))
+            up, moved = step.select("node", "up"), step.where("moved").limit(1).count() > 0
+        rounds.append(up)
+        for end in ("a", "b"):
+            edges = edges.join(up.select(F.col("node").alias(end), F.col("up").alias("to")), end).select(F.col("to").alias(end), "b" if end == "a" else "a")
+        edges = keep(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = keep(edges.repartition(1).mapInArrow(_connect, "a long, b long").select(F.col("a").alias("node"), F.col("b").alias("component")))
+    for up in reversed(rounds):
+        top = found.select(F.col("node").alias("up"), "component")
+        found = keep(up.join(top, "up", "left").select("node", F.coalesce("component", "up").alias("component")))
+    return found

@@ -1,18 +1,24 @@
 """N-gram Jaccard join: size-banded tiles, hashed bitmap signatures, exact intersection.
 
-1. One scan turns each whole text into its set of word k-grams (sorted 64-bit hashes) and, on the
-   way, counts every gram of every text in a fixed table of counters.
-2. Two sets of similarity t share a gram among the first n - ceil(t n) + 1 grams of either, in any
-   common order; the counters give the order, rarest first.  A tile is the classes of one such gram
-   and size band.  Tiles of one class vanish in a count.
-3. Inside a tile, sizes and the bit counts of folded parity signatures bound the overlap from above:
-   each bit that differs is an element that is not shared.  Pairs that pass connect candidates.
-4. Each connected group of candidates gets its sets, and sorted-array intersections decide exactly.
-
-Texts with equal sets are one class from the first step on, so copies cost one set per task.  Large
-tiles and groups are cut into blocks, one task for each pair of blocks, so no group has to fit a
-task.  Within a task pairs that are already connected are skipped.  No pair is ever emitted as such:
-links leave a task as a forest.
+1. A first scan counts the word k-grams of all texts in a table of fixed size, which tells grams that
+   very many texts share.
+2. A second turns each whole text into its set of k-grams (sorted 64-bit hashes).  Sizes are cut into
+   bands; two sets of similarity t stand in one band or in neighbours, and differ in at most
+   (1 - t) / (1 + t) of their summed sizes.  Each band deals the grams out, by hash, to more cells than
+   a pair of it can have differences, so a pair has cells with the same grams in both.  A tile is all
+   sets of one band with the same cell.  Cells that are empty or hold only very common grams are weak
+   and left out, unless a set has so many that a pair might share no other.  Sets too small for cells,
+   and bands where a cell would hold few grams (as at 0.8), take their first n - ceil(t n) + 1 grams, rarest first: one of them is shared by every pair.
+3. Cells travel as sorted columns of key digits and places, six bytes each, and only tell which sets
+   meet in a tile.  Sets that meet, directly or by way of others, are one group of candidates.
+4. Inside a group, sizes and the bit counts of folded parity signatures bound the overlap from above (a
+   bit that differs is a gram that isn't shared); pairs that pass make smaller groups.
+5. Those get their texts again, and sorted-array intersection decides.
+
+Texts with equal sets are one class.  A tile of many sets is folded in every chunk of the scan before
+anything is sent, and large groups are cut into blocks, one task for each pair of blocks, so nothing
+has to fit a task.  Within a task pairs that are already connected are skipped.  No pair is ever
+emitted as such: links leave a task as a forest.
 
 Sets and classes are known by 64-bit hashes.  Two of n different classes share one with a
 probability of about n * n / 2**65.
@@ -25,32 +31,124 @@ table gives no rows; input columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm.bloom import passes, words_of
-from spindrift.llm.common import components, cut, keep
+from spindrift.llm.common import Forest, components, cut, keep
 from spindrift.llm.wordscan import grams, mix, slices, texts_of
 
-#: Counters of grams; a power of two.  They give an order only, so collisions cost time, not results.
-COUNTERS = 1 << 20
-CHUNKS = 64
-#: Classes in a block of a large tile; classes and bytes of sets in a block of a large group.
-TILE_BLOCK = 1024
+#: Cells and documents of a chunk of the scan.
+CHUNK_CELLS = 1 << 19
+CHUNK_DOCS = 1 << 16
+#: Grams whose cells one task searches for tiles.  A set's links leave each task once, so tasks aren't made smaller than that.
+TILE_GRAMS = 20_000_000
+#: Sets in a block of a group of candidates, when signatures are compared.
+SIGNED_BLOCK = 1024
+#: Classes, and bytes of sets, in a block of a large group.
 GROUP_BLOCK = 256
 GROUP_BYTES = 16 << 20
-#: Bits of the widest signature; a set of n grams has the power of two from n / 2, at least 64.
-MOST_BITS = 2048
-#: 64-bit blocks of the filter that keeps sets without candidates out of the last shuffle: 2 MB, whatever the input.
-FILTER_BLOCKS = 1 << 18
+#: Bits of the widest signature; a set of n grams has the power of two from n, at least 64.
+MOST_BITS = 16384
+#: 64-bit blocks of the filter that keeps texts without candidates out of the last shuffle: 512 KB, whatever the input.
+FILTER_BLOCKS = 1 << 16
+#: Counters of grams, a power of two.  They tell what is common; collisions cost time, not results.
+COUNTERS = 1 << 20
+CHUNKS = 64
+#: Tiles are dealt to this many times the shuffle's partitions.
+BUCKETS_A_PARTITION = 8
+#: Bands whose smallest sets have fewer grams than this, in all or in a cell, use the first grams instead.
+LEAST_DEALT = 32
+LEAST_A_CELL = 3
 
 _U = np.uint64
 
 
+@lru_cache(maxsize=8)
+def bands(num: int, den: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first sizes of bands, one more than bands; cells of each, 0 for none and -1 for first grams; differences of each).
+
+    Covers sizes up to ``most``.  A band ends a few powers of 1 / t after it begins, so that a partner is
+    in the same band or the next.  There are more cells than differences, and so many more that a set
+    hardly ever has as many empty ones as a pair must have equal.
+    """
+    steps = 4 if 20 * num >= 17 * den else 2
+    first, cells, differ = [1], [], []
+    while first[-1] <= most:
+        e = first[-1]
+        for _ in range(steps):
+            e = e * den // num + 1
+        k = 2 * (e - 1) * (den - num) // (den + num)
+        least = -(-num * first[-1] // den)
+        m = k + 1 if k else 0
+        while k:
+            empty = m * math.exp(-least / m)
+            want = k + 2 + math.ceil(empty + 4 * math.sqrt(empty))
+            if want <= m:
+                break
+            m = want
+            if m * LEAST_A_CELL > least or least < LEAST_DEALT:
+                m = -1
+                break
+        first.append(e)
+        cells.append(m)
+        differ.append(k)
+    return np.array(first), np.array([*cells, 0]), np.array([*differ, 0])
+
+
+def cells_of(g: np.ndarray, n: np.ndarray, num: int, den: int, counters: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the set, key) of all cells of sets g of sizes n, each sorted; counters of all grams where known."""
+    seen = np.zeros(len(g), dtype=np.uint32) if counters is None else counters[(g & _U(COUNTERS - 1)).astype(np.int64)]
+    usual = 0.0 if counters is None else float(counters.mean())
+    rare = seen <= usual + 3 * math.sqrt(usual) + 3
+    first, cells, differ = bands(num, den, 1 << max(10, int(n.max(initial=1)).bit_length() + 1))
+    ends = np.cumsum(n)
+    doc = np.repeat(np.arange(len(n)), n)
+    # place in order of the counters, then of the hashes: one order for all sets
+    place = np.empty(len(g), dtype=np.int64)
+    place[np.lexsort((seen, doc))] = np.arange(len(g)) - np.repeat(ends - n, n)
+    own = np.searchsorted(first, n, side="right") - 1
+    who, keys = [], []
+    for up in (0, 1):
+        band = np.maximum(own + up, 0)
+        # the next band's pairs, if a partner can be there
+        goes = (n > 0) & ((up == 0) | (n * den >= num * first[np.minimum(band, len(first) - 1)]))
+        m = np.where(goes, cells[np.minimum(band, len(cells) - 1)], 0)
+        few = np.flatnonzero((m[doc] == -1) & (place < (n - -(-num * n // den) + 1)[doc]))
+        who.append(doc[few])
+        keys.append(mix(g[few] ^ mix(band[doc[few]].astype(np.uint64) + _U(1 << 40))))
+        dealt = np.flatnonzero(m > 0)
+        if not len(dealt):
+            continue
+        base = np.zeros(len(n), dtype=np.int64)
+        base[dealt] = np.cumsum(m[dealt]) - m[dealt]
+        at = np.flatnonzero((m > 0)[doc])
+        d = doc[at]
+        h = mix(g[at] + _U(0x5851F42D4C957F2D))
+        cell = base[d] + (h % m[d].astype(np.uint64)).astype(np.int64)
+        total = int(m[dealt].sum())
+        # exact sums of 64-bit hashes, as sums of halves that stay below 2**53
+        low = np.bincount(cell, weights=(h & _U(0xFFFFFFFF)).astype(np.float64), minlength=total).astype(np.uint64)
+        high = np.bincount(cell, weights=(h >> _U(32)).astype(np.float64), minlength=total).astype(np.uint64)
+        held = np.bincount(cell[rare[at]], minlength=total)
+        owner = np.repeat(dealt, m[dealt])
+        number = np.arange(total) - base[owner]
+        # a set with that many weak cells might share nothing but weak ones: it shows them too
+        bare = np.bincount(owner[held == 0], minlength=len(n)) >= m - differ[np.minimum(band, len(differ) - 1)]
+        show = (held > 0) | bare[owner]
+        name = mix((band[owner].astype(np.uint64) << _U(32)) + number.astype(np.uint64))
+        who.append(owner[show])
+        keys.append(mix((low + (high << _U(32))) ^ name)[show])
+    return np.concatenate(who), np.concatenate(keys)
+
+
 def sets_of(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the k-gram sets one after another, each sorted; number in each)."""
     t = texts_of(column).lowered().words()
@@ -72,7 +170,7 @@ def sets_of(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def parity(grams_: np.ndarray) -> bytes:
     """Signature: bit i is the parity of the number of grams that hash to i.  Folding halves with xor gives the narrower one."""
-    bits = max(64, min(MOST_BITS, 1 << max(0, int(len(grams_) - 1).bit_length() - 1)))
+    bits = max(64, min(MOST_BITS, 1 << max(0, int(len(grams_) - 1).bit_length())))
     odd = np.bincount((mix(grams_) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -84,110 +182,169 @@ def _fold(sig: np.ndarray, words: int) -> np.ndarray:
     return sig
 
 
-class Forest:
-    """Union-find over 64-bit ids, smallest id as root."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        up = self.up
-        root = x
-        while up.get(root, root) != root:
-            root = up[root]
-        while up.get(x, x) != root:
-            up[x], x = root, up[x]
-        return root
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
+SCAN = "doc_id long, n long, class long, node long, bucket int, cells binary"
 
-    def batch(self) -> pa.RecordBatch:
-        pairs = [(x, self.find(x)) for x in list(self.up)]
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
+def _classes(g: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A name for each set; order doesn't matter in a set, so a sum of mixed grams gives it."""
+    ends = np.cumsum(n)
+    sums = np.zeros(len(g) + 1, dtype=np.uint64)
+    np.cumsum(mix(g), out=sums[1:])
+    return mix((sums[ends] - sums[ends - n]) ^ (n.astype(np.uint64) * _U(0x9E3779B97F4A7C15))).view(np.int64)
 
-SETS = "doc_id long, n long, class long, grams binary"
 
-
-def scan_sets(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """Table SETS, a row for each document, grams only with the first of its class in a task; and the counters of all grams."""
+def count_grams(docs: DataFrame, k: int) -> np.ndarray:
+    """How many sets hold the grams of each counter, copies inside a chunk counted once."""
+    step = COUNTERS // CHUNKS
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         counters = np.zeros(COUNTERS, dtype=np.uint32)
+        seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text"):
                 g, n = sets_of(part.column("text"), k)
-                ends = np.cumsum(n)
-                sums = np.zeros(len(g) + 1, dtype=np.uint64)
-                np.cumsum(mix(g), out=sums[1:])
-                # order doesn't matter in a set, so a sum of mixed grams names it
-                name = mix((sums[ends] - sums[ends - n]) ^ (n.astype(np.uint64) * _U(0x9E3779B97F4A7C15))).view(np.int64)
-                first = []
-                for c, m in zip(name.tolist(), n.tolist(), strict=True):
-                    first.append(m > 0 and c not in seen)
-                    if m:
+                name = _classes(g, n).tolist()
+                if len(seen) > CHUNK_DOCS:
+                    seen.clear()
+                fresh = np.zeros(len(n), dtype=bool)
+                for i, c in enumerate(name):
+                    if c not in seen:
                         seen.add(c)
-                raw = g.tobytes()
-                held = [raw[8 * (e - m) : 8 * e] if f else None for e, m, f in zip(ends.tolist(), n.tolist(), first, strict=True)]
-                once = np.repeat(np.array(first, dtype=bool), n)
-                counters += np.bincount((g[once] & _U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(name), pa.array(held, pa.binary())], names=["doc_id", "n", "class", "grams"])
-        step = COUNTERS // CHUNKS
-        rows = [(None, -1 - i, None, pa.compress(counters[i * step : (i + 1) * step].tobytes(), codec="zstd", asbytes=True)) for i in range(CHUNKS)]
+                        fresh[i] = True
+                at, times = np.unique((g[np.repeat(fresh, n)] & _U(COUNTERS - 1)).astype(np.int64), return_counts=True)
+                counters[at] += times.astype(np.uint32)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "n", "class", "grams"])
-
-    table = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, SETS))
-    width = 4 * (COUNTERS // CHUNKS)
+            blobs = [pa.compress(counters[i * step : (i + 1) * step].tobytes(), codec="zstd", asbytes=True) for i in range(CHUNKS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(blobs, pa.binary())], names=["chunk", "counts"])
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
-        total = np.zeros(COUNTERS // CHUNKS, dtype=np.uint64)
-        for blob in table.column("grams"):
-            total += np.frombuffer(pa.decompress(blob.as_py(), decompressed_size=width, codec="zstd", asbytes=True), dtype=np.uint32)
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())})
+        total = np.zeros(step, dtype=np.uint64)
+        for blob in table.column("counts"):
+            total += np.frombuffer(pa.decompress(blob.as_py(), decompressed_size=4 * step, codec="zstd", asbytes=True), dtype=np.uint32)
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())})
 
-    # CHUNKS rows of fixed size, whatever the input
-    parts = table.where("n < 0").select((-1 - F.col("n")).alias("chunk"), "grams").groupBy("chunk").applyInArrow(add, "chunk long, counts binary").collect()
+    # CHUNKS rows of fixed size reach the driver, whatever the input
+    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(scan, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
     counters = np.zeros(COUNTERS, dtype=np.uint32)
     for r in parts:
-        counters[r.chunk * (COUNTERS // CHUNKS) : (r.chunk + 1) * (COUNTERS // CHUNKS)] = np.frombuffer(r.counts, dtype=np.uint32)
-    return table.where("n >= 0"), counters
+        counters[r.chunk * step : (r.chunk + 1) * step] = np.frombuffer(r.counts, dtype=np.uint32)
+    return counters
 
 
-def tile_entries(sets: DataFrame, counters: np.ndarray, num: int, den: int) -> DataFrame:
-    """(gram, class): the prefix of each class, rarest grams first."""
-    held = sets.sparkSession.sparkContext.broadcast(counters)  # COUNTERS numbers
+def scan(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Table SCAN: a row for each document (bucket null; cells is the signature, once for each node), rows of cells (bucket not null; node is that of
+    place 0), and links between nodes that met in a chunk (n = -2; node and class are the ends).
+
+    A node is a set in a chunk: a 40-bit task number and a running number.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    digits = max(1, (parts * BUCKETS_A_PARTITION - 1).bit_length())
+    counted = docs.sparkSession.sparkContext.broadcast(count_grams(docs, k))  # COUNTERS numbers
+
+    def rows(doc_id, n, name, node, bucket, blob) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip((doc_id, n, name, node, bucket, blob), kinds, strict=True)], names=["doc_id", "n", "class", "node", "bucket", "cells"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 40
+        who: list[np.ndarray] = []
+        keys: list[np.ndarray] = []
+        seen: dict[int, int] = {}
+        held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal base, held
+            w, x = np.concatenate(who), np.concatenate(keys)
+            order = np.lexsort((w, x))
+            w, x = w[order], x[order]
+            same = x[1:] == x[:-1]
+            met = np.unique(np.stack([w[:-1][same], w[1:][same]], axis=1), axis=0)
+            forest = Forest()
+            for a, b in met[met[:, 0] != met[:, 1]].tolist():
+                forest.join(a, b)
+            links = forest.batch()
+            if links.num_rows:
+                a, b = (links.column(c).to_numpy() + base for c in ("a", "b"))
+                none = pa.nulls(len(a))
+                yield rows(none.cast(pa.int64()), np.full(len(a), -2), b, a, none.cast(pa.int32()), none.cast(pa.binary()))
+            once = np.append(True, ~same) if len(x) else np.zeros(0, dtype=bool)
+            w, x = w[once].astype("<u2"), x[once]
+            cuts = np.searchsorted(x >> _U(64 - digits), np.arange((1 << digits) + 1, dtype=np.uint64))
+            rest = (x >> _U(32 - digits)).astype("<u4")
+            for lo in range(0, 1 << digits, 64):
+                full = [b for b in range(lo, min(lo + 64, 1 << digits)) if cuts[b] < cuts[b + 1]]
+                blobs = [rest[cuts[b] : cuts[b + 1]].tobytes() + w[cuts[b] : cuts[b + 1]].tobytes() for b in full]
+                if full:
+                    none = pa.nulls(len(full), pa.int64())
+                    yield rows(none, np.full(len(full), -1), none, np.full(len(full), base), full, blobs)
+            base += len(seen)
+            held = 0
+            who.clear()
+            keys.clear()
+            seen.clear()
 
-    def cut_prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = held.value
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                out, who = [], []
-                for c, raw in zip(part.column("class").to_pylist(), part.column("grams"), strict=True):
-                    g = np.frombuffer(raw.as_buffer(), dtype=np.uint64)
-                    size = len(g) - -(-num * len(g) // den) + 1
-                    order = count[(g & _U(COUNTERS - 1)).astype(np.int64)].astype(np.uint64)
-                    # by counter, then by hash: one order for all sets
-                    order = (order << _U(32)) | (mix(g) >> _U(32))
-                    out.append(g[np.argpartition(order, size - 1)[:size]] if size < len(g) else g)
-                    who.append(np.full(len(out[-1]), c, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(who))], names=["gram", "class"])
-
-    return sets.where("grams is not null").select("class", "grams").mapInArrow(cut_prefix, "gram long, class long")
-
-
-def signatures(sets: DataFrame) -> DataFrame:
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batch, "text"):
+                g, n = sets_of(part.column("text"), k)
+                name = _classes(g, n)
+                node, fresh = [], np.zeros(len(n), dtype=bool)
+                if len(seen) + len(n) > CHUNK_DOCS:
+                    yield from flush()
+                for i, (c, size) in enumerate(zip(name.tolist(), n.tolist(), strict=True)):
+                    if size and c not in seen:
+                        seen[c] = len(seen)
+                        fresh[i] = True
+                    node.append(base + seen[c] if size else None)
+                signed = [parity(x) if f else None for x, f in zip(np.split(g, np.cumsum(n)[:-1]), fresh.tolist(), strict=True)]
+                yield rows(part.column("doc_id"), n, name, node, pa.nulls(len(n), pa.int32()), pa.array(signed, pa.binary()))
+                if fresh.any():
+                    w, x = cells_of(g[np.repeat(fresh, n)], n[fresh], num, den, counted.value)
+                    own = np.array([seen[c] for c in name[fresh].tolist()], dtype=np.int64)
+                    who.append(own[w])
+                    keys.append(x)
+                    held += len(x)
+                if held >= CHUNK_CELLS:
+                    yield from flush()
+        if who:
+            yield from flush()
+
+    return keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCAN))
+
+
+def candidates(scanned: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes that connect all that meet in a tile."""
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+
+        def meet(blobs: list[tuple[int, bytes]]) -> None:
+            if len(blobs) < 2:  # a chunk has linked its own
+                return
+            size = [len(b) // 6 for _, b in blobs]
+            key = np.concatenate([np.frombuffer(b, dtype="<u4", count=n) for (_, b), n in zip(blobs, size, strict=True)])
+            node = np.concatenate([np.frombuffer(b, dtype="<u2", offset=4 * n) + np.int64(base) for (base, b), n in zip(blobs, size, strict=True)])
+            order = np.argsort(key, kind="stable")
+            key, node = key[order], node[order]
+            same = key[1:] == key[:-1]
+            for a, b in np.unique(np.stack([node[:-1][same], node[1:][same]], axis=1), axis=0).tolist():
+                if a != b:
+                    forest.join(a, b)
+
+        last, blobs = None, []
         for batch in batches:
-            sigs = [parity(np.frombuffer(raw.as_buffer(), dtype=np.uint64)) for raw in batch.column("grams")]
-            yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("n"), pa.array(sigs, pa.binary())], names=["class", "n", "sig"])
+            for bucket, base, raw in zip(batch.column("bucket").to_pylist(), batch.column("node").to_pylist(), batch.column("cells"), strict=True):
+                if bucket != last:
+                    meet(blobs)
+                    last, blobs = bucket, []
+                blobs.append((base, raw.as_py()))
+        meet(blobs)
+        yield forest.batch()
 
-    return sets.where("grams is not null").select("class", "n", "grams").mapInArrow(sign, "class long, n long, sig binary").dropDuplicates(["class"])
+    grams_ = scanned.where("n > 0").agg(F.sum("n")).first()[0] or 0
+    parts = max(1, -(-grams_ // TILE_GRAMS))
+    dealt = scanned.where("bucket is not null").select("bucket", "node", "cells").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    met = dealt.mapInArrow(tiles, "a long, b long")
+    return met.unionByName(scanned.where("n = -2").select(F.col("node").alias("a"), F.col("class").alias("b")))
 
 
 def blocked(rows: DataFrame, key: str, blocks, id_: str = "class") -> DataFrame:
@@ -279,49 +436,58 @@ def _link(ids: list[int], n: np.ndarray, sigs: list[bytes], num: int, den: int,
                 root[root == high] = low
 
 
-def candidates(entries: DataFrame, sigs: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between classes that connect all pairs that may be similar."""
-    sizes = entries.groupBy("gram").agg(F.count("*").alias("held"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").drop("low", "high")
-    rows = entries.join(sizes, "gram").join(sigs, "class")
-    rows = blocked(rows, "gram", F.ceil(F.col("held") / TILE_BLOCK))
+def narrowed(scanned: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between classes that connect all pairs inside groups(node, component) that the bounds let pass."""
+    nodes = scanned.where("n > 0 and bucket is null and cells is not null").select("node", "class", "n", F.col("cells").alias("sig"))
+    held = groups.groupBy(F.col("component").alias("grp")).agg(F.count("*").alias("held")).where("held > 1")
+    members = groups.select("node", F.col("component").alias("grp")).join(held, "grp").join(nodes, "node")
+    rows = blocked(members, "grp", F.ceil(F.col("held") / SIGNED_BLOCK))
 
-    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
-        for t, starts in grouped(batches, ["gram", "a", "b"]):
+        for t, starts in grouped(batches, ["grp", "a", "b"]):
             ids, n, sigs = t.column("class").to_pylist(), t.column("n").to_numpy(), t.column("sig").to_pylist()
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
-                if e - s > 1:
-                    first = {c: i for i, c in enumerate(ids[s:e], s)}
-                    if len(first) > 1:
-                        at = list(first.values())
-                        _link(list(first), n[at], [sigs[i] for i in at], num, den, forest)
+                first = {c: i for i, c in enumerate(ids[s:e], s)}
+                if len(first) > 1:
+                    at = list(first.values())
+                    _link(list(first), n[at], [sigs[i] for i in at], num, den, forest)
         yield forest.batch()
 
-    parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    dealt = rows.select("gram", "a", "b", "class", "n", "sig").repartition(int(parts), "gram", "a", "b").sortWithinPartitions("gram", "a", "b")
-    return dealt.mapInArrow(tiles, "a long, b long").where("a <> b")
+    parts = int(scanned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("grp", "a", "b", "class", "n", "sig").repartition(parts, "grp", "a", "b").sortWithinPartitions("grp", "a", "b")
+    return dealt.mapInArrow(compare, "a long, b long")
 
 
-def verified(sets: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) that connect all classes of groups(node, component) that are similar indeed."""
-    size_of = sets.where("grams is not null").select(F.col("class").alias("node"), "n").distinct()
-    named = keep(groups.join(size_of, "node").select(F.col("node").alias("class"), F.col("component").alias("grp"), "n"))
-    held = named.groupBy("grp").agg(F.count("*").alias("held"), F.sum("n").alias("all_n"))
+def verified(docs: DataFrame, scanned: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect all classes of groups(node: a class, component) that are similar indeed."""
+    no_id = -(1 << 63)
+    classes = scanned.where("n > 0 and bucket is null").groupBy("class").agg(F.first("n").alias("n"), F.min(F.coalesce("doc_id", F.lit(no_id))).alias("one"))
+    named = keep(groups.select(F.col("node").alias("class"), F.col("component").alias("grp")).join(classes, "class"))
+    held = named.groupBy("grp").agg(F.count("*").alias("held"), F.sum("n").alias("all_n")).where("held > 1")
     blocks = F.greatest(F.ceil(F.col("held") / GROUP_BLOCK), F.ceil(F.col("all_n") * 8 / GROUP_BYTES))
-    spread = blocked(named.join(held, "grp"), "grp", blocks).select("class", "grp", "a", "b")
-    maybe = (
-        sets.where("grams is not null").select("class", "n", "grams").withColumn("words", words_of(named, "class", FILTER_BLOCKS))
-        .where(F.expr(passes("class", "words", FILTER_BLOCKS))).drop("words")
+    spread = blocked(named.join(held, "grp"), "grp", blocks).select("one", "class", "grp", "a", "b")
+    picked = named.join(held, "grp", "left_semi")
+    texts = (
+        docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(no_id)).alias("one"), F.col("text").cast("string").alias("text"))
+        .withColumn("words", words_of(picked, "one", FILTER_BLOCKS)).where(F.expr(passes("one", "words", FILTER_BLOCKS))).drop("words")
     )
-    rows = maybe.join(spread, "class")
+    rows = texts.join(spread, "one")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Forest()
         for t, starts in grouped(batches, ["grp", "a", "b"]):
-            ids, n = t.column("class").to_pylist(), t.column("n").to_numpy()
-            held = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in t.column("grams").combine_chunks()] if t.num_rows else []
+            ids, n, held, named_ = t.column("class").to_pylist(), [], [], []
+            for whole in t.select(["text"]).to_batches():
+                for part in slices(whole, "text"):
+                    g, size = sets_of(part.column("text"), k)
+                    n.append(size)
+                    named_.append(_classes(g, size))
+                    held.extend(np.split(g, np.cumsum(size)[:-1]))
+            n, real = np.concatenate(n), np.concatenate(named_).tolist()
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
-                first = {c: i for i, c in enumerate(ids[s:e], s)}
+                # rows that share a doc_id may bring other texts
+                first = {c: i for i, c in enumerate(ids[s:e], s) if real[i] == c}
                 if len(first) > 1:
                     at = list(first.values())
                     sets_ = [held[i] for i in at]
@@ -340,24 +506,21 @@ def verified(sets: DataFrame, groups: DataFrame, num: int, den: int) -> DataFram
         yield out.batch()
 
     parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    dealt = rows.select("grp", "a", "b", "class", "n", "grams").repartition(int(parts), "grp", "a", "b").sortWithinPartitions("grp", "a", "b")
+    dealt = rows.select("grp", "a", "b", "class", "text").repartition(int(parts), "grp", "a", "b").sortWithinPartitions("grp", "a", "b")
     return dealt.mapInArrow(check, "a long, b long").where("a <> b")
 
 
 def similar_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(SETS rows of all documents, (class, component) of classes that are linked with another)."""
-    sets, counters = scan_sets(docs, k)
-    sigs = signatures(sets)
-    entries = tile_entries(sets, counters, num, den)
-    groups = components(candidates(entries, sigs, num, den))
-    links = cut(verified(sets, groups, num, den))
-    return sets, components(links).withColumnRenamed("node", "class")
+    """(documents(doc_id, n, class), (class, component) of classes that are linked with another)."""
+    scanned = scan(docs, k, num, den)
+    groups = components(narrowed(scanned, components(candidates(scanned)), num, den))
+    links = cut(verified(docs, scanned, groups, k, num, den))
+    return scanned.where("n >= 0").select("doc_id", "n", "class"), components(links).withColumnRenamed("node", "class")
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents whose k-gram sets have overlap / union >= num / den are linked."""
-    sets, found = similar_classes(docs, k, num, den)
-    rows = sets.select("doc_id", "n", "class")
+    rows, found = similar_classes(docs, k, num, den)
     classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("low"))
     placed = classes.join(found, "class", "left").withColumn("grp", F.coalesce("component", "class"))
     lows = placed.groupBy("grp").agg(F.min("low").alias("component_id"))
@@ -374,7 +537,12 @@ def keep_first(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataF
     found = cut(jaccard_join(docs, k, num, den))
     go = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("gone_id")).distinct()
     id_ = F.col("doc_id").cast("long")
-    left = docs.join(go, id_.eqNullSafe(F.col("gone_id")), "left_anti")
+    # most rows stay where they are: only those that a filter of fixed size takes for gone are joined
+    no_id = -(1 << 63)
+    marked = docs.withColumn("_maybe_words", words_of(go.select(F.coalesce("gone_id", F.lit(no_id)).alias("k")), "k", FILTER_BLOCKS)).withColumn("_maybe_key", F.coalesce(id_, F.lit(no_id)))
+    maybe = F.expr(passes("_maybe_key", "_maybe_words", FILTER_BLOCKS))
+    stay = marked.where(~maybe).drop("_maybe_words", "_maybe_key")
+    left = stay.unionByName(marked.where(maybe).drop("_maybe_words", "_maybe_key").join(go, id_.eqNullSafe(F.col("gone_id")), "left_anti"))
     twice = cut(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice_id")))
     if not twice.limit(1).count():
         return left

@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import components, cut, keep
-from spindrift.llm.jaccard import Forest, blocked, grouped
+from spindrift.llm.common import Forest, components, cut, keep
+from spindrift.llm.jaccard import blocked, grouped
 
 THRESHOLD = 0.93
 #: Vectors that the rotation is fitted on, the first by a hash: the only bound here.

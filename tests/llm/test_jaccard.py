@@ -48,8 +48,9 @@ def variants(seed, groups=25):
 
 @pytest.mark.parametrize(("k", "num", "den"), [(3, 9, 10), (5, 4, 5), (1, 1, 2)])
 def test_against_all_pairs(spark, k, num, den, monkeypatch):
-    monkeypatch.setattr(J, "TILE_BLOCK", 3)
     monkeypatch.setattr(J, "GROUP_BLOCK", 2)
+    monkeypatch.setattr(J, "SIGNED_BLOCK", 3)
+    monkeypatch.setattr(J, "CHUNK_CELLS", 900)
     rows = variants(k)
     got = J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k, num, den).collect()
     assert Counter(tuple(r) for r in got) == model(rows, k, num, den)
@@ -75,8 +76,10 @@ def test_components_of_long_paths(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(0, 300)] + [(rng.randint(400, 900), rng.randint(400, 900)) for _ in range(400)] + [(1000, 1001 + i) for i in range(200)] + [(None, 3), (5, 5)]
     want = components({x for p in links for x in p if x is not None}, [p for p in links if None not in p])
-    got = {r.node: r.component for r in connect(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {n: want[n] for n in got} and set(got) == {x for a, b in links if a is not None and a != b for x in (a, b)}
+    for last in (1 << 20, 50, 0):
+        got = {r.node: r.component for r in connect(spark.createDataFrame(links, "a long, b long"), last).collect()}
+        assert got == {n: want[n] for n in got} and set(got) == {x for a, b in links if a is not None and a != b for x in (a, b)}
+    assert connect(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_signatures_bound_from_above():
@@ -95,3 +98,36 @@ def test_grams_of_short_texts():
     g, n = J.sets_of(pa.array(["a b", "a b", "b a", "A  b", "", None, "a", "a b c", "a b c d"]), 3)
     assert n.tolist() == [1, 1, 1, 1, 0, 0, 1, 1, 2]
     assert g[0] == g[1] == g[3] and len(set(g.tolist())) == 5
+
+
+@pytest.mark.parametrize(("num", "den"), [(9, 10), (4, 5), (1, 2), (19, 20)])
+def test_similar_sets_share_a_cell(num, den):
+    import numpy as np
+
+    rng = np.random.default_rng(num)
+    for size in [1, 2, 5, 9, 10, 31, 40, 100, 333, 700, 5000]:
+        for _ in range(25):
+            a = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+            drop = rng.integers(0, max(1, round(size * (den - num) / den)) + 1)
+            b = np.concatenate([a[drop:], rng.integers(0, 1 << 63, rng.integers(0, max(1, size // 8) + 1), dtype=np.uint64)])
+            a, b = np.unique(a), np.unique(b)
+            same = len(np.intersect1d(a, b))
+            if len(b) and den * same >= num * (len(a) + len(b) - same) and not np.array_equal(a, b):
+                who, key = J.cells_of(np.concatenate([a, b]), np.array([len(a), len(b)]), num, den)
+                assert set(key[who == 0].tolist()) & set(key[who == 1].tolist()), (size, len(a), len(b), same)
+
+
+def test_bands_keep_partners_near():
+    for num, den in ((9, 10), (4, 5), (1, 2), (99, 100)):
+        first, cells, differ = J.bands(num, den, 100_000)
+        for n in range(1, 4000):
+            i = int(np_search(first, n))
+            far = n * den // num
+            assert far < first[i + 2] and 2 * (first[i + 1] - 1) * (den - num) // (den + num) == differ[i]
+            assert cells[i] == -1 or cells[i] > differ[i] or differ[i] == 0
+
+
+def np_search(first, n):
+    import numpy as np
+
+    return np.searchsorted(first, n, side="right") - 1
