@@ -92,9 +92,9 @@ def components(links: DataFrame, last: int | None = None) -> DataFrame:
     by partial aggregates, its joins are plain ones that Spark can split.  When at most ``last`` links
     are left, one task connects them; only counts reach the driver.
     """
-    # tables, not checkpoints: a checkpoint carries its plan's constraints along, and they multiply in a loop
+    # in the rounds tables, not checkpoints: a checkpoint carries its plan's constraints along, and they multiply
     last = LAST_LINKS if last is None else last
-    edges = keep(links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = cut(links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     rounds: list[DataFrame] = []
     while edges.count() > last:
         both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")).select("l.a", "l.b")
@@ -107,7 +107,7 @@ def components(links: DataFrame, last: int | None = None) -> DataFrame:
         for end in ("a", "b"):
             edges = edges.join(up.select(F.col("node").alias(end), F.col("up").alias("to")), end).select(F.col("to").alias(end), "b" if end == "a" else "a")
         edges = keep(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    found = keep(edges.repartition(1).mapInArrow(_connect, "a long, b long").select(F.col("a").alias("node"), F.col("b").alias("component")))
+    found = cut(edges.repartition(1).mapInArrow(_connect, "a long, b long").select(F.col("a").alias("node"), F.col("b").alias("component")))
     for up in reversed(rounds):
         top = found.select(F.col("node").alias("up"), "component")
         found = keep(up.join(top, "up", "left").select("node", F.coalesce("component", "up").alias("component")))

@@ -46,7 +46,7 @@ from spindrift.llm.common import Forest, components, cut, keep
 from spindrift.llm.wordscan import grams, mix, slices, texts_of
 
 #: Cells and documents of a chunk of the scan.
-CHUNK_CELLS = 1 << 19
+CHUNK_CELLS = 1 << 18
 CHUNK_DOCS = 1 << 16
 #: Grams whose cells one task searches for tiles.  A set's links leave each task once, so tasks aren't made smaller than that.
 TILE_GRAMS = 20_000_000
@@ -463,7 +463,7 @@ def verified(docs: DataFrame, scanned: DataFrame, groups: DataFrame, k: int, num
     """Links (a, b) that connect all classes of groups(node: a class, component) that are similar indeed."""
     no_id = -(1 << 63)
     classes = scanned.where("n > 0 and bucket is null").groupBy("class").agg(F.first("n").alias("n"), F.min(F.coalesce("doc_id", F.lit(no_id))).alias("one"))
-    named = keep(groups.select(F.col("node").alias("class"), F.col("component").alias("grp")).join(classes, "class"))
+    named = cut(groups.select(F.col("node").alias("class"), F.col("component").alias("grp")).join(classes, "class"))
     held = named.groupBy("grp").agg(F.count("*").alias("held"), F.sum("n").alias("all_n")).where("held > 1")
     blocks = F.greatest(F.ceil(F.col("held") / GROUP_BLOCK), F.ceil(F.col("all_n") * 8 / GROUP_BYTES))
     spread = blocked(named.join(held, "grp"), "grp", blocks).select("one", "class", "grp", "a", "b")
