@@ -58,7 +58,8 @@ and to permit persons to whom the Software is furnished to do so, subject to the
     "SPDX-MIT": "SPDX-License-Identifier: MIT",
     "SPDX-Apache-2.0": "SPDX-License-Identifier: Apache-2.0",
     "SPDX-GPL-3.0": "SPDX-License-Identifier: GPL-3.0",
-    "all-rights-reserved": "Copyright. All rights reserved.",
+    "all-rights-reserved": "All rights reserved.",
+    "copyright-all-rights-reserved": "Copyright. All rights reserved.",
 }
 
 #: Bytes of words here: letters, digits and whatever isn't ASCII.

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from spindrift.llm import licenses as L
 from tests.llm.fixtures import AWKWARD, SCHEMA
@@ -35,6 +36,31 @@ def test_edits_versions_and_repeats(spark):
     assert found == [(1, "Apache-2.0"), (3, "GPL-2.0"), (4, "MIT"), (4, "MIT"), (4, "MIT"), (6, "CC-BY-NC-4.0")]
 
 
+def test_license_lines_of_documents(spark, sf):
+    # the lines as the documents carry them, written out here and not taken from the templates
+    lines = {
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": "all-rights-reserved", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    }
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = Counter()
+    for r in docs.collect():
+        text = r.text.encode()
+        for line, name in lines.items():
+            at = text.find(line.encode())
+            while at >= 0:
+                want[r.doc_id, name, at] += 1
+                at = text.find(line.encode(), at + 1)
+    assert "all-rights-reserved" in {name for _, name, _ in want}
+    assert Counter((r.doc_id, r.license, r.first_byte) for r in L.license_scan(docs).collect()) == want
+
+
+def test_rights_reserved_with_and_without_copyright(spark):
+    rows = [(1, "x All rights reserved. y"), (2, "x Copyright. All rights reserved. y"), (3, "all is reserved by rights"), (4, "all rights")]
+    got = L.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license, r.first_word) for r in got) == [(1, "all-rights-reserved", 1), (2, "copyright-all-rights-reserved", 1)]
+
+
 def test_awkward_rows(spark):
     docs = spark.createDataFrame([*AWKWARD, (50, "word " * 20000 + L.TEMPLATES["MIT"] + " word" * 20000, "en", "s", 1), (51, L.TEMPLATES["MIT"], None, None, None), (51, L.TEMPLATES["MIT"], None, None, None)], SCHEMA)
     got = L.license_scan(docs.selectExpr("*", "1 as license", "2 as matched"))
