@@ -3,12 +3,14 @@
 Nearly all of it stays inside the JVM as built-in expressions.  Full canonical composition is the one thing
 Spark has no expression for; ``normalize_text`` composes the script's own pairs natively, which
 equals full composition for text whose other characters are composed already, and
-``normalize_text_full`` is an Arrow function for text that may hold anything.  ``edit_distance``
-is another, because the built-in expression is too slow on long texts.
+``normalize_text_full`` is an Arrow function for text that may hold anything.  Two more are Arrow functions
+because the built-in expressions are too slow on long texts: ``transliterate_long``, which gives what
+``transliterate`` gives, and ``edit_distance``.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -103,6 +105,22 @@ def transliterate(x) -> Column:
     return _replaced(t, {k: v for k, v in both.items() if len(v) > 1}, "{}")
 
 
+#: Every unit that is romanized as a whole; whatever else stays.
+_UNITS = {**VOWELS, PULLI: ""} | {c + s: r + v for c, r in CONSONANTS.items() for s, v in {"": "a", PULLI: "", **VOWEL_SIGNS}.items()}
+_UNIT = re.compile(f"[{_C}][{_D}{PULLI}]?|[{''.join(VOWELS)}{PULLI}]")
+
+
+@F.pandas_udf(StringType())
+def _romanized(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for p in parts:
+        yield pd.Series([_UNIT.sub(lambda m: _UNITS[m[0]], t) for t in p], dtype=object)
+
+
+def transliterate_long(x) -> Column:
+    """As transliterate, one look-up per unit: one pass, however long the text."""
+    return _romanized(normalize_text(x))
+
+
 def words(x) -> Column:
     """Words between white space, stripped of punctuation at both ends and normalized."""
     parts = F.split(F.coalesce(_c(x), F.lit("")), SPACE)

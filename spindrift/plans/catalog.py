@@ -428,7 +428,7 @@ select doc_id, list_aggregate(list_transform(regexp_extract_all({_NORM.replace("
 from fx_script where length(text) < 2000
 """)
 def transliterate(spark, d):
-    return fx.script_texts(spark, d).where(F.length("text") < 2000).select("doc_id", X.transliterate("text").alias("romanized"))
+    return fx.script_texts(spark, d).select("doc_id", X.transliterate_long("text").alias("romanized"))
 
 
 _WORDS = "list_filter(list_transform(regexp_split_to_array(text, '" + _WS + "'), lambda w: " + _NORM.replace("$x", "trim(w, '" + X.PUNCTUATION.replace("'", "''") + "')") + "), lambda w: w <> '')"

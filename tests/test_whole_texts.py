@@ -1,7 +1,10 @@
 """Queries over whole texts, long ones and those of other scripts too, against brute force."""
 
+import unicodedata
+
 import pytest
 
+from spindrift.functions import text as X
 from spindrift.plans import catalog
 from spindrift.plans import fixtures as fx
 
@@ -24,6 +27,19 @@ def distance(a, b):
     return row[-1]
 
 
+def romanized(t):
+    t = " ".join("".join(c for c in unicodedata.normalize("NFC", t) if c not in X.JOINERS).split())
+    out = ""
+    for i, c in enumerate(t):
+        if c in X.VOWEL_SIGNS and i and t[i - 1] in X.CONSONANTS:
+            out += X.VOWEL_SIGNS[c]
+        elif c in X.CONSONANTS:
+            out += X.CONSONANTS[c] + ("" if i + 1 < len(t) and (t[i + 1] == X.PULLI or t[i + 1] in X.VOWEL_SIGNS) else "a")
+        elif c != X.PULLI:
+            out += X.VOWELS.get(c, c)
+    return out
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     to = str(tmp_path_factory.mktemp("whole"))
@@ -43,5 +59,13 @@ def test_ocr_eval(spark, folder):
     assert max(len(t) for text in TEXTS.values() for t in text.split("\n")) > 4000
 
 
-def test_every_line_counts(spark, sf):
+def test_transliterate(spark, folder):
+    want = {d: romanized(t.lower().translate(str.maketrans(fx.LATIN, fx.SCRIPT))) for d, t in TEXTS.items()}
+    assert {r.doc_id: r.romanized for r in catalog.transliterate(spark, folder).collect()} == want
+    assert max(map(len, TEXTS.values())) > 4000
+
+
+def test_every_document_has_its_rows(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert catalog.transliterate(spark, sf).count() == docs.count()
     assert catalog.ocr_eval(spark, sf).groupBy().sum("samples").first()[0] == fx.lines(spark, sf).count()
