@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from spindrift.llm.bloom import passes, words_of
 from spindrift.llm.common import Forest, components, cut, keep
@@ -532,22 +533,40 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> Dat
 def keep_first(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The document with the smallest doc_id of each group of similar ones, with all columns.
 
-    Documents without words stay.  Rows that share doc_id and text are one document and stay once.
+    Rows are told apart by doc_id and set, so rows that share a doc_id, or have none, go or stay each for its
+    own text.  A null doc_id comes last; rows of a group that share the smallest doc_id (or have none all)
+    leave the one with the smallest class, then with the smallest text.  Documents without words stay; of those
+    that share doc_id and text one does.
     """
-    found = cut(jaccard_join(docs, k, num, den))
-    go = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("gone_id")).distinct()
+    rows, found = similar_classes(docs, k, num, den)
+    pairs = rows.groupBy("doc_id", "class").agg(F.first("n").alias("n"), F.count("*").alias("times"))
+    placed = cut(pairs.join(found, "class", "left").withColumn("grp", F.coalesce("component", "class")).drop("component"))
+    first = placed.where("n > 0").groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")).alias("first"), F.sum("times").alias("held")).where("held > 1")
+    several = placed.where("n > 0").join(first, "grp").withColumn("_one", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("class") == F.col("first.class"))).where("not _one or times > 1")
+    # _one: a row of these stays; of those without words, one for each text
+    go = cut(
+        several.select(F.col("doc_id").alias("_gone_id"), F.col("class").alias("_gone_class"), "_one", F.lit(False).alias("_wordless"))
+        .unionByName(placed.where("n = 0 and times > 1").select(F.col("doc_id").alias("_gone_id"), F.col("class").alias("_gone_class"), F.lit(True).alias("_one"), F.lit(True).alias("_wordless")))
+    )
     id_ = F.col("doc_id").cast("long")
-    # most rows stay where they are: only those that a filter of fixed size takes for gone are joined
+    # most rows stay where they are: only those that a filter of fixed size takes for gone get their class again and are joined
     no_id = -(1 << 63)
-    marked = docs.withColumn("_maybe_words", words_of(go.select(F.coalesce("gone_id", F.lit(no_id)).alias("k")), "k", FILTER_BLOCKS)).withColumn("_maybe_key", F.coalesce(id_, F.lit(no_id)))
+    marked = docs.withColumn("_maybe_words", words_of(go.select(F.coalesce("_gone_id", F.lit(no_id)).alias("k")), "k", FILTER_BLOCKS)).withColumn("_maybe_key", F.coalesce(id_, F.lit(no_id)))
     maybe = F.expr(passes("_maybe_key", "_maybe_words", FILTER_BLOCKS))
     stay = marked.where(~maybe).drop("_maybe_words", "_maybe_key")
-    left = stay.unionByName(marked.where(maybe).drop("_maybe_words", "_maybe_key").join(go, id_.eqNullSafe(F.col("gone_id")), "left_anti"))
-    twice = cut(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice_id")))
-    if not twice.limit(1).count():
-        return left
-    same = id_.eqNullSafe(F.col("twice_id"))
-    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_classes(*sets_of(part.column("text"), k)), pa.int64())], names=[*part.schema.names, "_class"])
+
+    named = marked.where(maybe).drop("_maybe_words", "_maybe_key")
+    named = named.mapInArrow(classed, StructType([*named.schema.fields, StructField("_class", LongType())]))
+    judged = named.join(go, id_.eqNullSafe(F.col("_gone_id")) & (F.col("_class") == F.col("_gone_class")), "left")
+    alone = judged.where("_one is null").select(*docs.columns)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    several = judged.where("_one").groupBy("_gone_id", "_gone_class", F.when(F.col("_wordless"), F.struct("text")).alias("_own"))
+    return stay.unionByName(alone).unionByName(several.agg(F.min_by(F.struct(*docs.columns), text).alias("row")).select("row.*"))
 
 
 def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

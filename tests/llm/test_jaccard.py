@@ -66,6 +66,26 @@ def test_awkward_rows(spark):
     assert sorted(r.doc_id or -1 for r in left.collect()) == [-1, 1, 2, 3, 4, 5, 6, 7, 9, 10, 13]
 
 
+def test_keep_first_tells_rows_with_null_or_shared_ids_apart(spark):
+    def text(name, n=60):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    rows = [
+        # a near copy without an id goes, rows without an id and of their own stay, as do near copies among them, once
+        (1, text("a")), (None, text("a", 61)), (None, text("b")), (None, text("c")), (None, text("d")), (None, text("d", 61)), (None, text("d", 62)),
+        # shared ids: the near copy of 2 goes, the other text of 3 stays; near copies that share 4 leave one, equal texts of 5 too
+        (2, text("e")), (3, text("e", 61)), (3, text("f")), (4, text("g")), (4, text("g", 61)), (4, text("h")), (5, text("i")), (5, text("i")), (5, text("i").upper()),
+        # a near copy of a row that goes, and texts without words
+        (6, text("j")), (7, text("j", 61)), (7, text("k")), (None, text("k", 61)), (8, ""), (8, ""), (8, " "), (None, ""), (None, None), (None, ""), (9, text("l")),
+    ]
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, one int").repartition(3)
+    left = J.keep_first(docs, 5, 4, 5)
+    assert left.columns == docs.columns
+    got = Counter((r.doc_id, (r.text or "").split("0")[0].lower().strip()) for r in left.collect())
+    assert got == Counter([(1, "a"), (None, "b"), (None, "c"), (None, "d"), (2, "e"), (3, "f"), (4, "g"), (4, "h"), (5, "i"), (6, "j"), (7, "k"), (8, ""), (8, ""), (None, ""), (None, ""), (9, "l")])
+    assert all(rows[r.one] == (r.doc_id, r.text) for r in left.collect())
+
+
 def test_real_rows(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
