@@ -1,8 +1,10 @@
 """Vectorised scanning of whole UTF-8 texts, shared by the operators of this subpackage.
 
 A batch of texts is one byte array plus offsets.  Words are maximal runs of bytes other than
-space and 0x09-0x0D, found with numpy over the whole batch at once; every span (word, line) gets
-a 64-bit hash from prefix sums of a polynomial, so no Python loop runs per word or per document.
+space and 0x09-0x0D, found with numpy over the whole batch at once.  A span (word, line) is read in
+lanes of eight bytes; its 64-bit hash is a sum over lanes of a non-linear function of the lane and its
+place, so no Python loop runs per word or per document, and no pattern of bytes cancels out: two
+different spans share a hash with a probability of 2**-64.
 Batches are cut to a byte budget, so memory doesn't depend on how Arrow grouped the rows; a single
 text longer than the budget is a batch of its own and is still read whole.
 """
@@ -19,32 +21,16 @@ import pyarrow.compute as pc
 BATCH_BYTES = 1 << 18
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _GRAM = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * _U(2) + _U(1)
+#: What is left of a lane of which only so many bytes belong to the span.
+_KEEP = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers = _inverses = np.ones(1, dtype=np.uint64)
-
-
-def _grow(n: int) -> None:
-    """Powers of the base and of its inverse for positions up to n."""
-    global _powers, _inverses
-    if len(_powers) <= n:
-        size = max(n + 1, BATCH_BYTES + 1)
-        with np.errstate(over="ignore"):
-            for name, base in (("_powers", _BASE), ("_inverses", _INVERSE)):
-                out = np.full(size, base, dtype=np.uint64)
-                out[0] = 1
-                globals()[name] = np.multiply.accumulate(out)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser: spreads a 64-bit value over all bits."""
     x = x ^ (x >> _U(32))
@@ -59,7 +45,7 @@ class Texts:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.offsets, self.n = data, offsets, len(offsets) - 1
-        self._sums: np.ndarray | None = None
+        self._lanes: np.ndarray | None = None
         self.starts = self.ends = self.doc = np.zeros(0, dtype=np.int64)
 
     def lowered(self) -> Texts:
@@ -84,14 +70,29 @@ class Texts:
         self.doc = np.searchsorted(self.offsets, self.starts, side="right") - 1
         return self
 
+    def lane(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The first ``size`` bytes, eight at most, from each place on as one number; 0 where there are none."""
+        if self._lanes is None:
+            padded = np.zeros(len(self.data) + 8, dtype=np.uint8)
+            padded[: len(self.data)] = self.data
+            self._lanes = np.ndarray((len(self.data) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+        return self._lanes[np.minimum(at, len(self.data))] & _KEEP[np.clip(size, 0, 8)]
+
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hash of each span of bytes; equal bytes have equal hashes."""
-        if self._sums is None:
-            _grow(len(self.data))
-            self._sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
-            np.cumsum(_TABLE[self.data] * _powers[: len(self.data)], out=self._sums[1:])
-        h = (self._sums[ends] - self._sums[starts]) * _inverses[starts]
-        return mix(h + (ends - starts).astype(np.uint64))
+        size = ends - starts
+        out = mix(self.lane(starts, size) ^ _U(0x6A09E667F3BCC909))
+        more = np.flatnonzero(size > 8)
+        if len(more):
+            # the other lanes of all longer spans side by side, each under a key of its place
+            lanes = (size[more] - 1) >> 3
+            first = np.cumsum(lanes) - lanes
+            place = np.arange(int(lanes.sum())) - np.repeat(first, lanes) + 1
+            at = np.repeat(starts[more], lanes) + 8 * place
+            value = self.lane(at, np.repeat(ends[more], lanes) - at)
+            keyed = mix(mix(value ^ mix(place.astype(np.uint64) * _U(0x9E3779B97F4A7C15))) + place.astype(np.uint64))
+            out[more] += np.add.reduceat(keyed, first)
+        return mix(out + size.astype(np.uint64) * _U(0xBB67AE8584CAA73B))
 
     def word_hashes(self) -> np.ndarray:
         return self.hashes(self.starts, self.ends)

@@ -4,6 +4,10 @@ import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
+#: Two different words of 1,024 letters in which every pattern of a stands against the same pattern of b.
+THUE = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+MORSE = THUE.translate(str.maketrans("ab", "ba"))
+
 AWKWARD = [
     (1, None, "en", "src0", None),
     (2, "", "en", None, 0),
@@ -20,6 +24,9 @@ AWKWARD = [
     (11, " ".join(f"w{i}" for i in range(399)), "en", "src1", 1),
     (12, " ".join(f"W{i}" for i in range(400)), "en", "src1", 1),
     (13, "x" * 3000, "en", "src0", 1),
+    (14, f"{THUE} q\n{MORSE} q\nx y z\n{THUE} q", "en", "src0", 1),
+    (15, f"{THUE} p q r", "en", "src0", 1),
+    (16, f"{MORSE} p q r", "en", "src0", 1),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 

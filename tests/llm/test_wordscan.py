@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from spindrift.llm import wordscan as W
-from tests.llm.fixtures import AWKWARD, words
+from tests.llm.fixtures import AWKWARD, MORSE, THUE, words
 
 rng = random.Random(3)
 TEXTS = [r[1] for r in AWKWARD] + ["".join(rng.choice(" \t\n\x0b\x0c\r  ab é\U0001f600\x1c") for _ in range(rng.randint(0, 60))) for _ in range(300)]
@@ -28,6 +28,12 @@ def test_words_lines_and_hashes():
     assert lines == [(x or "").split("\n") for x in TEXTS]
 
 
+def test_words_of_one_pattern_have_hashes_of_their_own():
+    made = [THUE[:n] for n in range(1, 1025, 3)] + [MORSE[:n] for n in range(1, 1025, 3)] + ["a" * n for n in range(2, 200)] + ["\x00" * n for n in range(1, 40)] + ["a" + "\x00" * n for n in range(1, 40)]
+    t = W.texts_of(pa.array([" ".join(made)])).words()
+    assert len(set(t.word_hashes().tolist())) == len(set(made))
+
+
 def test_grams_stay_inside_a_text():
     h, doc = np.arange(7, dtype=np.uint64), np.array([0, 0, 0, 1, 1, 2, 2])
     g, at = W.grams(h, doc, 3)
