@@ -6,6 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Blocks of a filter at most, 8 MB; with more keys it lets more through, and what follows it is exact.
+MAX_BLOCKS = 1 << 20
+BITS_PER_KEY = 16
+
+
+def blocks_for(n: int) -> int:
+    """Blocks of a filter of n keys, a power of two."""
+    return min(MAX_BLOCKS, 1 << max(0, (max(0, n) * BITS_PER_KEY // 64 - 1).bit_length()))
+
+
 def block_of(key: str, n_blocks: int) -> str:
     return f"cast(pmod(xxhash64({key}), {n_blocks}) as int)"
 

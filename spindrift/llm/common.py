@@ -1,4 +1,4 @@
-"""Where intermediate tables live, and connected components over any number of links."""
+"""Where intermediate tables live, joins that stand hot keys, blocks of large groups, connected components."""
 
 from __future__ import annotations
 
@@ -7,20 +7,25 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.llm.bloom import blocks_for, passes, words_of
+
 _made: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where it's unset, as in tests, a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where it's unset a local session, as in tests, gets a folder of its own; a cluster has none, which is an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = _made.get(sc.applicationId)
         if found is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
             found = _made[sc.applicationId] = tempfile.mkdtemp(prefix="checkpoints-")
             atexit.register(__import__("shutil").rmtree, found, True)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -28,6 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def own_folder(spark: SparkSession, kind: str) -> str:
+    """A new place in the shared folder, removed when the application ends."""
+    path = f"{shared_dir(spark)}/{kind}/{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: lineage ends here and partitions stay as they are."""
     shared_dir(df.sparkSession)
@@ -37,11 +50,87 @@ def cut(df: DataFrame) -> DataFrame:
 def keep(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder; compact, for what is large or read more than once."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = own_folder(spark, "tables")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys of more than one in so many rows are answered from a broadcast: there can't be more than that many.
+HOT_PARTS = 1000
+
+
+def hot_keys(found: DataFrame, held: str = "held") -> DataFrame:
+    """Those of found(.., held: rows with the key) that hold more than a HOT_PARTS-th of all rows: fewer than HOT_PARTS, whatever the input."""
+    total = found.agg(F.sum(held)).first()[0] or 0
+    return found.where(F.col(held) > total // HOT_PARTS)
+
+
+def spread(rows: DataFrame, found: DataFrame, *key: str, held: str = "held") -> DataFrame:
+    """rows joined with found, which has one row for each key and in ``held`` how many of rows have it.
+
+    Hot keys are answered from a broadcast of bounded size, so their rows stay where they are; of the
+    others none has enough rows to weigh on a task.
+    """
+    found = cut(found)
+    hot = hot_keys(found, held)
+    cold = rows.join(F.broadcast(hot.select(*key)), [*key], "left_anti").join(found.join(F.broadcast(hot.select(*key)), [*key], "left_anti"), [*key])
+    return rows.join(F.broadcast(hot), [*key]).unionByName(cold)
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """rows whose key, never null, isn't in gone(key).  Most stay where they are: only those that a Bloom filter takes for gone are joined."""
+    n_blocks = blocks_for(gone.count())
+    marked = rows.withColumn("_words", words_of(gone, key, n_blocks))
+    maybe = F.expr(passes(key, "_words", n_blocks))
+    return marked.where(~maybe).drop("_words").unionByName(marked.where(maybe).drop("_words").join(gone.select(key), key, "left_anti").select(*rows.columns))
+
+
+def maybe_in(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """rows whose key may be in wanted(key), by a Bloom filter: what a join with wanted has to look at."""
+    n_blocks = blocks_for(wanted.count())
+    return rows.withColumn("_words", words_of(wanted, key, n_blocks)).where(F.expr(passes(key, "_words", n_blocks))).drop("_words")
+
+
+def blocked(rows: DataFrame, blocks, id_: str) -> DataFrame:
+    """Rows once for each pair of blocks that theirs is in: columns a <= b, and own, the row's block."""
+    wide = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64(id_, F.lit(5)), F.col("blocks")).cast("int"))
+    return (
+        wide.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+        .withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other")).drop("blocks", "other")
+    )
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of rows with equal keys, and where groups begin, from batches sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size < 4096 and batch.nbytes < 1 << 20:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        starts = _starts(table, keys)
+        if len(starts) > 1:
+            last = int(starts[-1])
+            yield table.slice(0, last), starts[:-1]
+            table = table.slice(last)
+        held, size = table.to_batches(), 0
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        if table.num_rows:
+            yield table, _starts(table, keys)
+
+
+def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    change = np.zeros(table.num_rows, dtype=bool)
+    change[:1] = True
+    for k in keys:
+        c = table.column(k).to_numpy()
+        change[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(change)
+
+
 #: Links that one task connects at the end; above that the graph is first made smaller, round by round.
 LAST_LINKS = 1 << 20
 

@@ -9,19 +9,22 @@
    sets of one band with the same cell.  Cells that are empty or hold only very common grams are weak
    and left out, unless a set has so many that a pair might share no other.  Sets too small for cells,
    and bands where a cell would hold few grams (as at 0.8), take their first n - ceil(t n) + 1 grams, rarest first: one of them is shared by every pair.
-3. Cells travel as sorted columns of key digits and places, six bytes each, and only tell which sets
-   meet in a tile.  Sets that meet, directly or by way of others, are one group of candidates.
-4. Inside a group, sizes and the bit counts of folded parity signatures bound the overlap from above (a
-   bit that differs is a gram that isn't shared); pairs that pass make smaller groups.
-5. Those get their texts again, and sorted-array intersection decides.
-
-Texts with equal sets are one class.  A tile of many sets is folded in every chunk of the scan before
-anything is sent, and large groups are cut into blocks, one task for each pair of blocks, so nothing
-has to fit a task.  Within a task pairs that are already connected are skipped.  No pair is ever
-emitted as such: links leave a task as a forest.
-
-Sets and classes are known by 64-bit hashes.  Two of n different classes share one with a
-probability of about n * n / 2**65.
+3. Documents with equal sets are one class, and only a class's first row goes on.  Tiles of two or more
+   come from a count of the keys.
+4. Inside a tile every set is compared with the tile's first: the sizes and the bit counts of folded
+   parity signatures bound the overlap from above (a bit that differs is a gram that isn't shared), and
+   for pairs that pass sorted-array intersection decides.  These links are exact before they are closed.
+5. Tiles whose members aren't all connected by then are compared whole, signatures block pair by block
+   pair, leaving out what is known to be connected.  What passes makes small groups, which get their
+   texts, and sorted-array intersection decides again.
+
+So a group of many near copies costs a comparison each, not one for each pair; a tile or a leader of many
+is cut into blocks, one task for each (pair), and keys that hold many rows are joined by a broadcast of
+bounded size.  No pair is emitted but (member, leader); other links leave a task as a forest.
+
+Rows are told apart by a number of their own, sets by 128-bit names, grams by 64-bit hashes.  Two of n
+different sets share a name with a probability of about n * n / 2**129; two of a pair's grams are mixed
+up with one of about 2**-64 for each two.
 
 Defined results: a null text is the empty text; a text without words has the empty set and is linked
 with nothing; with fewer than k words the whole sequence is the one gram; rows that share a doc_id
@@ -32,7 +35,7 @@ table gives no rows; input columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -40,31 +43,25 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from spindrift.llm.bloom import passes, words_of
-from spindrift.llm.common import Forest, components, cut, keep
+from spindrift.llm.common import Forest, blocked, components, cut, grouped, hot_keys, keep, maybe_in, spread, without
 from spindrift.llm.wordscan import grams, mix, slices, texts_of
 
-#: Cells and documents of a chunk of the scan.
-CHUNK_CELLS = 1 << 18
+#: Sets that a task of the scan remembers in order not to describe a copy again.
 CHUNK_DOCS = 1 << 16
-#: Grams whose cells one task searches for tiles.  A set's links leave each task once, so tasks aren't made smaller than that.
-TILE_GRAMS = 20_000_000
-#: Sets in a block of a group of candidates, when signatures are compared.
+#: Rows that are compared with one leader in a task.
+STAR_BLOCK = 1024
+#: Sets in a block of a tile, when signatures are compared.
 SIGNED_BLOCK = 1024
-#: Classes, and bytes of sets, in a block of a large group.
+#: Sets, and bytes of sets, in a block of a group.
 GROUP_BLOCK = 256
 GROUP_BYTES = 16 << 20
 #: Bits of the widest signature; a set of n grams has the power of two from n, at least 64.
 MOST_BITS = 16384
-#: 64-bit blocks of the filter that keeps texts without candidates out of the last shuffle: 512 KB, whatever the input.
-FILTER_BLOCKS = 1 << 16
 #: Counters of grams, a power of two.  They tell what is common; collisions cost time, not results.
 COUNTERS = 1 << 20
 CHUNKS = 64
-#: Tiles are dealt to this many times the shuffle's partitions.
-BUCKETS_A_PARTITION = 8
 #: Bands whose smallest sets have fewer grams than this, in all or in a cell, use the first grams instead.
 LEAST_DEALT = 32
 LEAST_A_CELL = 3
@@ -183,15 +180,15 @@ def _fold(sig: np.ndarray, words: int) -> np.ndarray:
     return sig
 
 
-SCAN = "doc_id long, n long, class long, node long, bucket int, cells binary"
-
-
-def _classes(g: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """A name for each set; order doesn't matter in a set, so a sum of mixed grams gives it."""
+def _classes(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit name for each set, in halves; order doesn't matter in a set, so sums of mixed grams give it."""
     ends = np.cumsum(n)
-    sums = np.zeros(len(g) + 1, dtype=np.uint64)
-    np.cumsum(mix(g), out=sums[1:])
-    return mix((sums[ends] - sums[ends - n]) ^ (n.astype(np.uint64) * _U(0x9E3779B97F4A7C15))).view(np.int64)
+    out = []
+    for key in (0x243F6A8885A308D3, 0x13198A2E03707344):
+        sums = np.zeros(len(g) + 1, dtype=np.uint64)
+        np.cumsum(mix(g ^ _U(key)), out=sums[1:])
+        out.append(mix((sums[ends] - sums[ends - n]) ^ (n.astype(np.uint64) * _U(0x9E3779B97F4A7C15))).view(np.int64))
+    return out[0], out[1]
 
 
 def count_grams(docs: DataFrame, k: int) -> np.ndarray:
@@ -200,11 +197,11 @@ def count_grams(docs: DataFrame, k: int) -> np.ndarray:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(COUNTERS, dtype=np.uint32)
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for part in slices(batch, "text"):
                 g, n = sets_of(part.column("text"), k)
-                name = _classes(g, n).tolist()
+                name = list(zip(*(h.tolist() for h in _classes(g, n)), strict=True))
                 if len(seen) > CHUNK_DOCS:
                     seen.clear()
                 fresh = np.zeros(len(n), dtype=bool)
@@ -233,162 +230,45 @@ def count_grams(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def scan(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Table SCAN: a row for each document (bucket null; cells is the signature, once for each node), rows of cells (bucket not null; node is that of
-    place 0), and links between nodes that met in a chunk (n = -2; node and class are the ends).
+    """Table (row, n, h1, h2, tie, sig, cells, doc) of all rows of docs.
 
-    A node is a set in a chunk: a 40-bit task number and a running number.
+    row numbers them, n is the size of the set, (h1, h2) its name, tie a hash of the row, doc the row itself.
+    sig (signature) and cells (keys of tiles) are there where the task hasn't just seen the same set.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    digits = max(1, (parts * BUCKETS_A_PARTITION - 1).bit_length())
     counted = docs.sparkSession.sparkContext.broadcast(count_grams(docs, k))  # COUNTERS numbers
-
-    def rows(doc_id, n, name, node, bucket, blob) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip((doc_id, n, name, node, bucket, blob), kinds, strict=True)], names=["doc_id", "n", "class", "node", "bucket", "cells"])
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")).select(F.xxhash64("doc").alias("tie"), "doc")
+    longs = [StructField(c, LongType()) for c in ("row", "n", "h1", "h2", "tie")]
+    schema = StructType([*longs, StructField("sig", BinaryType()), StructField("cells", ArrayType(LongType())), whole.schema["doc"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 40
-        who: list[np.ndarray] = []
-        keys: list[np.ndarray] = []
-        seen: dict[int, int] = {}
-        held = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal base, held
-            w, x = np.concatenate(who), np.concatenate(keys)
-            order = np.lexsort((w, x))
-            w, x = w[order], x[order]
-            same = x[1:] == x[:-1]
-            met = np.unique(np.stack([w[:-1][same], w[1:][same]], axis=1), axis=0)
-            forest = Forest()
-            for a, b in met[met[:, 0] != met[:, 1]].tolist():
-                forest.join(a, b)
-            links = forest.batch()
-            if links.num_rows:
-                a, b = (links.column(c).to_numpy() + base for c in ("a", "b"))
-                none = pa.nulls(len(a))
-                yield rows(none.cast(pa.int64()), np.full(len(a), -2), b, a, none.cast(pa.int32()), none.cast(pa.binary()))
-            once = np.append(True, ~same) if len(x) else np.zeros(0, dtype=bool)
-            w, x = w[once].astype("<u2"), x[once]
-            cuts = np.searchsorted(x >> _U(64 - digits), np.arange((1 << digits) + 1, dtype=np.uint64))
-            rest = (x >> _U(32 - digits)).astype("<u4")
-            for lo in range(0, 1 << digits, 64):
-                full = [b for b in range(lo, min(lo + 64, 1 << digits)) if cuts[b] < cuts[b + 1]]
-                blobs = [rest[cuts[b] : cuts[b + 1]].tobytes() + w[cuts[b] : cuts[b + 1]].tobytes() for b in full]
-                if full:
-                    none = pa.nulls(len(full), pa.int64())
-                    yield rows(none, np.full(len(full), -1), none, np.full(len(full), base), full, blobs)
-            base += len(seen)
-            held = 0
-            who.clear()
-            keys.clear()
-            seen.clear()
-
+        row = TaskContext.get().partitionId() << 40
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for part in slices(batch, "text"):
+            text = batch.column("doc").field("text").cast(pa.large_string())
+            for part in slices(pa.RecordBatch.from_arrays([batch.column("tie"), batch.column("doc"), text], names=["tie", "doc", "text"]), "text"):
                 g, n = sets_of(part.column("text"), k)
-                name = _classes(g, n)
-                node, fresh = [], np.zeros(len(n), dtype=bool)
-                if len(seen) + len(n) > CHUNK_DOCS:
-                    yield from flush()
-                for i, (c, size) in enumerate(zip(name.tolist(), n.tolist(), strict=True)):
-                    if size and c not in seen:
-                        seen[c] = len(seen)
+                h1, h2 = _classes(g, n)
+                if len(seen) > CHUNK_DOCS:
+                    seen.clear()
+                fresh = np.zeros(len(n), dtype=bool)
+                for i, name in enumerate(zip(h1.tolist(), h2.tolist(), strict=True)):
+                    if n[i] and name not in seen:
+                        seen.add(name)
                         fresh[i] = True
-                    node.append(base + seen[c] if size else None)
                 signed = [parity(x) if f else None for x, f in zip(np.split(g, np.cumsum(n)[:-1]), fresh.tolist(), strict=True)]
-                yield rows(part.column("doc_id"), n, name, node, pa.nulls(len(n), pa.int32()), pa.array(signed, pa.binary()))
-                if fresh.any():
-                    w, x = cells_of(g[np.repeat(fresh, n)], n[fresh], num, den, counted.value)
-                    own = np.array([seen[c] for c in name[fresh].tolist()], dtype=np.int64)
-                    who.append(own[w])
-                    keys.append(x)
-                    held += len(x)
-                if held >= CHUNK_CELLS:
-                    yield from flush()
-        if who:
-            yield from flush()
-
-    return keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCAN))
+                who, keys = cells_of(g[np.repeat(fresh, n)], n[fresh], num, den, counted.value)
+                held = np.zeros(len(n), dtype=np.int64)
+                held[fresh] = np.bincount(who, minlength=int(fresh.sum()))
+                offsets = pa.array(np.concatenate([[0], np.cumsum(held)]).astype(np.int32), mask=np.append(~fresh, False))
+                cells = pa.ListArray.from_arrays(offsets, pa.array(keys[np.argsort(who, kind="stable")].view(np.int64)))
+                columns = [pa.array(row + np.arange(len(n))), pa.array(n), pa.array(h1), pa.array(h2), part.column("tie"), pa.array(signed, pa.binary()), cells, part.column("doc")]
+                row += len(n)
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
+    return keep(whole.mapInArrow(run, schema))
 
-def candidates(scanned: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes that connect all that meet in a tile."""
 
-    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest()
-
-        def meet(blobs: list[tuple[int, bytes]]) -> None:
-            if len(blobs) < 2:  # a chunk has linked its own
-                return
-            size = [len(b) // 6 for _, b in blobs]
-            key = np.concatenate([np.frombuffer(b, dtype="<u4", count=n) for (_, b), n in zip(blobs, size, strict=True)])
-            node = np.concatenate([np.frombuffer(b, dtype="<u2", offset=4 * n) + np.int64(base) for (base, b), n in zip(blobs, size, strict=True)])
-            order = np.argsort(key, kind="stable")
-            key, node = key[order], node[order]
-            same = key[1:] == key[:-1]
-            for a, b in np.unique(np.stack([node[:-1][same], node[1:][same]], axis=1), axis=0).tolist():
-                if a != b:
-                    forest.join(a, b)
-
-        last, blobs = None, []
-        for batch in batches:
-            for bucket, base, raw in zip(batch.column("bucket").to_pylist(), batch.column("node").to_pylist(), batch.column("cells"), strict=True):
-                if bucket != last:
-                    meet(blobs)
-                    last, blobs = bucket, []
-                blobs.append((base, raw.as_py()))
-        meet(blobs)
-        yield forest.batch()
-
-    grams_ = scanned.where("n > 0").agg(F.sum("n")).first()[0] or 0
-    parts = max(1, -(-grams_ // TILE_GRAMS))
-    dealt = scanned.where("bucket is not null").select("bucket", "node", "cells").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    met = dealt.mapInArrow(tiles, "a long, b long")
-    return met.unionByName(scanned.where("n = -2").select(F.col("node").alias("a"), F.col("class").alias("b")))
-
-
-def blocked(rows: DataFrame, key: str, blocks, id_: str = "class") -> DataFrame:
-    """Rows once for each pair of blocks that theirs is in: columns a <= b beside the key."""
-    wide = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64(id_, F.lit(5)), F.col("blocks")).cast("int"))
-    return (
-        wide.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-        .withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other")).drop("blocks", "other")
-    )
-
-
-def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups of rows with equal keys, and where groups begin, from batches sorted by the keys."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.num_rows
-        if size < 4096 and batch.nbytes < 1 << 20:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        starts = _starts(table, keys)
-        if len(starts) > 1:
-            last = int(starts[-1])
-            yield table.slice(0, last), starts[:-1]
-            table = table.slice(last)
-        held, size = table.to_batches(), 0
-    if held:
-        table = pa.Table.from_batches(held).combine_chunks()
-        if table.num_rows:
-            yield table, _starts(table, keys)
-
-
-def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
-    change = np.zeros(table.num_rows, dtype=bool)
-    change[:1] = True
-    for k in keys:
-        c = table.column(k).to_numpy()
-        change[1:] |= c[1:] != c[:-1]
-    return np.flatnonzero(change)
-
-
-def _pair(a: int, na: int, sa: bytes, b: int, nb: int, sb: bytes, num: int, den: int) -> bool:
+def _pair(na: int, sa: bytes, nb: int, sb: bytes, num: int, den: int) -> bool:
     """Whether the bounds let two sets pass."""
     if na > nb:
         na, sa, nb, sb = nb, sb, na, sa
@@ -403,27 +283,28 @@ def _pair(a: int, na: int, sa: bytes, b: int, nb: int, sb: bytes, num: int, den:
     return (na + nb - differ) // 2 >= -(-num * (na + nb) // (num + den))
 
 
-def _link(ids: list[int], n: np.ndarray, sigs: list[bytes], num: int, den: int, forest: Forest, exact=None) -> None:
-    """Joins in the forest what passes the bounds (and the exact test, where given)."""
+def _link(ids: np.ndarray, n: np.ndarray, sigs: list[bytes], comp: np.ndarray, num: int, den: int, forest: Forest, exact=None) -> None:
+    """Joins in the forest what passes the bounds (and the exact test, where given).
+
+    Pairs of one comp are known to be connected and left out, as are pairs that the forest connects already.
+    """
     if len(ids) <= 6:
-        for i in range(len(ids)):
+        every = ids.tolist()
+        for i in range(len(every)):
             for x in range(i):
-                if forest.find(ids[i]) != forest.find(ids[x]) and _pair(ids[i], int(n[i]), sigs[i], ids[x], int(n[x]), sigs[x], num, den) and (exact is None or exact(i, x)):
-                    forest.join(ids[i], ids[x])
-        return
-    order = np.lexsort((np.array(ids), n))
-    n = n[order]
-    ids = [ids[i] for i in order]
-    root = np.array([forest.find(i) for i in ids], dtype=np.int64)
-    if (root == root[0]).all():
+                if comp[i] != comp[x] and _pair(int(n[i]), sigs[i], int(n[x]), sigs[x], num, den) and forest.find(every[i]) != forest.find(every[x]) and (exact is None or exact(i, x)):
+                    forest.join(every[i], every[x])
         return
+    order = np.lexsort((ids, n))
+    n, comp, every = n[order], comp[order], ids[order].tolist()
+    root = np.array([forest.find(i) for i in every], dtype=np.int64)
     widths = np.array([len(sigs[i]) // 8 for i in order])
     levels = {w: np.stack([_fold(np.frombuffer(sigs[i], dtype=np.uint64), w) if len(sigs[i]) // 8 > w else np.frombuffer(sigs[i].ljust(8 * w, b"\0"), dtype=np.uint64)[:w] for i in order]) for w in np.unique(widths).tolist()}
-    for i in range(len(ids) - 1):
+    for i in range(len(every) - 1):
         # sizes are sorted: partners are those up to n / t
         stop = int(np.searchsorted(n, n[i] * den // num, side="right"))
         j = np.arange(i + 1, stop)
-        j = j[root[j] != root[i]]
+        j = j[(root[j] != root[i]) & (comp[j] != comp[i])]
         if not len(j):
             continue
         w = int(widths[i])  # the narrower one: sizes are sorted
@@ -432,141 +313,183 @@ def _link(ids: list[int], n: np.ndarray, sigs: list[bytes], num: int, den: int,
         need = -(-num * (n[j] + n[i]) // (num + den))
         for x in j[most >= need].tolist():
             if root[x] != root[i] and (exact is None or exact(order[i], order[x])):
-                forest.join(ids[i], ids[x])
+                forest.join(every[i], every[x])
                 low, high = sorted((root[i], root[x]))
                 root[root == high] = low
 
 
-def narrowed(scanned: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between classes that connect all pairs inside groups(node, component) that the bounds let pass."""
-    nodes = scanned.where("n > 0 and bucket is null and cells is not null").select("node", "class", "n", F.col("cells").alias("sig"))
-    held = groups.groupBy(F.col("component").alias("grp")).agg(F.count("*").alias("held")).where("held > 1")
-    members = groups.select("node", F.col("component").alias("grp")).join(held, "grp").join(nodes, "node")
-    rows = blocked(members, "grp", F.ceil(F.col("held") / SIGNED_BLOCK))
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+
+
+def starred(pairs: DataFrame, load: DataFrame, judge: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """What judge makes of pairs(id, leader) and load(row, n, load): batches (leader, block, id, n, load), a leader
+    before its rows.  A leader of many is put before each block of them, so no task holds all."""
+    pairs = keep(pairs)
+    held = cut(pairs.groupBy("leader").agg(F.count("*").alias("held")))
+    hot = F.broadcast(hot_keys(held).select("leader", F.ceil(F.col("held") / STAR_BLOCK).cast("int").alias("blocks")))
+    blocks = F.coalesce("blocks", F.lit(1))
+    members = pairs.join(hot, "leader", "left").select("leader", "id", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    heads = held.join(hot, "leader", "left").select("leader", F.col("leader").alias("id"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    wanted = cut(members.select(F.col("id").alias("row")).unionByName(heads.select(F.col("id").alias("row"))).distinct())
+    loaded = maybe_in(load, wanted, "row").withColumnRenamed("row", "id")
+    rows = members.unionByName(heads).join(loaded, "id").withColumn("head", (F.col("id") == F.col("leader")).cast("int"))
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "leader", "block").sortWithinPartitions("leader", "block", F.col("head").desc(), "id")
+    return dealt.select("leader", "id", "n", "load").mapInArrow(judge, "id long, leader long")
+
+
+def _answer(found: list[tuple[int, int]], names: tuple[str, str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=list(names))
+
+
+def linked(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scan's table, classes(h1, h2, held, rep, best), (node, component) of the reps that are linked with another).
+
+    best is the class's first row by (doc_id, null last; name; tie; row).
+    """
+    scanned = scan(docs, k, num, den)
+    best = F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").cast("long").alias("doc_id"), "h1", "h2", "tie", "row")
+    classes = keep(scanned.where("n > 0").groupBy("h1", "h2").agg(F.count("*").alias("held"), F.min("row").alias("rep"), F.min(best).alias("best")))
+    again = cut(scanned.where("sig is not null").select("row").join(classes.select(F.col("rep").alias("row")), "row", "left_anti"))
+    first = without(scanned.where("cells is not null").select("row", "cells"), again, "row")
+    entries = first.select(F.col("row").alias("id"), F.explode("cells").alias("key"))
+    tiles = keep(entries.groupBy("key").agg(F.count("*").alias("held"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high"))
+    big = tiles.where("held > 2").select("key", "held", "low")
+    members = keep(spread(maybe_in(entries, big, "key"), big, "key"))
+
+    # every member of a tile against the tile's first
+    pairs = tiles.where("held = 2").select(F.col("high").alias("id"), F.col("low").alias("leader")).unionByName(members.where("id <> low").select("id", F.col("low").alias("leader"))).distinct()
+    sigs = scanned.where("sig is not null").select("row", "n", F.col("sig").alias("load"))
+    texts = scanned.where("sig is not null").select("row", "n", F.coalesce(F.col("doc.text").cast("string"), F.lit("")).alias("load"))
+
+    def by_signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = (0, b"")
+        for batch in batches:
+            found = []
+            for leader, id_, n, sig in zip(*(batch.column(c).to_pylist() for c in ("leader", "id", "n", "load")), strict=True):
+                if id_ == leader:
+                    head = (n, sig)
+                elif _pair(*head, n, sig, num, den):
+                    found.append((id_, leader))
+            yield _answer(found, ("id", "leader"))
+
+    def by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = np.zeros(0, dtype=np.uint64)
+        for batch in batches:
+            found = []
+            for part in slices(batch, "load"):
+                g, n = sets_of(part.column("load"), k)
+                for leader, id_, x in zip(part.column("leader").to_pylist(), part.column("id").to_pylist(), np.split(g, np.cumsum(n)[:-1]), strict=True):
+                    if id_ == leader:
+                        head = x
+                        continue
+                    same = _overlap(head, x)
+                    if den * same >= num * (len(x) + len(head) - same):
+                        found.append((id_, leader))
+            yield _answer(found, ("id", "leader"))
+
+    stars = keep(starred(starred(pairs, sigs, by_signature), texts, by_sets).select(F.col("id").alias("a"), F.col("leader").alias("b")))
+    known = components(stars)
+
+    # what is left: tiles with members that no link connects so far
+    placed = keep(members.select("key", "id").join(known.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp")))
+    open_ = keep(placed.groupBy("key").agg(F.count("*").alias("held"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "held"))
+    if open_.isEmpty():
+        return scanned, classes, known
+    return scanned, classes, components(stars.unionByName(rest(placed, open_, known, sigs, texts, k, num, den)))
+
+
+def rest(placed: DataFrame, open_: DataFrame, known: DataFrame, sigs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect all similar pairs of placed(key, id, comp) of different comp that share one of the open tiles.
+
+    Signatures are compared inside each tile, block pair by block pair; what their bounds let pass
+    makes small groups, inside which sorted sets decide.
+    """
+    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = spread(placed, open_.withColumn("tile", F.col("held")), "key")
+    rows = blocked(rows, F.ceil(F.col("tile") / SIGNED_BLOCK), "id").join(sigs.withColumnRenamed("row", "id"), "id")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
-        for t, starts in grouped(batches, ["grp", "a", "b"]):
-            ids, n, sigs = t.column("class").to_pylist(), t.column("n").to_numpy(), t.column("sig").to_pylist()
+        for t, starts in grouped(batches, ["key", "a", "b"]):
+            ids, n, comp, sig = t.column("id").to_numpy(), t.column("n").to_numpy(), t.column("comp").to_numpy(), t.column("load").to_pylist()
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
-                first = {c: i for i, c in enumerate(ids[s:e], s)}
-                if len(first) > 1:
-                    at = list(first.values())
-                    _link(list(first), n[at], [sigs[i] for i in at], num, den, forest)
+                if e - s > 1:
+                    _link(ids[s:e], n[s:e], sig[s:e], comp[s:e], num, den, forest)
         yield forest.batch()
 
-    parts = int(scanned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("grp", "a", "b", "class", "n", "sig").repartition(parts, "grp", "a", "b").sortWithinPartitions("grp", "a", "b")
-    return dealt.mapInArrow(compare, "a long, b long")
-
-
-def verified(docs: DataFrame, scanned: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) that connect all classes of groups(node: a class, component) that are similar indeed."""
-    no_id = -(1 << 63)
-    classes = scanned.where("n > 0 and bucket is null").groupBy("class").agg(F.first("n").alias("n"), F.min(F.coalesce("doc_id", F.lit(no_id))).alias("one"))
-    named = cut(groups.select(F.col("node").alias("class"), F.col("component").alias("grp")).join(classes, "class"))
-    held = named.groupBy("grp").agg(F.count("*").alias("held"), F.sum("n").alias("all_n")).where("held > 1")
-    blocks = F.greatest(F.ceil(F.col("held") / GROUP_BLOCK), F.ceil(F.col("all_n") * 8 / GROUP_BYTES))
-    spread = blocked(named.join(held, "grp"), "grp", blocks).select("one", "class", "grp", "a", "b")
-    picked = named.join(held, "grp", "left_semi")
-    texts = (
-        docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(no_id)).alias("one"), F.col("text").cast("string").alias("text"))
-        .withColumn("words", words_of(picked, "one", FILTER_BLOCKS)).where(F.expr(passes("one", "words", FILTER_BLOCKS))).drop("words")
-    )
-    rows = texts.join(spread, "one")
+    dealt = rows.select("key", "a", "b", "id", "comp", "n", "load").repartition(parts, "key", "a", "b").sortWithinPartitions("key", "a", "b")
+    groups = components(dealt.mapInArrow(narrow, "a long, b long")).select(F.col("node").alias("id"), F.col("component").alias("grp"))
+    comps = known.select(F.col("node").alias("id"), F.col("component").alias("comp"))
+    named = keep(groups.join(sigs.select(F.col("row").alias("id"), "n"), "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+    sizes = named.groupBy("grp").agg(F.count("*").alias("held"), F.greatest(F.ceil(F.count("*") / GROUP_BLOCK), F.ceil(F.sum("n") * 8 / GROUP_BYTES)).alias("blocks"))
+    several = blocked(spread(named, sizes, "grp").drop("held"), F.col("blocks"), "id")
+    loaded = maybe_in(texts.drop("n"), named.select(F.col("id").alias("row")), "row").withColumnRenamed("row", "id")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Forest()
         for t, starts in grouped(batches, ["grp", "a", "b"]):
-            ids, n, held, named_ = t.column("class").to_pylist(), [], [], []
-            for whole in t.select(["text"]).to_batches():
-                for part in slices(whole, "text"):
-                    g, size = sets_of(part.column("text"), k)
+            ids, comp, n, held = t.column("id").to_numpy(), t.column("comp").to_numpy(), [], []
+            for whole in t.select(["load"]).to_batches():
+                for part in slices(whole, "load"):
+                    g, size = sets_of(part.column("load"), k)
                     n.append(size)
-                    named_.append(_classes(g, size))
                     held.extend(np.split(g, np.cumsum(size)[:-1]))
-            n, real = np.concatenate(n), np.concatenate(named_).tolist()
+            n = np.concatenate(n)
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
-                # rows that share a doc_id may bring other texts
-                first = {c: i for i, c in enumerate(ids[s:e], s) if real[i] == c}
-                if len(first) > 1:
-                    at = list(first.values())
-                    sets_ = [held[i] for i in at]
+                if e - s > 1:
+                    sets = held[s:e]
 
                     def exact(i: int, j: int) -> bool:
-                        x, y = sets_[i], sets_[j]  # noqa: B023
-                        both = np.concatenate([x, y])
-                        both.sort(kind="stable")
-                        same = int((both[1:] == both[:-1]).sum())
-                        return den * same >= num * (len(x) + len(y) - same)
+                        same = _overlap(sets[i], sets[j])  # noqa: B023
+                        return den * same >= num * (len(sets[i]) + len(sets[j]) - same)  # noqa: B023
 
                     local = Forest()
-                    _link(list(first), n[at], [parity(x) for x in sets_], num, den, local, exact)
+                    _link(ids[s:e], n[s:e], [parity(x) for x in sets], comp[s:e], num, den, local, exact)
                     for x in list(local.up):
                         out.join(x, local.find(x))
         yield out.batch()
 
-    parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    dealt = rows.select("grp", "a", "b", "class", "text").repartition(int(parts), "grp", "a", "b").sortWithinPartitions("grp", "a", "b")
-    return dealt.mapInArrow(check, "a long, b long").where("a <> b")
+    dealt = several.join(loaded, "id").select("grp", "a", "b", "id", "comp", "load").repartition(parts, "grp", "a", "b").sortWithinPartitions("grp", "a", "b")
+    return keep(dealt.mapInArrow(check, "a long, b long").where("a <> b"))
 
 
-def similar_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(documents(doc_id, n, class), (class, component) of classes that are linked with another)."""
-    scanned = scan(docs, k, num, den)
-    groups = components(narrowed(scanned, components(candidates(scanned)), num, den))
-    links = cut(verified(docs, scanned, groups, k, num, den))
-    return scanned.where("n >= 0").select("doc_id", "n", "class"), components(links).withColumnRenamed("node", "class")
+def placed_rows(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(scan's table, (row, doc_id, n, best) of its rows with words): best is the first row of the whole group."""
+    scanned, classes, found = linked(docs, k, num, den)
+    joined = keep(classes.join(found.select(F.col("node").alias("rep"), "component"), "rep").select("rep", "component", "best"))
+    firsts = joined.groupBy("component").agg(F.count("*").alias("held"), F.min("best").alias("first"))
+    grouped_ = spread(joined.select("rep", "component"), firsts, "component").select("rep", "first")
+    of_class = classes.join(grouped_, "rep", "left").select("h1", "h2", "held", F.coalesce("first", "best").alias("best"))
+    rows = scanned.where("n > 0").select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), "n", "h1", "h2")
+    return scanned, spread(rows, of_class, "h1", "h2").select("row", "doc_id", "n", "best")
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents whose k-gram sets have overlap / union >= num / den are linked."""
-    rows, found = similar_classes(docs, k, num, den)
-    classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("low"))
-    placed = classes.join(found, "class", "left").withColumn("grp", F.coalesce("component", "class"))
-    lows = placed.groupBy("grp").agg(F.min("low").alias("component_id"))
-    of_class = cut(placed.join(lows, "grp").select("class", "component_id"))
-    full = rows.where("n > 0").join(of_class, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    scanned, rows = placed_rows(docs.select("doc_id", "text"), k, num, den)
+    full = rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("best.doc_id").alias("component_id"))
+    none = scanned.where("n = 0").select(F.col("doc.doc_id").cast("long").alias("doc_id"))
+    return full.unionByName(none.select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def keep_first(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The document with the smallest doc_id of each group of similar ones, with all columns.
+    """One document of each group of similar ones, with all columns: the one with the smallest doc_id.
 
-    Rows are told apart by doc_id and set, so rows that share a doc_id, or have none, go or stay each for its
-    own text.  A null doc_id comes last; rows of a group that share the smallest doc_id (or have none all)
-    leave the one with the smallest class, then with the smallest text.  Documents without words stay; of those
-    that share doc_id and text one does.
+    Rows are told apart by their place, so rows that share a doc_id, or have none, go or stay each for its
+    own text.  A null doc_id comes last; of rows that share the smallest one the first by name of the set and
+    by hash of the row stays.  Documents without words stay; of those that share doc_id and text one does.
     """
-    rows, found = similar_classes(docs, k, num, den)
-    pairs = rows.groupBy("doc_id", "class").agg(F.first("n").alias("n"), F.count("*").alias("times"))
-    placed = cut(pairs.join(found, "class", "left").withColumn("grp", F.coalesce("component", "class")).drop("component"))
-    first = placed.where("n > 0").groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")).alias("first"), F.sum("times").alias("held")).where("held > 1")
-    several = placed.where("n > 0").join(first, "grp").withColumn("_one", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("class") == F.col("first.class"))).where("not _one or times > 1")
-    # _one: a row of these stays; of those without words, one for each text
-    go = cut(
-        several.select(F.col("doc_id").alias("_gone_id"), F.col("class").alias("_gone_class"), "_one", F.lit(False).alias("_wordless"))
-        .unionByName(placed.where("n = 0 and times > 1").select(F.col("doc_id").alias("_gone_id"), F.col("class").alias("_gone_class"), F.lit(True).alias("_one"), F.lit(True).alias("_wordless")))
-    )
-    id_ = F.col("doc_id").cast("long")
-    # most rows stay where they are: only those that a filter of fixed size takes for gone get their class again and are joined
-    no_id = -(1 << 63)
-    marked = docs.withColumn("_maybe_words", words_of(go.select(F.coalesce("_gone_id", F.lit(no_id)).alias("k")), "k", FILTER_BLOCKS)).withColumn("_maybe_key", F.coalesce(id_, F.lit(no_id)))
-    maybe = F.expr(passes("_maybe_key", "_maybe_words", FILTER_BLOCKS))
-    stay = marked.where(~maybe).drop("_maybe_words", "_maybe_key")
-
-    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_classes(*sets_of(part.column("text"), k)), pa.int64())], names=[*part.schema.names, "_class"])
-
-    named = marked.where(maybe).drop("_maybe_words", "_maybe_key")
-    named = named.mapInArrow(classed, StructType([*named.schema.fields, StructField("_class", LongType())]))
-    judged = named.join(go, id_.eqNullSafe(F.col("_gone_id")) & (F.col("_class") == F.col("_gone_class")), "left")
-    alone = judged.where("_one is null").select(*docs.columns)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    several = judged.where("_one").groupBy("_gone_id", "_gone_class", F.when(F.col("_wordless"), F.struct("text")).alias("_own"))
-    return stay.unionByName(alone).unionByName(several.agg(F.min_by(F.struct(*docs.columns), text).alias("row")).select("row.*"))
+    scanned, rows = placed_rows(docs, k, num, den)
+    gone = rows.where("row <> best.row").select("row")
+    bare = scanned.where("n = 0").select("row", "tie", F.md5(F.to_json(F.struct(F.col("doc.doc_id").alias("d"), F.col("doc.text").alias("t")))).alias("own"))
+    same = bare.groupBy("own").agg(F.count("*").alias("held"), F.min(F.struct("tie", "row")).alias("first")).where("held > 1")
+    gone = cut(gone.unionByName(spread(bare, same, "own").where("row <> first.row").select("row")))
+    return without(scanned.select("row", "doc"), gone, "row").select("doc.*")
 
 
 def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ def variants(seed, groups=25):
 def test_against_all_pairs(spark, k, num, den, monkeypatch):
     monkeypatch.setattr(J, "GROUP_BLOCK", 2)
     monkeypatch.setattr(J, "SIGNED_BLOCK", 3)
-    monkeypatch.setattr(J, "CHUNK_CELLS", 900)
+    monkeypatch.setattr(J, "STAR_BLOCK", 2)
     rows = variants(k)
     got = J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k, num, den).collect()
     assert Counter(tuple(r) for r in got) == model(rows, k, num, den)
@@ -63,7 +63,7 @@ def test_awkward_rows(spark):
     assert J.jaccard_join(docs.limit(0), 3, 9, 10).count() == 0
     left = J.keep_first(docs, 3, 9, 10)
     assert left.columns == docs.columns
-    assert sorted(r.doc_id or -1 for r in left.collect()) == [-1, 1, 2, 3, 4, 5, 6, 7, 9, 10, 13]
+    assert sorted(r.doc_id or -1 for r in left.collect()) == [-1, 1, 2, 3, 4, 5, 6, 7, 9, 10, 13, 14, 15, 16]
 
 
 def test_keep_first_tells_rows_with_null_or_shared_ids_apart(spark):
@@ -86,6 +86,37 @@ def test_keep_first_tells_rows_with_null_or_shared_ids_apart(spark):
     assert all(rows[r.one] == (r.doc_id, r.text) for r in left.collect())
 
 
+def test_near_copies_of_which_the_first_is_no_centre(spark, monkeypatch):
+    # copies differ from one text in a few words each, so most pairs of copies are not similar, and links go through the centre
+    monkeypatch.setattr(J, "STAR_BLOCK", 16)
+    monkeypatch.setattr(J, "SIGNED_BLOCK", 50)
+    monkeypatch.setattr(J, "GROUP_BLOCK", 40)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.choice([6, 7, 8])):
+            w[rng.randrange(len(w))] = f"n{rng.randint(0, 10**9)}"
+        rows.append((i, " ".join(w)))
+    rows.insert(120, (500, " ".join(base)))
+    got = J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 9, 10).collect()
+    assert Counter(tuple(r) for r in got) == model(rows, 3, 9, 10)
+
+
+def test_rows_without_ids_cost_no_more(spark):
+    import time
+
+    rows = [(i, f"t{i // 2} " + " ".join(f"w{i // 2}x{j}" for j in range(30))) for i in range(4000)]
+    seconds = []
+    for ids in ("doc_id", "cast(null as long) as doc_id", "cast(7 as long) as doc_id"):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(ids, "text")
+        began = time.time()
+        assert J.jaccard_join(docs, 3, 9, 10).groupBy().sum("n_shingles").first()[0] == 4000 * 29
+        seconds.append(time.time() - began)
+    assert max(seconds[1:]) < 3 * seconds[0], seconds
+
+
 def test_real_rows(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
@@ -111,7 +142,7 @@ def test_signatures_bound_from_above():
         b = set(rng.sample(sorted(a), int(len(a) * rng.random()))) | {rng.randrange(1 << 63) for _ in range(rng.randint(1, 200))}
         x, y = (np.array(sorted(s), dtype=np.uint64) for s in (a, b))
         if 10 * len(a & b) >= 8 * len(a | b):
-            assert J._pair(1, len(a), J.parity(x), 2, len(b), J.parity(y), 8, 10)
+            assert J._pair(len(a), J.parity(x), len(b), J.parity(y), 8, 10)
 
 
 def test_grams_of_short_texts():
