@@ -45,12 +45,23 @@ def quality(luminance: Column, width: Column, height: Column) -> Column:
     return F.struct(blur.alias("blur_score"), contrast.alias("contrast_score"), (blur > SHARP_ABOVE).alias("is_sharp"), (contrast > CONTRAST_ABOVE).alias("is_contrast_sufficient"), warnings.alias("warnings"))
 
 
+_loaded: dict[tuple, object] = {}
+
+
+def per_worker(factory: Callable, *key):
+    """What factory(*key) gives, made once in a Python worker for each factory and key (say, a language and a model)."""
+    name = (getattr(factory, "__module__", ""), getattr(factory, "__qualname__", repr(factory)), *key)
+    if name not in _loaded:
+        _loaded[name] = factory(*key)
+    return _loaded[name]
+
+
 def decoder(factory: Callable[[], Callable[[bytes], tuple[int, int, bytes]]]):
     """Column function: image file -> struct(width, height, luminance), by a decoder that is loaded once per worker."""
 
     @F.pandas_udf(_PIXELS)
     def decode(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        engine = factory()
+        engine = per_worker(factory)
         for files in parts:
             yield pd.DataFrame([engine(f) if f is not None else (None, None, None) for f in files], columns=["width", "height", "luminance"])
 
@@ -62,7 +73,7 @@ def transformer(factory: Callable[[], Callable[[bytes], bytes]]):
 
     @F.pandas_udf(BinaryType())
     def change(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        engine = factory()
+        engine = per_worker(factory)
         for files in parts:
             yield pd.Series([None if f is None else engine(f) for f in files], dtype=object)
 

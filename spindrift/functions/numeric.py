@@ -11,9 +11,11 @@ def _c(x) -> Column:
 
 
 def py_round(x, places: int) -> Column:
-    """Python's round(x, places): half to even on the exact binary value."""
+    """Python's round(x, places): half to even on the exact binary value; infinities and NaN stay."""
     shape = "0." + "0" * places if places else "0"
-    return F.when(_c(x).isNotNull(), F.regexp_replace(F.call_function("format_number", _c(x), F.lit(shape)), ",", "").cast("double"))
+    finite = F.abs(_c(x).cast("double")) < F.lit(float("inf"))
+    rounded = F.regexp_replace(F.call_function("format_number", F.when(finite, _c(x)), F.lit(shape)), ",", "").try_cast("double")
+    return F.when(finite, rounded).otherwise(_c(x).cast("double"))
 
 
 def round_int(x) -> Column:

@@ -1,24 +1,23 @@
 """Text: normalization, word validity and transliteration of the script, CTC decoding, small helpers.
 
-Nearly all of it stays inside the JVM as built-in expressions.  Full canonical composition is the one thing
-Spark has no expression for; ``normalize_text`` composes the script's own pairs natively, which
-equals full composition for text whose other characters are composed already, and
-``normalize_text_full`` is an Arrow function for text that may hold anything.  Two more are Arrow functions
-because the built-in expressions are too slow on long texts: ``transliterate_long``, which gives what
-``transliterate`` gives, and ``edit_distance``.
+Short values stay inside the JVM as built-in expressions.  What goes over whole texts (normalization,
+words, validity, transliteration) and ``edit_distance`` are Arrow functions: Spark has no expression for
+canonical composition, and a dozen passes of regular expressions over a text cost far more than one look-up
+for each word.  A worker remembers what it found for short words, in a table of bounded size.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 # The script's letters and their romanization.
 CONSONANTS = {
@@ -33,6 +32,7 @@ VOWEL_SIGNS = {
 PULLI, AU_MARK, E_SIGN = "\u0bcd", "\u0bd7", "\u0bc6"
 #: Two code points that are one letter, and that letter.
 COMPOSED = (("\u0b92\u0bd7", "\u0b94"), ("\u0bc6\u0bbe", "\u0bca"), ("\u0bc7\u0bbe", "\u0bcb"), ("\u0bc6\u0bd7", "\u0bcc"))
+# What normalization removes, and what words are stripped of.
 JOINERS = "\u200b\u200c\u200d\ufeff"
 PUNCTUATION = ".,;:!?\"'()[]{}<>–—-‘’“”"
 
@@ -53,22 +53,55 @@ def compose(x) -> Column:
     return out
 
 
-def normalize_text(x) -> Column:
-    """Composed, without joiners, white space collapsed and trimmed; null becomes empty."""
-    t = F.translate(compose(F.coalesce(_c(x), F.lit(""))), JOINERS, "")
-    return F.trim(F.regexp_replace(t, SPACE, " "))
+_NO_JOINERS = dict.fromkeys(map(ord, JOINERS))
+
+
+def _normal(t: str | None) -> str:
+    if not t:
+        return ""
+    if not t.isascii():
+        t = unicodedata.normalize("NFC", t).translate(_NO_JOINERS)
+    return " ".join(t.split())
+
+
+class _Known(dict):
+    """What f gives for words, remembered for short ones; emptied when it's full."""
+
+    MOST, LONGEST = 1 << 17, 64
+
+    def __init__(self, f: Callable):
+        super().__init__()
+        self.f = f
+
+    def __missing__(self, word: str):
+        out = self.f(word)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[word] = out
+        return out
 
 
 @F.pandas_udf(StringType())
-def _nfc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _normalized(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for p in parts:
-        yield p.str.normalize("NFC")
+        yield pd.Series([_normal(t) for t in p], dtype=object)
 
 
-def normalize_text_full(x) -> Column:
-    """As normalize_text, with canonical composition of every script."""
-    t = F.translate(_nfc(F.coalesce(_c(x), F.lit(""))), JOINERS, "")
-    return F.trim(F.regexp_replace(t, SPACE, " "))
+@F.pandas_udf(ArrayType(StringType()))
+def _normalized_all(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for p in parts:
+        yield pd.Series([None if ts is None else [_normal(t) for t in ts] for ts in p], dtype=object)
+
+
+def normalize_text(x) -> Column:
+    """Canonically composed, without joiners, white space collapsed and trimmed; null becomes empty."""
+    return _normalized(_c(x))
+
+
+def normalize_texts(x) -> Column:
+    """normalize_text of every text in an array; a null array stays null."""
+    return _normalized_all(_c(x))
 
 
 def has_script(x) -> Column:
@@ -84,55 +117,71 @@ def is_valid_word(x) -> Column:
     return F.coalesce(_c(x).rlike("^[\\x{0B80}-\\x{0BFF}]+$") & ~bad_sign & ~bad_mark, F.lit(False))
 
 
-def _replaced(t: Column, table: dict[str, str], shape: str) -> Column:
-    for letter, roman in table.items():
-        t = F.regexp_replace(t, shape.format(letter), roman) if shape != "{}" else F.replace(t, F.lit(letter), F.lit(roman))
-    return t
-
-
-def transliterate(x) -> Column:
-    """Romanized text: a consonant takes its sign's vowel, none before a pulli, else an a.
-
-    A few passes over the whole string instead of a lookup per character: bare consonants get their
-    a, signs behind a consonant their vowel, then pullis go and letters become roman.
-    """
-    t = F.regexp_replace(normalize_text(x), f"([{_C}])(?![{_D}{PULLI}])", "$1a")
-    t = _replaced(t, VOWEL_SIGNS, f"(?<=[{_C}]){{}}")
-    t = F.translate(t, PULLI, "")
-    both = {**CONSONANTS, **VOWELS}
-    ones = {k: v for k, v in both.items() if len(v) == 1}
-    t = F.translate(t, "".join(ones), "".join(ones.values()))
-    return _replaced(t, {k: v for k, v in both.items() if len(v) > 1}, "{}")
-
-
 #: Every unit that is romanized as a whole; whatever else stays.
 _UNITS = {**VOWELS, PULLI: ""} | {c + s: r + v for c, r in CONSONANTS.items() for s, v in {"": "a", PULLI: "", **VOWEL_SIGNS}.items()}
 _UNIT = re.compile(f"[{_C}][{_D}{PULLI}]?|[{''.join(VOWELS)}{PULLI}]")
 
 
+def _roman_word(word: str) -> str | None:
+    """Romanized, or null for a word of which normalization leaves nothing."""
+    if word.isascii():
+        return word
+    t = _normal(word)
+    return _UNIT.sub(lambda m: _UNITS[m[0]], t) if t else None
+
+
 @F.pandas_udf(StringType())
 def _romanized(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    known = _Known(_roman_word)
     for p in parts:
-        yield pd.Series([_UNIT.sub(lambda m: _UNITS[m[0]], t) for t in p], dtype=object)
+        yield pd.Series([" ".join([w for w in map(known.__getitem__, t.split()) if w is not None]) if t else "" for t in p], dtype=object)
 
 
-def transliterate_long(x) -> Column:
-    """As transliterate, one look-up per unit: one pass, however long the text."""
-    return _romanized(normalize_text(x))
+def transliterate(x) -> Column:
+    """Normalized and romanized text: a consonant takes its sign's vowel, none before a pulli, else an a.  A unit never goes beyond a word."""
+    return _romanized(_c(x))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _words(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    known = _Known(lambda w: _normal(w.strip(PUNCTUATION)))
+    for p in parts:
+        yield pd.Series([[w for w in map(known.__getitem__, t.split()) if w] if t else [] for t in p], dtype=object)
 
 
 def words(x) -> Column:
     """Words between white space, stripped of punctuation at both ends and normalized."""
-    parts = F.split(F.coalesce(_c(x), F.lit("")), SPACE)
-    return F.filter(F.transform(parts, lambda w: normalize_text(F.btrim(w, F.lit(PUNCTUATION)))), lambda w: w != "")
+    return _words(_c(x))
+
+
+_IN_BLOCK = re.compile("[\u0b80-\u0bff]")
+_ALL_BLOCK = re.compile("[\u0b80-\u0bff]+")
+_BAD = re.compile(f"(?:^|[^{_C}])[{_D}{PULLI}]|(?:^|[^{_C}{E_SIGN}]){AU_MARK}")
+_LAYER = StructType([StructField("script_words", IntegerType()), StructField("valid_words", IntegerType()), StructField("score", DoubleType()), StructField("trusted", BooleanType())])
+
+
+def _kind(word: str) -> int:
+    """2 for a valid word of the script, 1 for another word with a character of its block, else 0."""
+    t = "" if word.isascii() else _normal(word.strip(PUNCTUATION))
+    if not _IN_BLOCK.search(t):
+        return 0
+    return 2 if _ALL_BLOCK.fullmatch(t) and not _BAD.search(t) else 1
 
 
 def text_layer(x, minimum: float = 0.95) -> Column:
     """struct(script_words, valid_words, score unrounded, trusted) of a text layer."""
-    mine = F.filter(words(x), has_script)
-    n, valid = F.size(mine), F.size(F.filter(mine, is_valid_word))
-    score = F.coalesce(F.try_divide(valid.cast("double"), n.cast("double")), F.lit(0.0))
-    return F.struct(n.alias("script_words"), valid.alias("valid_words"), score.alias("score"), ((n > 0) & (score >= F.lit(minimum))).alias("trusted"))
+
+    @F.pandas_udf(_LAYER)
+    def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = _Known(_kind)
+        for p in parts:
+            kinds = [list(map(known.__getitem__, t.split())) if t else [] for t in p]
+            n = np.array([len(k) - k.count(0) for k in kinds], dtype=np.int32)
+            valid = np.array([k.count(2) for k in kinds], dtype=np.int32)
+            score = np.divide(valid, n, out=np.zeros(len(n)), where=n > 0)
+            yield pd.DataFrame({"script_words": n, "valid_words": valid, "score": score, "trusted": (n > 0) & (score >= minimum)})
+
+    return judge(_c(x))
 
 
 def text_layer_plain(x, minimum: float = 0.95) -> Column:
@@ -208,8 +257,18 @@ def edit_distance(a, b) -> Column:
 
 
 def tsv_field(x) -> Column:
-    """Tabs become spaces, ends are trimmed."""
-    return F.trim(F.replace(_c(x), F.lit("\t"), F.lit(" ")))
+    """Tabs become spaces, ends are stripped of all white space."""
+    return strip(F.replace(_c(x), F.lit("\t"), F.lit(" ")))
+
+
+def strip(x) -> Column:
+    """Without the white space at both ends, whatever Python takes for that."""
+    return F.regexp_replace(_c(x), f"^{SPACE}|{SPACE}$", "")
+
+
+def is_blank(x) -> Column:
+    """Null, empty or nothing but white space."""
+    return F.coalesce(_c(x).rlike(f"^({SPACE})?$"), F.lit(True))
 
 
 def slashes(x) -> Column:

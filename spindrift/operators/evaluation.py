@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.functions.numeric import ratio
+from spindrift.functions.numeric import py_round, ratio
 from spindrift.functions.text import edit_distance
+from spindrift.storage import keep
 
 SPLIT = 10
 
@@ -30,12 +31,13 @@ def ocr_quality(pairs: DataFrame, *by: str) -> DataFrame:
 def numbered(rows: DataFrame, *order: str, name: str = "row_index") -> DataFrame:
     """Rows with a running number from 0 in the given order, without gathering them in one task.
 
-    Rows are range-partitioned and sorted, each partition's rows are counted, and the running total of
-    the counts (one per partition) is added to the number inside the partition.
+    Rows are range-partitioned, sorted and written once, so that no row is numbered anew; each partition's
+    rows are counted, and the running total of the counts (one per partition) is added to the number
+    inside the partition.
     """
     laid = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     part, inside = F.shiftrightunsigned("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    laid = laid.withColumn("_part", part).persist()
+    laid = keep(laid.withColumn("_part", part))
     counts = laid.groupBy("_part").agg(F.count("*").alias("n"))
     ahead = counts.withColumn("ahead", F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).drop("n")
     return laid.join(F.broadcast(ahead), "_part").withColumn(name, inside + F.col("ahead")).drop("_part", "_at", "ahead")
@@ -47,14 +49,19 @@ def split(rows: DataFrame, *order: str, every: int = SPLIT) -> DataFrame:
 
 
 def batches(rows: DataFrame, size: int, seed: int = 7, key: str = "row_index") -> DataFrame:
-    """rows plus batch: a reproducible shuffle by hash, then runs of ``size``."""
-    shuffled = rows.withColumn("_h", F.xxhash64(key, F.lit(seed)))
+    """rows plus batch: a reproducible shuffle by md5 of seed and key, then runs of ``size``."""
+    shuffled = rows.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))))
     return numbered(shuffled, "_h", key, name="_n").withColumn("batch", F.floor(F.col("_n") / size).cast("long")).drop("_n", "_h")
 
 
-def best_epoch(history: DataFrame) -> DataFrame:
+def epoch_loss(losses: DataFrame, *by: str) -> DataFrame:
+    """losses(.., epoch, loss) of single batches as one mean per epoch, to four places."""
+    return losses.groupBy(*by, "epoch").agg(py_round(F.avg("loss"), 4).alias("loss"))
+
+
+def best_epoch(history: DataFrame, *by: str) -> DataFrame:
     """Lowest error rate, highest part of exact matches, and the last epoch with that error rate."""
-    return history.agg(F.min("cer").alias("best_cer"), F.max("exact").alias("best_exact"), F.max_by("epoch", F.struct(-F.col("cer"), "epoch")).alias("best_epoch"))
+    return history.groupBy(*by).agg(F.min("cer").alias("best_cer"), F.max("exact").alias("best_exact"), F.max_by("epoch", F.struct(-F.col("cer"), "epoch")).alias("best_epoch"))
 
 
 def early_stop(history: DataFrame, target: float = 80.0, patience: int = 8, run: str | None = None) -> DataFrame:

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
+from spindrift.functions.images import per_worker
 from spindrift.functions.numeric import hash_sample, py_round, ratio, sample_positions
-from spindrift.functions.text import normalize_text
+from spindrift.functions.text import is_blank, normalize_texts
 from spindrift.schema import AUDIT_RATE, DEFAULT_ROUTE, ENGRAVED, GATE, REVIEW_BELOW, SAMPLE_PAGES, SOURCE_TYPES
 
 LINE = "array<struct<text: string, confidence: double, bbox: array<double>, engine: string>>"
@@ -79,33 +80,50 @@ def classification(labels: Column, probabilities: Column) -> Column:
 
 def clean_lines(lines: Column) -> Column:
     """OCR lines with normalized text; those without any go."""
-    return F.filter(F.transform(lines, lambda x: x.withField("text", normalize_text(x["text"]))), lambda x: x["text"] != "")
+    texts = normalize_texts(F.transform(lines, lambda x: x["text"]))
+    return F.filter(F.zip_with(lines, texts, lambda x, t: x.withField("text", t)), lambda x: x["text"] != "")
 
 
 def word_reading(words: Column) -> Column:
     """struct(text, confidence, words) of array<struct(word, conf)>: blanks and negative confidences go."""
-    named = F.transform(F.filter(words, lambda w: (F.trim(F.coalesce(w["word"], F.lit(""))) != "") & (w["conf"] >= 0)), lambda w: F.struct(normalize_text(w["word"]).alias("word"), (w["conf"] / 100).alias("conf")))
-    kept = F.filter(named, lambda w: w["word"] != "")
+    read = normalize_texts(F.transform(words, lambda w: w["word"]))
+    named = F.zip_with(words, read, lambda w, t: F.struct(t.alias("word"), (w["conf"] / 100).alias("conf")))
+    kept = F.filter(named, lambda w: (w["word"] != "") & (w["conf"] >= 0))
     mean = F.coalesce(F.try_divide(F.aggregate(kept, F.lit(0.0), lambda a, w: a + w["conf"]), F.size(kept).cast("double")), F.lit(0.0))
     return F.struct(F.array_join(F.transform(kept, lambda w: w["word"]), " ").alias("text"), py_round(mean, 4).alias("confidence"), kept.alias("words"))
 
 
+def mean_confidence(words: DataFrame) -> DataFrame:
+    """(words, confidence): of words(word, conf) that aren't blank, how many there are and the mean of conf, 0 without any."""
+    return words.where(~is_blank("word")).agg(F.count("*").alias("words"), F.coalesce(F.avg("conf"), F.lit(0.0)).alias("confidence"))
+
+
 _READING = StructType([StructField("text", StringType()), StructField("confidence", DoubleType()), StructField("engine", StringType())])
 
 
 def page_reader(factory: Callable[[], Callable[[bytes, str, str], list[dict]]]):
-    """DataFrame(image, language, route, ...) -> the same plus lines, by an engine that reads one page image."""
+    """DataFrame(image, language, route, ...) -> the same plus lines and error, by an engine that reads one page image.
+
+    A page that can't be read has no lines and the message, cut to 1000 characters, as its error; the others go on.
+    """
 
     def read(df: DataFrame) -> DataFrame:
         names = df.columns
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", lines {LINE}"
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", lines {LINE}, error string"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            engine = factory()
+            engine = per_worker(factory)
             kind = pa.list_(pa.struct([("text", pa.string()), ("confidence", pa.float64()), ("bbox", pa.list_(pa.float64())), ("engine", pa.string())]))
             for batch in batches:
-                rows = zip(batch.column("image").to_pylist(), batch.column("language").to_pylist(), batch.column("route").to_pylist(), strict=True)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([engine(*r) for r in rows], kind)], names=[*names, "lines"])
+                lines, errors = [], []
+                for row in zip(batch.column("image").to_pylist(), batch.column("language").to_pylist(), batch.column("route").to_pylist(), strict=True):
+                    try:
+                        got, problem = engine(*row), None
+                    except Exception as e:  # one bad page is that document's failure, not the job's
+                        got, problem = [], (str(e) or type(e).__name__)[:1000]
+                    lines.append(got)
+                    errors.append(problem)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lines, kind), pa.array(errors, pa.string())], names=[*names, "lines", "error"])
 
         return df.mapInArrow(run, schema)
 
@@ -117,7 +135,7 @@ def line_reader(factory: Callable[[], Callable[[bytes, list[float], str], dict]]
 
     @F.pandas_udf(_READING)
     def read(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        engine = factory()
+        engine = per_worker(factory)
         for image, bbox, language in parts:
             got = [engine(i, [] if b is None else list(b), la) for i, b, la in zip(image, bbox, language, strict=True)]
             yield pd.DataFrame({k: [g.get(k) for g in got] for k in ("text", "confidence", "engine")}, columns=["text", "confidence", "engine"])
@@ -130,13 +148,25 @@ def embedder(factory: Callable[[], Callable[[bytes], list[float]]]):
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        engine = factory()
+        engine = per_worker(factory)
         for image in parts:
-            yield pd.Series([[float(x) for x in engine(i)] for i in image])
+            yield pd.Series([None if i is None else [float(x) for x in engine(i)] for i in image], dtype=object)
 
     return embed
 
 
+def classifier(factory: Callable[[], Callable[[bytes], list[float]]], labels: tuple[str, ...] = SOURCE_TYPES):
+    """Column function image -> classification, by a model that gives a probability for each label; a null image has none."""
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def probabilities(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        engine = per_worker(factory)
+        for image in parts:
+            yield pd.Series([[] if i is None else [float(x) for x in engine(i)] for i in image], dtype=object)
+
+    return lambda image: classification(F.array(*map(F.lit, labels)), probabilities(image))
+
+
 def gated(lines: DataFrame, images: DataFrame, reader, key: Column) -> DataFrame:
     """lines plus second: the second reading of the lines that the gate picks, null for the others.
 

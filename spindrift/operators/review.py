@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.functions.text import first_text, transliterate, tsv_field
+from spindrift.functions.text import first_text, is_blank, strip, transliterate, tsv_field
 from spindrift.schema import ACTIONS
 
 
@@ -18,6 +18,21 @@ def listing(documents: DataFrame, pages: DataFrame, limit: int = 100) -> DataFra
     return newest.join(verified, "doc_id", "left").withColumn("verified_pages", F.coalesce("n", F.lit(0))).drop("n").orderBy(F.col("created_at").desc(), "id")
 
 
+#: Columns of the views that an interface shows.
+SUMMARY = ("id", "filename", "file_type", "language", "source_type", "source_confidence", "source_manual", "status", "page_count", "verified_pages", "error", "created_at", "updated_at")
+
+
+def summaries(documents: DataFrame) -> DataFrame:
+    """The columns of a document that its views show; verified_pages is 0 where it isn't counted."""
+    has = documents.columns
+    return documents.select(*(F.col(c) if c in has else F.lit(0 if c == "verified_pages" else None).alias(c) for c in SUMMARY))
+
+
+def by_id(documents: DataFrame, id_: str) -> DataFrame:
+    """The one document with that id; no row means that there is none."""
+    return summaries(documents.where(F.col("id") == id_))
+
+
 def review_lines(documents: DataFrame, pages: DataFrame, lines: DataFrame) -> DataFrame:
     """Lines with their page's size (1 where missing), the text to show and its romanization."""
     p = pages.select("page_id", F.coalesce(F.nullif("width", F.lit(0)), F.lit(1)).alias("page_width"), F.coalesce(F.nullif("height", F.lit(0)), F.lit(1)).alias("page_height"))
@@ -37,13 +52,13 @@ def review_tree(documents: DataFrame, pages: DataFrame, lines: DataFrame) -> Dat
 
 def checked(events: DataFrame) -> DataFrame:
     """events(action, reviewer) plus problem: null, or why one isn't taken."""
-    return events.withColumn("problem", F.when(~F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False)), "unknown action").when(F.trim(F.coalesce("reviewer", F.lit(""))) == "", "no reviewer"))
+    return events.withColumn("problem", F.when(~F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False)), "unknown action").when(is_blank("reviewer"), "no reviewer"))
 
 
 def history(events: DataFrame, key: str = "line_key") -> DataFrame:
     """The log with what each verification replaced (null for the first of a line)."""
     w = Window.partitionBy(key).orderBy("seq")
-    return events.withColumn("previous_text", F.lag("new_text").over(w)).withColumn("reviewer", F.trim("reviewer"))
+    return events.withColumn("previous_text", F.lag("new_text").over(w)).withColumn("reviewer", strip("reviewer"))
 
 
 def latest(events: DataFrame, key: str = "line_key") -> DataFrame:
@@ -77,7 +92,7 @@ def training_context(documents: DataFrame, pages: DataFrame, lines: DataFrame) -
 def training_pairs(context: DataFrame) -> DataFrame:
     """Verified lines with an image and a text that isn't blank, with the path of their crop."""
     crop = F.format_string("crops/%d/page-%04d-line-%04d.png", "doc_id", "page_number", "line_order")
-    ok = context.where(F.col("image_path").isNotNull() & (F.trim(F.coalesce("verified_text", F.lit(""))) != ""))
+    ok = context.where(F.col("image_path").isNotNull() & ~is_blank("verified_text"))
     return ok.select("line_id", crop.alias("crop_path"), F.col("verified_text").alias("text"), "source_type", "language")
 
 

@@ -12,6 +12,8 @@ from spindrift.functions import text as X
 from spindrift.functions import vectors as V
 from spindrift.operators import evaluation, layout, metrics, recognition, review, similarity, store
 from spindrift.plans import fixtures as fx
+from spindrift.sources import files
+from spindrift.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,6 +36,11 @@ def _three(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     return fx.documents(spark, d), fx.pages(spark, d), fx.lines(spark, d)
 
 
+_WS = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_NORM = "trim(regexp_replace(translate(nfc_normalize($x), chr(8203) || chr(8204) || chr(8205) || chr(65279), ''), '" + _WS + "', ' ', 'g'))"
+_CONS, _SIGNS = "".join(X.CONSONANTS), "".join(X.VOWEL_SIGNS)
+
+
 # --- metrics
 
 
@@ -50,9 +57,23 @@ def dashboard_totals(spark, d):
     return t.withColumn("average_confidence", F.round("average_confidence", 6)).withColumn("pages_per_minute", F.round("pages_per_minute", 6))
 
 
-@query()
+@query("""
+, t as (select (select count(*) from fx_documents) as documents, (select count(*) from fx_pages) as pages, count(*) as lines, count(*) filter (review_status = 'accepted') as accepted,
+  count(*) filter (review_status in ('verified', 'corrected')) as reviewed, count(*) filter (tesseract_checked = 1) as reread, avg(confidence) as mean from fx_lines),
+p as (select count(*) as n, date_diff('second', min(processed_at), max(processed_at)) / 60.0::double as m from fx_pages where status = 'ready' and processed_at is not null),
+st as (select status, count(*) as count from fx_documents group by 1), so as (select coalesce(source_type, 'unknown') as source_type, count(*) as count from fx_documents group by 1),
+bu as (select case when confidence < 0.5 then '0-49%' when confidence < 0.8 then '50-79%' when confidence < 0.95 then '80-94%' else '95-100%' end as bucket, count(*) as count from fx_lines where confidence is not null group by 1)
+select documents, pages, lines, coalesce(printf('%.1f', accepted * 100.0::double / nullif(lines, 0))::double, 0) as auto_accepted_percent, coalesce(printf('%.1f', reviewed * 100.0::double / nullif(lines, 0))::double, 0) as reviewed_percent,
+  coalesce(printf('%.1f', reread * 100.0::double / nullif(lines, 0))::double, 0) as reread_percent, printf('%.1f', mean * 100)::double as average_confidence,
+  (select case when n >= 2 and m > 0 then printf('%.2f', n / m)::double end from p) as pages_per_minute,
+  (select string_agg(status || '=' || count, ';' order by status) from st) as status_breakdown, (select string_agg(source_type || '=' || count, ';' order by count desc, source_type) from so) as source_type_breakdown,
+  (select string_agg(bucket || '=' || count, ';' order by bucket) from bu) as bucket_breakdown
+from t
+""")
 def dashboard(spark, d):
-    return metrics.dashboard(*_three(spark, d))
+    out = metrics.dashboard(*_three(spark, d))
+    shown = lambda key: F.array_join(F.transform(f"{key}_breakdown", lambda x: F.concat_ws("=", x[key], x["count"].cast("string"))), ";")
+    return out.withColumns({f"{key}_breakdown": shown(key) for key in ("status", "source_type", "bucket")})
 
 
 @query("""
@@ -112,9 +133,12 @@ def bench_summary(spark, d):
     return out.select("stage", F.round(F.col("stage_seconds") * 1000).cast("long").alias("stage_ms"), "pages", *rounded, "reread_share")
 
 
-@query("select false as all_available, 'clip,paddle' as missing", fixtures=False)
+@query("""
+, e as (select coalesce(engine, 'clip') as name, min(h) % 3 <> 0 as ok from fx_lines group by 1)
+select bool_and(ok) as all_available, coalesce(string_agg(name, ',' order by name) filter (not ok), '') as missing from e
+""")
 def engine_health(spark, d):
-    engines = spark.createDataFrame([("paddle", False), ("tesseract", True), ("clip", False)], "name string, available boolean")
+    engines = fx.lines(spark, d).groupBy(F.coalesce("engine", F.lit("clip")).alias("name")).agg((F.min("h") % 3 != 0).alias("available"))
     return metrics.health(engines).select("all_available", F.array_join("missing", ",").alias("missing"))
 
 
@@ -138,9 +162,16 @@ def review_lines(spark, d):
     return review.review_lines(*_three(spark, d)).select("line_id", "id", "page_number", "line_order", "page_width", "page_height", "text")
 
 
-@query()
+@query("""
+, l as (select page_id, line_order, line_id, ocr_text, coalesce(nullif(verified_text, ''), ocr_text) as text, confidence, review_status, row_number() over (partition by page_id order by line_order) - 1 as line_pos from fx_lines),
+p as (select page_id, doc_id, page_number, status as page_status, row_number() over (partition by doc_id order by page_number) - 1 as page_pos from fx_pages)
+select d.id, d.status, page_pos::int as page_pos, page_number, p.page_id, page_status, line_pos::int as line_pos, line_id, l.text, @norm as romanized, confidence, l.review_status
+from fx_documents d left join p on p.doc_id = d.doc_id left join l on l.page_id = p.page_id
+""".replace("@norm", _NORM.replace("$x", "l.text")))
 def review_tree(spark, d):
-    return review.review_tree(*_three(spark, d)).select("id", "status", "pages")
+    tree = review.review_tree(*_three(spark, d)).select("id", "status", F.posexplode_outer("pages").alias("page_pos", "p"))
+    flat = tree.select("id", "status", "page_pos", "p.page_number", "p.page_id", F.col("p.status").alias("page_status"), F.posexplode_outer("p.lines").alias("line_pos", "l"))
+    return flat.select("id", "status", "page_pos", "page_number", "page_id", "page_status", "line_pos", "l.line_id", "l.text", "l.romanized", "l.confidence", "l.review_status")
 
 
 @query("select e.page_id, e.document_id, p.page_number, len(e.embedding)::int as dimensions from fx_embeddings e join fx_pages p on p.page_id = 1001 + e.page_id * 1000")
@@ -160,11 +191,13 @@ def line_training_context(spark, d):
 
 
 @query(f"""
-select line_id, printf('crops/%d/page-%04d-line-%04d.png', doc_id, page_number, line_order) || chr(9) || trim(replace(verified_text, chr(9), ' ')) as value
-from ({_CONTEXT}) where image_path is not null and trim(coalesce(verified_text, '')) <> ''
+select line_id, printf('crops/%d/page-%04d-line-%04d.png', doc_id, page_number, line_order) || chr(9) || regexp_replace(regexp_replace(replace(verified_text, chr(9), ' '), '^{_WS}', ''), '{_WS}$', '') as value
+from ({_CONTEXT}) where image_path is not null and not regexp_full_match(coalesce(verified_text, ''), '({_WS})?') and doc_id % 5 <> 0
 """)
 def training_export(spark, d):
-    return review.export_lines(review.training_pairs(review.training_context(*_three(spark, d))))
+    pairs = review.training_pairs(review.training_context(*_three(spark, d)))
+    crops = pairs.where("split(crop_path, '/')[1] % 5 <> 0").select(F.col("crop_path").alias("path"))  # of the others the crop isn't there
+    return review.export_lines(pairs, crops)
 
 
 @query("select line_key, max_by(action, seq) as action, max_by(reviewer, seq) as reviewer, max_by(new_text, seq) as new_text, max(seq) as seq from fx_verifications group by line_key")
@@ -247,8 +280,7 @@ def replace_page_lines(spark, d):
     old = fx.lines(spark, d).select("page_id", "line_id", "ocr_text")
     again = fx.pages(spark, d).where("g % 4 = 1").select("page_id")
     new = fx.lines(spark, d).where("line_order < 3").join(again, "page_id", "left_semi").select("page_id", (-F.col("line_id")).alias("line_id"), F.concat(F.lit("again "), "ocr_text").alias("ocr_text"))
-    # a page that is read again and gives no line loses its old ones
-    return old.join(again, "page_id", "left_anti").unionByName(new)
+    return store.replace_children(old, new, "page_id", again)
 
 
 def _tables(spark, d):
@@ -297,7 +329,7 @@ def source_update(spark, d):
 @query("select page_id, page_number from fx_pages where status <> 'ready'")
 def pending_pages(spark, d):
     pages = fx.pages(spark, d).select("page_id", "page_number", "status")
-    return pages.join(pages.where("status = 'ready'"), "page_id", "left_anti").select("page_id", "page_number")
+    return ingest.pending(pages, pages.where("status = 'ready'")).select("page_id", "page_number")
 
 
 @query("select doc_id, string_agg(page_number, ',' order by page_number) as ready from fx_pages where status = 'ready' group by doc_id")
@@ -402,11 +434,6 @@ def overlap_ratio(spark, d):
 
 # --- text
 
-_WS = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-_NORM = "trim(regexp_replace(translate(nfc_normalize($x), chr(8203) || chr(8204) || chr(8205) || chr(65279), ''), '" + _WS + "', ' ', 'g'))"
-_CONS, _SIGNS = "".join(X.CONSONANTS), "".join(X.VOWEL_SIGNS)
-
-
 @query("select doc_id, " + _NORM.replace("$x", "text") + " as text from fx_script")
 def normalize_text(spark, d):
     return fx.script_texts(spark, d).select("doc_id", X.normalize_text("text").alias("text"))
@@ -414,7 +441,7 @@ def normalize_text(spark, d):
 
 @query("select doc_id, " + _NORM.replace("$x", "text") + " as text from documents", fixtures=False)
 def normalize_text_full(spark, d):
-    return fx.table(spark, d, "documents").select("doc_id", X.normalize_text_full("text").alias("text"))
+    return fx.table(spark, d, "documents").select("doc_id", X.normalize_text("text").alias("text"))
 
 
 def _sql_map(table: dict[str, str]) -> str:
@@ -425,10 +452,10 @@ def _sql_map(table: dict[str, str]) -> str:
 select doc_id, list_aggregate(list_transform(regexp_extract_all({_NORM.replace("$x", "text")}, '([{_CONS}][{_SIGNS}{X.PULLI}]?|[\\s\\S])'),
   lambda u: case when u = '{X.PULLI}' then '' when {_sql_map(X.VOWELS)}[u] is not null then {_sql_map(X.VOWELS)}[u] when {_sql_map(X.CONSONANTS)}[left(u, 1)] is not null then {_sql_map(X.CONSONANTS)}[left(u, 1)] ||
     case when length(u) = 1 then 'a' when substr(u, 2, 1) = '{X.PULLI}' then '' else {_sql_map(X.VOWEL_SIGNS)}[substr(u, 2, 1)] end else u end), 'string_agg', '') as romanized
-from fx_script where length(text) < 2000
+from fx_script
 """)
 def transliterate(spark, d):
-    return fx.script_texts(spark, d).select("doc_id", X.transliterate_long("text").alias("romanized"))
+    return fx.script_texts(spark, d).select("doc_id", X.transliterate("text").alias("romanized"))
 
 
 _WORDS = "list_filter(list_transform(regexp_split_to_array(text, '" + _WS + "'), lambda w: " + _NORM.replace("$x", "trim(w, '" + X.PUNCTUATION.replace("'", "''") + "')") + "), lambda w: w <> '')"
@@ -484,39 +511,44 @@ def html_escape(spark, d):
     return fx.lines(spark, d).select("line_id", X.html_escape("ocr_text").alias("html"))
 
 
-@query("""
-select page_id, lower(regexp_extract(replace(url, '\\', '/'), '[.]([^./\\\\]+)$', 1)) as ext, case when lower(regexp_extract(url, '[.]([^./\\\\]+)$', 1)) not in ('pdf', 'jpg', 'jpeg', 'png', 'tif', 'tiff', 'webp', 'heic') then 415 when octet_length(encode(html)) = 0 then 400 end as code
-from pages
+_KINDS = "('pdf', 'jpg', 'jpeg', 'png', 'tif', 'tiff', 'webp', 'heic')"
+
+
+@query(f"""
+select page_id, ext, case when ext is null or ext not in {_KINDS} then 415 when size = 0 then 400 when size > 500 * 1024 * 1024 then 413 end as code
+from (select page_id, lower(regexp_extract(name, '[.]([^./\\\\]+)$', 1)) as ext, size from (select page_id, case when page_id % 3 = 0 then url else url || '.JPG' end as name,
+  octet_length(encode(html)) * case when page_id % 50 = 1 then 1000000 when page_id % 50 = 2 then 0 else 1 end as size from pages))
 """, fixtures=False)
 def upload_checks(spark, d):
-    from spindrift.sources.files import upload_code
-
-    pages = fx.table(spark, d, "pages").where("url is not null and html is not null")
-    return pages.select("page_id", X.extension("url").alias("ext"), upload_code("url", F.octet_length("html"), pdf=True).alias("code"))
+    pages = fx.table(spark, d, "pages")
+    size = F.octet_length("html").cast("long") * F.when(F.col("page_id") % 50 == 1, 1_000_000).when(F.col("page_id") % 50 == 2, 0).otherwise(1)
+    named = pages.select("page_id", F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(F.concat("url", F.lit(".JPG"))).alias("name"), size.alias("size"))
+    return named.select("page_id", X.extension("name").alias("ext"), files.upload_code("name", "size", pdf=True).alias("code"))
 
 
 # --- training
 
-_EPOCHS = "(values (1, 40.0, 10.0), (2, 35.0, 12.0), (3, 35.0, 15.0), (4, 36.0, 30.0), (5, 35.0, 15.0), (6, 34.0, 5.0), (7, 34.5, 40.0), (8, 34.0, 4.0), (9, 50.0, 1.0), (10, 33.0, 85.0)) e(epoch, cer, exact)"
-
-
-def _epochs(spark):
-    rows = [(1, 40.0, 10.0), (2, 35.0, 12.0), (3, 35.0, 15.0), (4, 36.0, 30.0), (5, 35.0, 15.0), (6, 34.0, 5.0), (7, 34.5, 40.0), (8, 34.0, 4.0), (9, 50.0, 1.0), (10, 33.0, 85.0)]
-    return spark.createDataFrame(rows, "epoch int, cer double, exact double")
-
-
-@query(f"select min(cer)::double as best_cer, max(exact)::double as best_exact, (select max(epoch) from {_EPOCHS} where cer = (select min(cer) from {_EPOCHS})) as best_epoch from {_EPOCHS}", fixtures=False)
+@query("""
+select run, min(cer) as best_cer, max(exact) as best_exact, max(epoch) filter (cer = least_cer) as best_epoch from (select *, min(cer) over (partition by run) as least_cer from fx_epochs) group by run
+""")
 def epoch_best(spark, d):
-    return evaluation.best_epoch(_epochs(spark))
+    return evaluation.best_epoch(fx.epochs(spark, d), "run")
 
 
-@query(f"""
-with e as (select * from {_EPOCHS}), i as (select *, not exists (select 1 from e b where b.epoch < e.epoch and (b.cer < e.cer or b.cer = e.cer and b.exact >= e.exact)) as improved from e),
-s as (select *, epoch - (select max(epoch) from i b where b.epoch <= i.epoch and b.improved) as stale from i)
-select epoch, improved, stale::int as stale, epoch = (select min(epoch) from s where exact >= 80 or stale >= 3) as stop from s
-""", fixtures=False)
+@query("""
+, i as (select *, not exists (select 1 from fx_epochs b where b.run = e.run and b.epoch < e.epoch and (b.cer < e.cer or b.cer = e.cer and b.exact >= e.exact)) as improved from fx_epochs e),
+n as (select *, row_number() over (partition by run order by epoch) as k from i),
+s as (select *, k - max(case when improved then k end) over (partition by run order by k) as stale from n)
+select run, epoch, improved, stale::int as stale, coalesce(epoch = min(case when exact >= 80 or stale >= 3 then epoch end) over (partition by run), false) as stop from s
+""")
 def early_stop(spark, d):
-    return evaluation.early_stop(_epochs(spark), patience=3).select("epoch", "improved", F.col("stale").cast("int").alias("stale"), "stop")
+    return evaluation.early_stop(fx.epochs(spark, d), patience=3, run="run").select("run", "epoch", "improved", F.col("stale").cast("int").alias("stale"), "stop")
+
+
+@query("select run, epoch, printf('%.4f', avg(v)::double)::double as loss from (select user_id as run, day(ts)::int as epoch, (event_id % 1000) / 8.0::double as v from events) group by run, epoch", fixtures=False)
+def epoch_loss(spark, d):
+    losses = fx.table(spark, d, "events").select(F.col("user_id").alias("run"), F.dayofmonth("ts").alias("epoch"), ((F.col("event_id") % 1000) / 8.0).alias("loss"))
+    return evaluation.epoch_loss(losses, "run")
 
 
 @query("select doc_id, row_number() over (order by doc_id) - 1 as row_index, (row_number() over (order by doc_id) - 1) % 10 = 0 as validation from documents", fixtures=False)
@@ -524,22 +556,27 @@ def train_val_split(spark, d):
     return evaluation.split(fx.table(spark, d, "documents").select("doc_id"), "doc_id")
 
 
-@query("select count(*) as batches, min(n) as smallest, max(n) as largest, sum(n)::bigint as samples from (select least(16, (select count(*) from documents) - 16 * b) as n from range((select (count(*) + 15) // 16 from documents)) t(b))", fixtures=False)
+@query("select doc_id as row_index, (row_number() over (order by md5('7:' || doc_id), doc_id) - 1) // 16 as batch from documents", fixtures=False)
 def shuffled_batches(spark, d):
-    rows = fx.table(spark, d, "documents").select(F.col("doc_id").alias("row_index"))
-    sizes = evaluation.batches(rows, 16).groupBy("batch").agg(F.count("*").alias("n"))
-    return sizes.agg(F.count("*").alias("batches"), F.min("n").alias("smallest"), F.max("n").alias("largest"), F.sum("n").alias("samples"))
+    return evaluation.batches(fx.table(spark, d, "documents").select(F.col("doc_id").alias("row_index")), 16)
+
+
+@query("select bool_and(ok) as all_ok, count(*) filter (not ok) as failed from (select o_orderstatus <> 'P' as ok from orders)", fixtures=False)
+def all_passed(spark, d):
+    return evaluation.all_passed(fx.table(spark, d, "orders").select((F.col("o_orderstatus") != "P").alias("ok")))
 
 
 @query("""
-select 's' || o_orderkey as name, size - (select coalesce(sum(least(1000, size - i)), 0) from range(prefix, size, 1000) t(i) where (i // 1000) % 3 <> 0)::bigint as bytes_done
-from (select o_orderkey, (o_orderkey % 17) * 777 as size, least((o_orderkey % 3) * 1000, (o_orderkey % 17) * 777) as prefix from orders)
+select name, bytes_done, coalesce(bytes_done * 1.0::double / nullif(size, 0), 0) * 100 as percent, (bytes_done - prefix) / 2.0::double as rate,
+  case when bytes_done > prefix then (size - bytes_done) / ((bytes_done - prefix) / 2.0::double) else 0.0::double end as seconds_left
+from (select 's' || o_orderkey as name, size, prefix, size - (select coalesce(sum(least(1000, size - i)), 0) from range(prefix, size, 1000) t(i) where (i // 1000) % 3 <> 0)::bigint as bytes_done
+  from (select o_orderkey, (o_orderkey % 17) * 777 as size, least((o_orderkey % 3) * 1000, (o_orderkey % 17) * 777) as prefix from orders))
 """, fixtures=False)
 def download_progress(spark, d):
     o = fx.table(spark, d, "orders").select(F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("name"), ((F.col("o_orderkey") % 17) * 777).alias("size"), (F.col("o_orderkey") % 3 * 1000).alias("p"))
     sizes = o.select("name", "size", F.least("p", "size").alias("prefix"), F.lit(2.0).alias("seconds"))
     done = sizes.where("prefix < size").select("name", F.explode(F.expr("sequence(prefix, size - 1, 1000L)")).alias("start")).where("start div 1000 % 3 = 0")
-    return evaluation.download_progress(sizes, done, 1000).select("name", "bytes_done")
+    return evaluation.download_progress(sizes, done, 1000)
 
 
 # --- vectors
@@ -557,11 +594,11 @@ def similar_pages(spark, d):
 
 
 @query("""
-, x as (select page_id, (embedding[1:5])::double[] as x from fx_embeddings), e as (select page_id, list_transform(x, lambda v: exp(v - list_max(x))) as e from x)
+, x as (select page_id, embedding::double[] as x from fx_embeddings where embedding is not null), e as (select page_id, list_transform(x, lambda v: exp(v - list_max(x))) as e from x)
 select page_id, (list_position(e, list_max(e)) - 1)::int as best, round(list_max(e) / list_sum(e), 6) as confidence from e
 """)
 def softmax_scores(spark, d):
-    p = fx.embeddings(spark, d).withColumn("x", F.slice(F.col("embedding").cast("array<double>"), 1, 5)).withColumn("p", N.softmax("x"))
+    p = fx.embeddings(spark, d).withColumn("x", F.col("embedding").cast("array<double>")).where("x is not null").withColumn("p", N.softmax("x"))
     return p.select("page_id", V.argmax("p").alias("best"), F.round(F.array_max("p"), 6).alias("confidence"))
 
 
@@ -572,8 +609,152 @@ def ocr_sizes(spark, d):
     return p.select("page_id", "width", "height", w.alias("ocr_width"), h.alias("ocr_height"))
 
 
-@query()
+@query("select event_type, count(*) as n from events group by event_type", fixtures=False)
 def ingest_stream(spark, d):
-    from spindrift.streaming.ingest import drain_events
+    return ingest.drain_events(spark, f"{d}/events.parquet")
+
+
+# --- small functions and sources over whole tables
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, printf('%.1f', l_extendedprice / 7)::double as one, printf('%.2f', -l_extendedprice / 8)::double as two, floor(l_extendedprice / 4 + 0.5)::bigint as js from lineitem", fixtures=False)
+def rounding(spark, d):
+    v = F.col("l_extendedprice")
+    return fx.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", N.py_round(v / 7, 1).alias("one"), N.py_round(-v / 8, 2).alias("two"), N.js_round(v / 4).alias("js"))
+
+
+@query("select id, 'DOC-' || strftime(created_at, '%Y%m%d') || '-' || upper(left(md5(id), 6)) as made from fx_documents")
+def document_ids(spark, d):
+    return fx.documents(spark, d).select("id", X.document_id("created_at", "id").alias("made"))
+
+
+@query("select 'train_shard_' || lpad((p_partkey % 1000)::varchar, 3, '0') || '.parquet' as name, p_size::bigint as size, md5(p_name) as sha256, (p_partkey % 1000)::int as shard from part where p_partkey % 7 <> 0", fixtures=False)
+def shard_listing(spark, d):
+    path = F.when(F.col("p_partkey") % 7 == 0, "README.md").otherwise(F.concat(F.lit("data/train_shard_"), F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0"), F.lit(".parquet")))
+    entry = F.struct(path.alias("path"), F.col("p_size").cast("long").alias("size"), F.struct(F.md5("p_name").alias("oid")).alias("lfs"))
+    return files.shard_listing(fx.table(spark, d, "part").select(F.to_json(F.array(entry)).alias("value")))
+
 
-    return drain_events(spark, f"{d}/events.parquet")
+@query("select lang, count(*) as samples, count(distinct doc_id) as ids from documents group by lang", fixtures=False)
+def parquet_samples(spark, d):
+    rows = files.parquet_samples(spark, f"{d}/documents.parquet", ("doc_id", "lang"))
+    return rows.groupBy("lang").agg(F.count_distinct("file", "row").alias("samples"), F.count_distinct("doc_id").alias("ids"))
+
+
+@query("select page_id, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1 from fx_lines group by page_id")
+def polygon_boxes(spark, d):
+    corners = F.array(F.array("x0", "y0"), F.array("x1", "y0"), F.array("x1", "y1"), F.array("x0", "y1"))
+    pages = fx.lines(spark, d).select("page_id", corners.alias("c")).groupBy("page_id").agg(F.flatten(F.collect_list("c")).alias("c"))
+    return pages.select("page_id", N.polygon_box("c").alias("b")).select("page_id", *(F.col("b")[i].alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))))
+
+
+@query(f"""
+, l as (select page_id, pos, {_NORM.replace("$x", "t")} as t from (select page_id, pos, case when pos % 4 = 0 then ' ' || chr(8203) else ocr_text || chr(9) || chr(8205) || ' x' end as t from fx_lines))
+select page_id, count(*) filter (t <> '')::int as kept, coalesce(string_agg(t, chr(10) order by pos) filter (t <> ''), '') as text from l group by page_id
+""")
+def clean_lines(spark, d):
+    odd = F.when(F.col("pos") % 4 == 0, " \u200b").otherwise(F.concat("ocr_text", F.lit("\t\u200d x")))
+    lines = fx.lines(spark, d).groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", odd.alias("text")))), lambda x: F.struct(x["text"].alias("text"))).alias("l"))
+    kept = lines.select("page_id", recognition.clean_lines(F.col("l")).alias("l"))
+    return kept.select("page_id", F.size("l").alias("kept"), F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("text"))
+
+
+@query("""
+, w as (select user_id, event_id, case when event_id % 5 = 0 then '  ' else event_type || ' ' end as word, (event_id % 105 - 4)::double as conf from events), k as (select *, trim(word) as t from w where trim(word) <> '' and conf >= 0)
+select user_id, coalesce((select string_agg(t, ' ' order by event_id) from k where k.user_id = u.user_id), '') as text, coalesce((select printf('%.4f', sum(conf) / 100 / count(*))::double from k where k.user_id = u.user_id), 0) as confidence
+from (select distinct user_id from events) u
+""")
+def word_readings(spark, d):
+    e = fx.table(spark, d, "events")
+    word = F.struct("event_id", F.when(F.col("event_id") % 5 == 0, "  ").otherwise(F.concat("event_type", F.lit(" "))).alias("word"), (F.col("event_id") % 105 - 4).cast("double").alias("conf"))
+    words = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(word)), lambda x: F.struct(x["word"].alias("word"), x["conf"].alias("conf"))).alias("w"))
+    return words.select("user_id", recognition.word_reading(F.col("w")).alias("r")).select("user_id", "r.text", "r.confidence")
+
+
+@query("select count(*) as words, avg(value) as confidence from events where event_type <> 'error'", fixtures=False)
+def mean_confidence(spark, d):
+    words = fx.table(spark, d, "events").select(F.when(F.col("event_type") == "error", "\t ").otherwise(F.col("event_type")).alias("word"), F.col("value").alias("conf"))
+    return recognition.mean_confidence(words)
+
+
+@query("""
+, c as (select page_id, source_type, pos, printf('%.4f', confidence / 3)::double as p, printf('%.2f', confidence / 3 * 100)::double as percent from fx_classifications)
+select page_id, string_agg(source_type, ',' order by p desc, pos) as ranked, max(p) as best, max(percent) as percentage from c group by page_id
+""")
+def classifications(spark, d):
+    held = fx.classifications(spark, d).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "source_type", (F.col("confidence") / 3).alias("p")))).alias("c"))
+    ranked = held.select("page_id", recognition.classification(F.transform("c", lambda x: x["source_type"]), F.transform("c", lambda x: x["p"])).alias("c"))
+    return ranked.select("page_id", F.array_join(F.transform("c", lambda x: x["source_type"]), ",").alias("ranked"), F.col("c")[0]["confidence"].alias("best"), F.col("c")[0]["percentage"].alias("percentage"))
+
+
+_PLAIN = "list_filter(list_transform(list_filter(list_transform(regexp_split_to_array(text, '" + _WS + "'), lambda w: trim(w, '.,;:!?\"''()[]')), lambda w: w <> ''), lambda w: translate(w, chr(8204) || chr(8205), '')), lambda w: regexp_matches(w, '[\\x{0B80}-\\x{0BFF}]'))"
+
+
+@query(f"""
+, m as (select doc_id, {_PLAIN} as m from fx_script)
+select doc_id, len(m)::int as script_words, len(list_filter(m, {_VALID}))::int as valid_words from m
+""")
+def text_layer_plain(spark, d):
+    return fx.script_texts(spark, d).select("doc_id", X.text_layer_plain("text").alias("t")).select("doc_id", "t.script_words", "t.valid_words")
+
+
+@query("select id, case when doc_id % 3 = 0 then (doc_id % 7)::int else page_count end as page_count, case when doc_id % 3 = 0 then 'now' end as updated_at from fx_documents")
+def page_count_update(spark, d):
+    docs = fx.documents(spark, d).withColumn("updated_at", F.lit(None).cast("string"))
+    return store.set_page_count(docs, docs.where("doc_id % 3 = 0").select("id", (F.col("doc_id") % 7).cast("int").alias("page_count")), F.lit("now")).select("id", "page_count", "updated_at")
+
+
+@query("""
+select id, filename, 'ta' as language, 'uploaded' as status, 0 as page_count from (select 'DOC-20260102-' || upper(left(md5('u/' || page_id), 6)) as id, 'f' || page_id as filename from pages)
+union all select id, 'old', language, status, page_count from fx_documents
+""")
+def insert_documents(spark, d):
+    old = fx.documents(spark, d).select("id", F.lit("old").alias("filename"), F.lit("o").alias("original_path"), F.lit("image").alias("file_type"), "language", "status", "page_count")
+    new = fx.table(spark, d, "pages").select(F.concat(F.lit("f"), F.col("page_id").cast("string")).alias("filename"), F.concat(F.lit("u/"), F.col("page_id").cast("string")).alias("original_path"), F.lit("image").alias("file_type"))
+    out = store.insert_documents(old, new, F.to_date(F.lit("2026-01-02")), F.to_timestamp_ntz(F.lit("2026-01-02 00:00:00")))
+    return out.select("id", "filename", "language", "status", "page_count")
+
+
+@query("""
+select id, case when bad > 0 then 'failed' when ready = n then 'done' when ready > 0 then 'running' else 'queued' end as status, coalesce(ready, 0)::int as done_pages, coalesce(n, 0)::int as total_pages
+from fx_documents left join (select doc_id, count(*) as n, count(*) filter (status = 'ready' and g % 23 <> 0) as ready, count(*) filter (g % 23 = 0) as bad from fx_pages group by doc_id) using (doc_id)
+""")
+def job_progress(spark, d):
+    docs = fx.documents(spark, d)
+    jobs = docs.select(F.col("id"), F.col("id").alias("document_id"), F.lit("queued").alias("status"), F.lit(0).alias("total_pages"), F.lit(0).alias("done_pages"), F.lit("").alias("updated_at"))
+    pages = fx.pages(spark, d).join(docs.select("doc_id", F.col("id").alias("document_id")), "doc_id").select("document_id", F.when(F.col("g") % 23 == 0, "failed").otherwise(F.col("status")).alias("status"))
+    return store.job_progress(jobs, pages, F.lit("now")).select("id", "status", "done_pages", "total_pages")
+
+
+@query("""
+, again as (select page_id from fx_pages where g % 4 = 1), r as (select *, (1 + h % 2)::int as region_order from fx_lines where page_id in (select page_id from again) and pos % 3 <> 0),
+b as (select page_id, region_order, min_by(x0 - 1, line_order) as rx0, count(*) as n from r group by page_id, region_order)
+select page_id, count(*) as lines, count(*) filter (review_status = 'needs_review') as to_review, sum(checked)::bigint as checked, count(distinct region) as regions, coalesce(sum(rx0), 0)::double as region_x0 from (
+  select page_id, review_status, tesseract_checked as checked, null as region, null as rx0 from fx_lines where page_id not in (select page_id from again)
+  union all select r.page_id, case when coalesce(confidence, 0) < 0.8 then 'needs_review' else 'accepted' end, (h % 2)::int, region_order, rx0 from r join b using (page_id, region_order))
+group by page_id
+""")
+def replace_reading(spark, d):
+    lines, pages = fx.lines(spark, d), fx.pages(spark, d)
+    old = lines.withColumn("id", F.col("line_id"))
+    regions = pages.select((F.col("page_id") * 10).alias("id"), "page_id", F.lit(5.0).alias("x0"), F.lit(99).alias("reading_order"))
+    again = pages.where("g % 4 = 1").select("page_id")
+    seen = lines.where("pos % 3 <> 0").join(again, "page_id", "left_semi")
+    reading = seen.select(
+        "page_id", "line_order", (F.col("h") % 2 + 1).cast("int").alias("region_order"), F.col("ocr_text").alias("text"), "confidence", "engine", F.when(F.col("h") % 2 == 1, "second").alias("second"), "x0", "y0", "x1", "y1",
+        (F.col("x0") - 1).alias("region_x0"), F.col("y0").alias("region_y0"), F.col("x1").alias("region_x1"), F.col("y1").alias("region_y1"),
+    )
+    new_lines, new_regions = store.replace_reading(old, regions, again, reading)
+    boxes = new_regions.where("reading_order <> 99").select(F.col("id").alias("region_id"), F.col("x0").alias("rx0"))
+    out = new_lines.join(boxes, "region_id", "left").groupBy("page_id")
+    return out.agg(F.count("*").alias("lines"), F.count_if(F.col("review_status") == "needs_review").alias("to_review"), F.sum("tesseract_checked").alias("checked"), F.count_distinct("region_id").alias("regions"), F.coalesce(F.sum("rx0"), F.lit(0.0)).alias("region_x0"))
+
+
+@query("""
+select id, 'f' as filename, language, source_type, source_manual, status, page_count, (select count(*) from fx_pages p where p.doc_id = d.doc_id and p.review_status = 'verified') as verified_pages, error
+from (select *, 0 as source_manual, null::varchar as error from fx_documents order by created_at desc, id limit 1000) d
+""")
+def document_summaries(spark, d):
+    docs = fx.documents(spark, d).withColumn("filename", F.lit("f")).withColumn("source_manual", F.lit(0))
+    out = review.summaries(review.listing(docs, fx.pages(spark, d), 1000))
+    return out.select("id", "filename", "language", "source_type", "source_manual", "status", "page_count", "verified_pages", F.col("error").cast("string").alias("error"))

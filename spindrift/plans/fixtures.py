@@ -95,8 +95,14 @@ def ctc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "token"))).alias("s")).select("user_id", F.col("s.token").alias("tokens"))
 
 
+def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A training history for each user: a day of events is an epoch."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.dayofmonth("ts").alias("epoch"), F.floor(F.col("value") * 100).cast("long").alias("v"))
+    return e.groupBy("run", "epoch").agg((F.expr("sum(v) div count(*) div 100")).cast("double").alias("cer"), (F.count("*") * 9.0).alias("exact"))
+
+
 def ocr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line, whole.  ``SQL`` still holds the ASCII lines of at most 200 characters only."""
+    """Every line, whole."""
     target = lines(spark, sf_dir).select("doc_id", "line_id", F.col("ocr_text").alias("target"))
     return target.withColumn("prediction", F.translate("target", "aei", "xyz"))
 
@@ -139,7 +145,9 @@ raw_lines as (
   select doc_id, translate(lower(text), '{LATIN}', '{SCRIPT}') as text from documents
 ), fx_ctc as (
   select user_id, list(('0x' || substr(md5('k' || event_id), 1, 8))::bigint % 4 order by event_id) as tokens from events group by user_id
+), fx_epochs as (
+  select run, epoch, (sum(v) // count(*) // 100)::double as cer, count(*) * 9.0::double as exact from (select user_id as run, day(ts)::int as epoch, floor(value * 100)::bigint as v from events) group by run, epoch
 ), fx_ocr_pairs as (
-  select doc_id, line_id, ocr_text as target, translate(ocr_text, 'aei', 'xyz') as prediction from fx_lines where regexp_full_match(ocr_text, '[\x00-\x7f]{{1,200}}')
+  select doc_id, line_id, ocr_text as target, translate(ocr_text, 'aei', 'xyz') as prediction from fx_lines
 )
 """

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions.numeric import sample_positions
-from spindrift.functions.text import normalize_text
 from spindrift.operators import layout, recognition
 from spindrift.schema import DEFAULT_ROUTE, ENGRAVED, SAMPLE_PAGES
+from spindrift.storage import keep
 
 
 def votes(pages: DataFrame, classify: Callable[[Column], Column], sample: int = SAMPLE_PAGES) -> DataFrame:
@@ -32,7 +32,8 @@ def recognize(
     """(documents with vote and route, lines) of pages(doc_id, page_number, image, language, requested).
 
     ``lines`` has the text, confidence, box, place in reading order, review status and, where the gate
-    asked for one, the second reading.
+    asked for one, the second reading.  A document with a page that couldn't be read has the status
+    failed and the message of its first such page; all others are up for review.
     """
     asked = pages.groupBy("doc_id").agg(F.coalesce(F.first("requested", ignorenulls=True), F.lit(DEFAULT_ROUTE)).alias("requested"))
     documents = recognition.routes(asked.join(votes(pages, classify, sample), "doc_id", "left"))
@@ -40,8 +41,11 @@ def recognize(
     if enhance is not None:
         # two branches, so that other pages never reach the engine
         routed = routed.where(~F.col("route").isin(*ENGRAVED)).unionByName(routed.where(F.col("route").isin(*ENGRAVED)).withColumn("image", enhance(F.col("image"))))
-    read = read_pages(routed).select("doc_id", "page_number", "page_id", "language", F.posexplode(recognition.clean_lines(F.col("lines"))).alias("pos", "l"))
-    flat = read.select("doc_id", "page_number", "page_id", "language", "pos", normalize_text("l.text").alias("text"), "l.confidence", "l.bbox", "l.engine", *(F.col("l.bbox")[i].alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))))
+    whole = keep(read_pages(routed).drop("image"))  # engines are dear: each page is read once
+    failed = whole.where("error is not null").groupBy("doc_id").agg(F.min_by("error", "page_number").alias("error"))
+    documents = documents.join(failed, "doc_id", "left").withColumn("status", F.when(F.col("error").isNotNull(), "failed").otherwise("review"))
+    read = whole.select("doc_id", "page_number", "page_id", "language", F.posexplode(recognition.clean_lines(F.col("lines"))).alias("pos", "l"))
+    flat = read.select("doc_id", "page_number", "page_id", "language", "pos", F.col("l.text").alias("text"), "l.confidence", "l.bbox", "l.engine", *(F.col("l.bbox")[i].alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))))
     laid = layout.reading_order(flat).withColumn("line_id", F.xxhash64("page_id", "pos")).withColumn("review_status", recognition.review_status("confidence"))
     key = F.concat_ws("-", F.col("page_id").cast("string"), F.col("pos").cast("string"))
     return documents, recognition.gated(laid, routed.select("page_id", "image"), read_line, key)

@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.sources.files import upload_code
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster shares; a local one only where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-")
-    return f"{base}/stream/{uuid.uuid4().hex}"
+from spindrift.storage import own_folder
 
 
 def drain(stream: DataFrame, process: Callable[[DataFrame, int], None], checkpoint: str) -> int:
@@ -59,7 +52,7 @@ def daily_counts(stream: DataFrame, late: str = "1 day") -> DataFrame:
 
 def drain_events(spark: SparkSession, path: str) -> DataFrame:
     """Counts per event type of a Parquet folder or file, ingested as a stream and written batch by batch."""
-    folder = scratch(spark)
+    folder = own_folder(spark, "stream")
     schema = spark.read.parquet(path).schema
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     reader = spark.readStream.schema(schema)
