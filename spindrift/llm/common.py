@@ -1,59 +1,16 @@
-"""Where intermediate tables live, joins that stand hot keys, blocks of large groups, connected components."""
+"""Joins that stand hot keys, blocks of large groups, connected components."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm.bloom import blocks_for, passes, words_of
-
-_made: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.  Where it's unset a local session, as in tests, gets a folder of its own; a cluster has none, which is an error."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = _made.get(sc.applicationId)
-        if found is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
-            found = _made[sc.applicationId] = tempfile.mkdtemp(prefix="checkpoints-")
-            atexit.register(__import__("shutil").rmtree, found, True)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(found)
-    return found
-
-
-def own_folder(spark: SparkSession, kind: str) -> str:
-    """A new place in the shared folder, removed when the application ends."""
-    path = f"{shared_dir(spark)}/{kind}/{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: lineage ends here and partitions stay as they are."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder; compact, for what is large or read more than once."""
-    spark = df.sparkSession
-    path = own_folder(spark, "tables")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from spindrift.storage import cut, keep
 
 #: Keys of more than one in so many rows are answered from a broadcast: there can't be more than that many.
 HOT_PARTS = 1000

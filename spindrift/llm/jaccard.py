@@ -45,8 +45,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from spindrift.llm.common import Forest, blocked, components, cut, grouped, hot_keys, keep, maybe_in, spread, without
+from spindrift.llm.common import Forest, blocked, components, grouped, hot_keys, maybe_in, spread, without
 from spindrift.llm.wordscan import grams, mix, slices, texts_of
+from spindrift.storage import cut, keep
 
 #: Sets that a task of the scan remembers in order not to describe a copy again.
 CHUNK_DOCS = 1 << 16

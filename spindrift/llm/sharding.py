@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from spindrift.storage import cut
 
-from spindrift.llm.common import cut
 
 N_SHARDS = 8
 

@@ -76,6 +76,29 @@ def test_real_rows(spark):
 def test_balanced_codes():
     rng = np.random.default_rng(1)
     x = V.unit(rng.standard_normal((4000, 64)) @ np.diag(np.linspace(2, 0.2, 64)))
-    code = V.Codes(x[:2000]).of(x)
-    bits = np.unpackbits(code.view(np.uint8).reshape(-1, 8), axis=1)
+    bits = V.Codes(x[:2000], 0.93, 5000).bits(x)
     assert abs(bits.mean(axis=0) - 0.5).max() < 0.1
+
+
+@pytest.mark.parametrize("rows", [50, 5000, 10**6])
+def test_tables_bring_pairs_together(rows):
+    rng = np.random.default_rng(rows)
+    x = V.unit(rng.standard_normal((3000, 64)))
+    y = V.unit(x + 0.3 * V.unit(rng.standard_normal(x.shape)))
+    codes = V.Codes(x, 0.93, rows)
+    a, b = codes.bits(x), codes.bits(y)
+    ka, kb = ({}, {})
+    for bits, out in ((a, ka), (b, kb)):
+        for r, t, k, p in zip(*codes.keys(bits), strict=True):
+            out.setdefault(int(r), []).append((int(t), int(k), bool(p)))
+    met, near = 0, 0
+    for r in range(len(x)):
+        own = {(t, k) for t, k, p in ka[r] if not p}, {(t, k) for t, k, p in kb[r] if not p}
+        probes = {(t, k) for t, k, p in ka[r] if p}, {(t, k) for t, k, p in kb[r] if p}
+        at = sorted([t for t, _ in own[0] & own[1]] + [t for t, _ in own[0] & probes[1]] + [t for t, _ in own[1] & probes[0]])
+        # a pair meets in a table exactly once if its substrings differ in one bit at most, else never
+        flips = (codes._cut(a[r : r + 1]) != codes._cut(b[r : r + 1]))[0].sum(axis=1)
+        assert at == np.flatnonzero(flips <= 1).tolist()
+        met += bool(at)
+        near += sum(bool(codes.near(codes.words(a[r : r + 1]), codes.words(b[r : r + 1]), np.array([t]))[0]) for t in set(at))
+    assert met >= 0.995 * len(x) and met * 0.99 <= near <= met
