@@ -6,10 +6,13 @@ longest increasing subsequence stays, then the same in every gap between anchors
 part of the template's words that are matched.
 
 A template can only be covered where enough of its words stand close together, so a vectorised count
-of hits picks the stretches of each whole text that are worth aligning; nothing else is skipped.
+of hits picks the windows of each whole text that are worth aligning; nothing else is skipped.  Windows
+are half as long again as the template and begin a quarter of its length apart; each is aligned once, so
+work grows with the text, however many notices it holds.
 Every number in a template has to be matched: another version is another license; and templates of
 fewer than SHORT words have to be matched in full, as the one word that is missing may be the name.
-Of matches that overlap the one with the most matched words stays, then the one with more coverage.
+All matches of all windows and templates are put in order once: of those that overlap the one with the
+most matched words stays, then the one with more coverage, then the shorter.
 
 Defined results: a null or empty text has no match; repeated rows are scanned each; a notice that
 stands twice is found twice; ties go to the earlier place, then to the template's name; an empty table
@@ -55,6 +58,19 @@ and to permit persons to whom the Software is furnished to do so, subject to the
     "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
     "CC-work": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "MIT-warranty": """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BSD-disclaimer": """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO,
+THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY
+DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES""",
+    "BSD-3-endorsement": """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software,
+either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software")
+to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software""",
+    "LGPL-notice": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation""",
     "SPDX-MIT": "SPDX-License-Identifier: MIT",
     "SPDX-Apache-2.0": "SPDX-License-Identifier: Apache-2.0",
     "SPDX-GPL-3.0": "SPDX-License-Identifier: GPL-3.0",
@@ -112,6 +128,11 @@ def align(text: list[int], template: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def window(size: int) -> int:
+    """Words of a text that are aligned with a template of that size."""
+    return size + size // 2 + 2
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], min_coverage: float):
         self.min_coverage = min_coverage
@@ -123,63 +144,61 @@ class Scanner:
             if len(words):
                 self.templates.append((name, words.tolist(), np.unique(words), len(words) if len(words) < SHORT else max(1, -int(-min_coverage * len(words) // 1)), set(numbers)))
 
-    def _best(self, words: list[int], lo: int, hi: int, template: list[int], need: int, numbers: set[int]) -> tuple[int, int, int] | None:
-        """(matched, first, end) of the best match in words[lo:hi], read in windows a little longer than the template."""
-        span = len(template) + len(template) // 2 + 2
-        step = max(1, len(template) // 4)
-        best = None
-        for at in range(lo, max(lo + 1, hi - len(template) // 2), step):
-            pairs = align(words[at : min(at + span, hi)], template)
-            if len(pairs) >= need and numbers <= {j for _, j in pairs} and (best is None or len(pairs) > best[0]):
-                best = (len(pairs), at + pairs[0][0], at + pairs[-1][0] + 1)
-                if len(pairs) == len(template):
-                    break
-        return best
-
-    def scan(self, t: Texts) -> list[tuple[int, str, int, int, int, int, int, float]]:
+    def _matches(self, words: list[int], template: list[int], need: int, numbers: set[int], starts: list[int]) -> set[tuple[int, int, int]]:
+        """(matched, first, end) of the windows of words that begin at starts and cover the template."""
+        span = window(len(template))
+        out = set()
+
+        def put(at: int) -> list[tuple[int, int]]:
+            pairs = align(words[at : at + span], template)
+            if len(pairs) < need or (numbers and not numbers <= {j for _, j in pairs}):
+                return []
+            out.add((len(pairs), at + pairs[0][0], at + pairs[-1][0] + 1))
+            return pairs
+
+        for at in starts:
+            if pairs := put(at):
+                # and once more from where most of the words say that the notice begins
+                begin = at + Counter(i - j for i, j in pairs).most_common(1)[0][0]
+                if begin != at and begin >= 0:
+                    put(begin)
+        return out
+
+    def scan(self, t: Texts, step: int | None = None) -> list[tuple[int, str, int, int, int, int, int, float]]:
         """(text, license, first word, words, first byte, end byte, matched, coverage) of all matches."""
         t.words(IS_PLAIN)
         h = t.word_hashes()
-        first = np.searchsorted(t.doc, np.arange(t.n))
+        first = np.searchsorted(t.doc, np.arange(t.n + 1))
         found: dict[int, list[tuple[int, int, int, str, int]]] = {}
         for name, template, vocabulary, need, numbers in self.templates:
+            size = len(template)
             slot = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-            hits = np.flatnonzero(vocabulary[slot] == h)
-            if len(hits) < need:
+            hit = vocabulary[slot] == h
+            if hit.sum() < need:
                 continue
-            span = len(template) + len(template) // 2 + 2
-            end = hits[need - 1 :]
-            begin = hits[: len(end)]
-            close = (end - begin < span) & (t.doc[end] == t.doc[begin])
-            regions: list[list[int]] = []
-            for a, b in zip(begin[close].tolist(), end[close].tolist(), strict=True):
-                if regions and a <= regions[-1][1] + 1 and t.doc[a] == t.doc[regions[-1][0]]:
-                    regions[-1][1] = max(regions[-1][1], b)
-                else:
-                    regions.append([a, b])
-            for a, b in regions:
-                # template words may stand a little outside the densest stretch
-                d = int(t.doc[a])
-                lo, hi = max(int(first[d]), a - span), min(int(first[d + 1]) if d + 1 < t.n else len(h), b + 1 + span)
-                words = h[lo:hi].tolist()
-                at, stop = 0, hi - lo
-                spans = [(at, stop)]
-                while spans:
-                    s, e = spans.pop()
-                    if e - s < need:
-                        continue
-                    best = self._best(words, s, e, template, need, numbers)
-                    if best is not None:
-                        found.setdefault(d, []).append((-best[0], lo + best[1], lo + best[2], name, len(template)))
-                        spans += [(s, best[1]), (best[2], e)]
+            upto = np.concatenate([[0], np.cumsum(hit)])
+            # windows that begin a step apart in their text and hold enough hits
+            every = np.arange(len(h))
+            at = every[(every - first[t.doc]) % (step or max(1, size // 4)) == 0]
+            end = np.minimum(at + window(size), first[t.doc[at] + 1])
+            at = at[upto[end] - upto[at] >= need]
+            for d in np.unique(t.doc[at]).tolist():
+                lo, hi = int(first[d]), int(first[d + 1])
+                got = self._matches(h[lo:hi].tolist(), template, need, numbers, (at[t.doc[at] == d] - lo).tolist())
+                found.setdefault(d, []).extend((-m, lo + s, lo + e, name, size) for m, s, e in got)
         out = []
         for d in sorted(found):
-            taken: list[tuple[int, int]] = []
-            for m, s, e, name, size in sorted(found[d], key=lambda f: (f[0], f[4], *f[1:4])):
-                if all(e <= a or b <= s for a, b in taken):
-                    taken.append((s, e))
-                    base, zero = int(first[d]), int(t.offsets[d])
-                    out.append((d, name, s - base, e - s, int(t.starts[s]) - zero, int(t.ends[e - 1]) - zero, -m, -m / size))
+            begins: list[int] = []
+            ends: list[int] = []
+            for m, s, e, name, size in sorted(found[d], key=lambda f: (f[0], f[4], f[2] - f[1], *f[1:4])):
+                # those taken don't overlap, so the neighbours tell
+                i = bisect_left(begins, s)
+                if (i and ends[i - 1] > s) or (i < len(begins) and begins[i] < e):
+                    continue
+                begins.insert(i, s)
+                ends.insert(i, e)
+                base, zero = int(first[d]), int(t.offsets[d])
+                out.append((d, name, s - base, e - s, int(t.starts[s]) - zero, int(t.ends[e - 1]) - zero, -m, -m / size))
         return out
 
 

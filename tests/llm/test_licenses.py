@@ -1,7 +1,11 @@
 import random
+import time
 from collections import Counter
 
+import pyarrow as pa
+
 from spindrift.llm import licenses as L
+from spindrift.llm.wordscan import LOWER, Texts, texts_of
 from tests.llm.fixtures import AWKWARD, SCHEMA
 
 FILL = "lorem ipsum the work is under dolor this version sit amet of general to".split()
@@ -61,6 +65,56 @@ def test_rights_reserved_with_and_without_copyright(spark):
     assert sorted((r.doc_id, r.license, r.first_word) for r in got) == [(1, "all-rights-reserved", 1), (2, "copyright-all-rights-reserved", 1)]
 
 
+def edited(rng, name, n):
+    words = L.TEMPLATES[name].split()
+    for _ in range(n):
+        k, r = rng.randrange(len(words)), rng.random()
+        if r < 0.4:
+            words[k] = f"edit{rng.randrange(99)}"
+        elif r < 0.7:
+            del words[k]
+        else:
+            words.insert(k, f"extra{rng.randrange(99)}")
+    return " ".join(words)
+
+
+def scanned(text, step=None):
+    t = texts_of(pa.array([text]))
+    return L.Scanner(L.TEMPLATES, L.MIN_COVERAGE).scan(Texts(LOWER[t.data], t.offsets), step)
+
+
+def test_windows_against_every_window():
+    # aligning every template at every word finds the same notices, at most a few words at their ends better
+    rng = random.Random(4)
+    fill = [*FILL, "license", "you", "may", "zebra", "quartz"]
+    long = [n for n, t in L.TEMPLATES.items() if len(t.split()) >= L.SHORT]
+    same = total = 0
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            parts += [" ".join(rng.choice(fill) for _ in range(rng.randint(0, 60))), edited(rng, rng.choice(long), rng.randint(0, 4))]
+        got, want = scanned("\n".join(parts)), scanned("\n".join(parts), 1)
+        assert sorted(r[1] for r in got) == sorted(r[1] for r in want)
+        for a, b in zip(sorted(got, key=lambda r: r[2]), sorted(want, key=lambda r: r[2]), strict=True):
+            assert a[1] == b[1] and a[2] < b[2] + b[3] and b[2] < a[2] + a[3] and a[7] >= b[7] - 0.1
+            same += a == b
+            total += 1
+    assert total > 100 and same >= 0.95 * total
+
+
+def test_a_long_text_of_edited_notices_takes_time_in_proportion():
+    rng = random.Random(5)
+    seconds = []
+    for n in (400, 3600):
+        text = "\n".join(edited(rng, "Apache-2.0-header", 3) for _ in range(n))
+        began = time.time()
+        found = scanned(text)
+        seconds.append(time.time() - began)
+        # an edit that takes a version away leaves a header that isn't one
+        assert 0.9 * n < sum(r[1] == "Apache-2.0-header" for r in found) <= n
+    assert len(text) > 1_800_000 and seconds[1] < 25 * seconds[0] + 1 and seconds[1] < 60
+
+
 def test_awkward_rows(spark):
     docs = spark.createDataFrame([*AWKWARD, (50, "word " * 20000 + L.TEMPLATES["MIT"] + " word" * 20000, "en", "s", 1), (51, L.TEMPLATES["MIT"], None, None, None), (51, L.TEMPLATES["MIT"], None, None, None)], SCHEMA)
     got = L.license_scan(docs.selectExpr("*", "1 as license", "2 as matched"))
