@@ -7,13 +7,17 @@ to each length that occurs among rules.  A Bloom filter of the listed keys, one
 bits per key, drops nearly all keys inside the row, with no shuffle.  What it passes goes to an exact
 join with the listed keys, which removes false positives.
 
-The filter is an array of at most ``MAX_BLOCKS`` longs, whatever the number of rules; with more rules
+Rows that the filter lets nothing through of stay where they are.  The others are written once, and each
+distinct host and path is joined once, so a hot url costs no more than a rare one.
+
+The filter is an array of at most 2^20 longs, whatever the number of rules; with more rules
 it passes more keys to the exact join, and results stay the same.
 
 Defined results: a null url, or one without ``://``, has empty host and path and fits no rule; rules
 with a null in host, path or verdict are ignored; of rules that say the same key the verdict that
 comes first in code point order wins (allow); repeated rows are judged each; an empty table gives no rows; input
-columns other than the url don't matter and are handed through by ``judge_urls``.
+columns other than the url don't matter and are handed through by ``judge_urls``, whatever their names, but
+host, path, rule and verdict, which the results replace.
 """
 
 from __future__ import annotations
@@ -21,10 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.bloom import passes, words_of
+from spindrift.llm.bloom import blocks_for, passes, words_of
+from spindrift.llm.common import spread
+from spindrift.storage import cut, keep
 
-MAX_BLOCKS = 1 << 20
-BITS_PER_RULE = 16
+#: Rules, and bytes of their keys, up to which the exact join sends them to every task; beyond, keys are shuffled.
+FEW_RULES, FEW_BYTES = 100_000, 8 << 20
 
 #: (host, path, verdict)
 RULES = (
@@ -48,50 +54,43 @@ def path_of(url: str) -> Column:
 
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise: str = "allow") -> DataFrame:
     """pages plus host, path, rule and verdict; rules(host, path, verdict)."""
-    listed = (
+    listed = cut(
         rules.where("host is not null and path is not null and verdict is not null")
         .select(F.concat("host", "path").alias("key"), F.length("path").alias("cut"), "verdict")
         .groupBy("key", "cut").agg(F.min("verdict").alias("verdict"))
     )
     # a count, and the path lengths that occur: as many as the longest listed path has characters at most
-    n, cuts = listed.agg(F.count("*"), F.sort_array(F.collect_set("cut"))).first()
-    n_blocks = 1
-    while n_blocks * 64 < n * BITS_PER_RULE and n_blocks < MAX_BLOCKS:
-        n_blocks *= 2
-    if not n:
-        cuts = []
-    lengths = "array(" + ", ".join(map(str, cuts)) + ")" if cuts else "cast(array() as array<int>)"
-    labels = "split(url_host, '[.]')"
+    n, size, cuts = listed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("key")), F.lit(0)), F.sort_array(F.collect_set("cut"))).first()
+    n_blocks = blocks_for(n)
+    lengths = "array(" + ", ".join(map(str, cuts)) + ")" if n else "cast(array() as array<int>)"
+    labels = "split(host, '[.]')"
     keys = (
         f"flatten(transform(transform(sequence(1, size({labels})), i -> array_join(slice({labels}, i, size({labels})), '.')), "
-        f"h -> transform(filter({lengths}, c -> c <= length(url_path)), c -> concat(h, left(url_path, c)))))"
+        f"h -> transform(filter({lengths}, c -> c <= length(path)), c -> concat(h, left(path, c)))))"
     )
-    names = pages.columns
+    # the row itself in one column, so that its names can't clash with those here
+    whole = F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("page")
     scored = (
-        pages.select("*", host_of(f"`{url}`").alias("url_host"), path_of(f"`{url}`").alias("url_path"))
-        .withColumn("url_words", words_of(listed, "key", n_blocks))
-        .withColumn("url_hits", F.expr(f"if(url_host = '', cast(array() as array<string>), filter({keys}, k -> {passes('k', 'url_words', n_blocks)}))"))
-        .drop("url_words")
+        pages.select(whole, host_of(f"`{url}`").alias("host"), path_of(f"`{url}`").alias("path")).withColumn("words", words_of(listed, "key", n_blocks))
+        .withColumn("hits", F.expr(f"if(host = '', cast(array() as array<string>), filter({keys}, k -> {passes('k', 'words', n_blocks)}))")).drop("words")
     )
-    none = scored.where(F.size("url_hits") == 0).withColumn("rule", F.lit(None).cast("string")).withColumn("rule_verdict", F.lit(None).cast("string"))
-    some = scored.where(F.size("url_hits") > 0)
-    # each distinct host and path once, so a hot url costs no more than a rare one
-    found = (
-        some.select("url_host", "url_path", "url_hits").distinct()
-        .select("url_host", "url_path", F.explode("url_hits").alias("key")).join(listed, "key")
-        .groupBy("url_host", "url_path").agg(F.max(F.struct(F.length("key").alias("n"), (-F.col("cut")).alias("host_n"), "key", "verdict")).alias("best"))
-        .select("url_host", "url_path", F.col("best.key").alias("rule"), F.col("best.verdict").alias("rule_verdict"))
+    none = scored.where(F.size("hits") == 0).select("page", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
+    some = keep(scored.where(F.size("hits") > 0))
+    urls = cut(some.groupBy("host", "path").agg(F.count("*").alias("held"), F.first("hits").alias("hits")))
+    few = F.broadcast(listed) if n <= FEW_RULES and size <= FEW_BYTES else listed
+    best = (
+        urls.select("host", "path", F.explode("hits").alias("key")).join(few, "key")
+        .groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), (-F.col("cut")).alias("host_n"), "key", "verdict")).alias("best"))
     )
-    judged = some.join(found, ["url_host", "url_path"], "left").select(*none.columns).unionByName(none)
-    mine = {"host", "path", "rule", "verdict"}
-    return judged.select(
-        *(F.col(f"`{c}`") for c in names if c not in mine),
-        F.col("url_host").alias("host"), F.col("url_path").alias("path"), "rule", F.coalesce("rule_verdict", F.lit(otherwise)).alias("verdict"),
-    )
+    every = urls.select("host", "path", "held").join(best, ["host", "path"], "left").select("host", "path", "held", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict"))
+    judged = none.unionByName(spread(some.drop("hits"), every, "host", "path").drop("held"))
+    mine = ("host", "path", "rule", "verdict")
+    return judged.select(*(F.col(f"page.`{c}`") for c in pages.columns if c not in mine), *mine)
 
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    text = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return spark.sql("select * from values " + ", ".join(f"({', '.join(map(text, r))})" for r in rules) + " as rules(host, path, verdict)")
 
 
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:
