@@ -3,9 +3,14 @@
 Sizes are words.  Each source's target is its weighted share of all words, at most ``most_repeats``
 times what it has; what is above is shared again by weight.  All words are cut into ``n_blocks``
 equal blocks; the blocks go to sources by the highest quotients target / (2k + 1), which gives
-whole numbers of blocks.  Only a few quotients near each source's share are compared, as all others
-are certain to win or to lose.  A source takes whole passes over its documents and then a run of
-blocks that begins at a seeded one, in a seeded order of its documents.
+whole numbers of blocks, and are dealt to shards in turn, which gives each source a whole number of
+blocks in each shard.  Only a few quotients near each source's share are compared, as all others
+are certain to win or to lose.
+
+Then blocks are chosen.  A source's documents are laid out in a seeded order and cut into blocks; it takes
+whole passes over them, and of the next pass the blocks that a seeded phase picks, evenly spread:
+block i of n goes into the r that are left when (i * r + phase) mod n < r.  Copies of blocks are numbered in
+the order of passes, and each shard takes as many of them as its quota says.
 
 Positions come from per-bucket totals (first digits of the seeded hash), so a source that holds a
 third of all rows is spread over many small windows.
@@ -20,8 +25,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from spindrift.storage import keep
 
-from spindrift.llm.common import keep
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -30,12 +35,18 @@ N_BLOCKS = 1 << 20
 MOST_REPEATS = 3
 SEED = 11
 BUCKET_DIGITS = 3
+N_SHARDS = 8
+
+
+def _tag():
+    """Tells rows apart that share a doc_id, or have none."""
+    return F.xxhash64(F.col("text").cast("string"), F.lit(SEED))
 
 
 def _sized(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), _tag().alias("tag"),
     )
 
 
@@ -93,51 +104,57 @@ def _digits(text, digits: int):
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
 
 
-def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, n_blocks: int = N_BLOCKS, most_repeats: int = MOST_REPEATS, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for documents(doc_id, text, source)."""
+def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, n_blocks: int = N_BLOCKS, most_repeats: int = MOST_REPEATS, seed: int = SEED, n_shards: int = N_SHARDS) -> DataFrame:
+    """(doc_id, source, tag, size, source_size, target, taken, shard_words) for documents(doc_id, text, source); shard_words adds up to taken."""
     sized = keep(_sized(docs))
-    quotas = block_quotas(source_targets(sized, weights, most_repeats), n_blocks)
-    sources = keep(
-        quotas.withColumn("words", F.least(F.col("quota") * F.col("block"), F.col("source_size") * most_repeats))
-        .withColumn("passes", F.expr("if(source_size > 0, words div source_size, 0)"))
-        .withColumn("rest", F.expr("words - passes * source_size"))
-        .withColumn("first_block", F.expr("greatest(1, cast(ceil(source_size / block) as bigint))"))
-        .withColumn("first_block", _digits(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("\x00null"))), 12) % F.col("first_block"))
-        .select("sid", "source", "source_size", "target", "passes", "rest", (F.col("first_block") * F.col("block")).alias("begin"))
+    phase = _digits(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("\x00null"))), 12) % F.col("n")
+    quotas = (
+        block_quotas(source_targets(sized, weights, most_repeats), n_blocks)
+        .withColumn("n", F.expr("greatest(1L, cast(ceil(source_size / block) as bigint))")).withColumn("quota", F.least("quota", F.col("n") * most_repeats))
     )
+    quotas = keep(quotas.withColumn("passes", F.expr("quota div n")).withColumn("r", F.expr("quota % n")).withColumn("phase", phase))
+    # a row for each source and shard: in shard g the source's copies from starts[g] to starts[g + 1]
+    dealt = shard_quotas(quotas, n_shards).groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("shard", "blocks"))).alias("q"))
+    starts = dealt.select("sid", F.expr(f"transform(sequence(0, {n_shards}), g -> aggregate(slice(q, 1, g), 0L, (s, x) -> s + x.blocks))").alias("starts"))
+    sources = keep(quotas.join(starts, "sid").select("sid", "source", "source_size", "target", "block", "n", "passes", "r", "phase", "starts"))
+
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     rows = sized.join(sources.select("sid", F.col("source").alias("its_source")), F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source").withColumn("key", key).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("held"))
     sums = sums.withColumn("ahead", F.sum("held").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("held")).drop("held")
     inside = Window.partitionBy("sid", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.join(sums, ["sid", "bucket"]).withColumn("at", F.col("ahead") + F.sum("size").over(inside) - F.col("size"))
-    overlap = lambda lo, hi: f"greatest(0, least(at + size, {hi}) - greatest(at, {lo}))"
-    part = F.expr(f"{overlap('begin', 'begin + rest')} + {overlap('begin - source_size', 'begin + rest - source_size')}")
+    # copy u of a block is in shard g when it lies between its starts; block i has copy p * n + i of each pass, and one more if it's picked
+    put = lambda u: f"int({u} >= get(starts, g) and {u} < get(starts, g + 1))"
+    whole = " + ".join(f"int({p} < passes) * {put(f'({p} * n + i)')}" for p in range(most_repeats))
+    copies = f"{whole} + int((i * r + phase) % n < r) * {put('(passes * n + (i * r + phase) div n - int(phase >= r))')}"
+    words = "(least(at + size, (i + 1) * block) - greatest(at, i * block))"
+    of_shard = f"transform(sequence(0, {n_shards - 1}), g -> aggregate(sequence(at div block, (at + size - 1) div block), 0L, (s, i) -> s + {words} * ({copies})))"
     return (
-        placed.drop("source").join(sources, "sid").withColumn("taken", F.col("passes") * F.col("size") + part)
-        .select("doc_id", "source", "size", "source_size", "target", "taken")
+        placed.drop("source").join(sources, "sid").withColumn("shard_words", F.expr(f"if(size > 0, {of_shard}, array_repeat(0L, {n_shards}))"))
+        .select("doc_id", "source", "tag", "size", "source_size", "target", F.expr("aggregate(shard_words, 0L, (s, x) -> s + x)").alias("taken"), "shard_words")
     )
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents: each row as many times as its words are taken, rounded to whole documents.
 
-    At most two documents of a source are taken in part, so rounding moves a source by a document or
-    so.  Rows that share doc_id and source get the rounded mean of what is taken of them.
+    Rounding moves a source by less than a word in two for each of its blocks that cuts a document.  Rows that
+    share doc_id, source and text get the rounded mean of what is taken of them.
     """
     plan = mix_plan(docs, **options).where("size > 0")
-    times = plan.groupBy(F.col("doc_id").alias("mixed_doc_id"), F.col("source").alias("mixed_source")).agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("mixed_times")).where("mixed_times > 0")
-    rows = docs.where(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)) > 0).join(
-        times, F.col("doc_id").cast("long").eqNullSafe(F.col("mixed_doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("mixed_source"))
-    )
-    return rows.withColumn("mixed_times", F.explode(F.sequence(F.lit(1), F.col("mixed_times")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    times = plan.groupBy("doc_id", "source", "tag").agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("times")).where("times > 0")
+    rows = docs.where(F.col("text").cast("string").rlike(WORD)).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").cast("long").alias("d"), F.col("source").cast("string").alias("s"), _tag().alias("t"))
+    mixed = rows.join(times, F.col("d").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("t") == F.col("tag")))
+    return mixed.select("doc", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")
 
 
 def op7_mix_sources(spark, sf_dir: str) -> DataFrame:
-    return mix_plan(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+    plan = mix_plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", F.array_join("shard_words", ",").alias("shard_words"))
 
 
-#: Every quotient is enumerated here, which the operator avoids.
+#: Every quotient is enumerated here, which the operator avoids, and blocks are dealt to shards one by one.
 OP7_SQL = r"""
 with sized as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents
@@ -158,16 +175,29 @@ with sized as (
   select sid, count(*) as quota from (select sid, row_number() over (order by quotient desc, sid, k) as rk from seats)
   where rk <= (select max(total // block) from t) group by sid
 ), s as (
-  select *, words // greatest(source_size, 1) as passes, words - words // greatest(source_size, 1) * source_size as rest from (
-    select t.*, least(coalesce(quota, 0) * block, source_size * 3) as words,
-      ('0x' || substr(md5('11:' || coalesce(source, chr(0) || 'null')), 1, 12))::bigint % greatest(1, cast(ceil(source_size / block::double) as bigint)) * block as "begin"
-    from t left join won using (sid))
+  select *, quota // n as passes, quota % n as r, ('0x' || substr(md5('11:' || coalesce(source, chr(0) || 'null')), 1, 12))::bigint % n as phase
+  from (select t.*, n, least(coalesce(quota, 0), 3 * n) as quota from (select *, greatest(1, cast(ceil(source_size / block::double) as bigint)) as n from t) t left join won using (sid))
+), numbered as (
+  select sid, coalesce(sum(quota) over (order by sid rows between unbounded preceding and 1 preceding), 0)::bigint as before, quota from s
+), dealt as (
+  select sid, list(cast(coalesce(blocks, 0) as bigint) order by shard) as q from (select sid, shard, (select count(*) from range(before, before + quota) u(x) where x % 8 = shard) as blocks
+    from numbered, range(8) g(shard)) group by sid
+), starts as (
+  select sid, list_transform(range(9), lambda g: coalesce(list_sum(q[1:g]), 0)::bigint) as starts from dealt
 ), p as (
-  select d.*, s.source_size, s.target, s.passes, s.rest, s."begin",
+  select d.*, s.*exclude (source), starts.starts,
     cast(sum(size) over (partition by s.sid order by md5('11:' || coalesce(cast(doc_id as varchar), 'null')), doc_id, size rows unbounded preceding) as bigint) - size as pos
-  from sized d join s on d.source is not distinct from s.source
+  from sized d join s on d.source is not distinct from s.source join starts on starts.sid = s.sid
+), parts as (
+  select *, unnest(range(pos // block, case when size > 0 then (pos + size - 1) // block + 1 else pos // block + 1 end)) as i from p
+), copies as (
+  select *, greatest(0, least(pos + size, (i + 1) * block) - greatest(pos, i * block)) as words,
+    list_concat(list_transform(range(passes), lambda x: x * n + i), case when (i * r + phase) % n < r then [passes * n + (i * r + phase) // n - (phase >= r)::int] else [] end) as us
+  from parts
+), shares as (
+  select doc_id, size, source_size, target, pos, sid, list_transform(range(8), lambda g: words * len(list_filter(us, lambda u: u >= starts[g + 1] and u < starts[g + 2]))) as part from copies
 )
-select doc_id, size, source_size, target, cast(passes * size + greatest(0, least(pos + size, "begin" + rest) - greatest(pos, "begin"))
-  + greatest(0, least(pos + size, "begin" + rest - source_size) - greatest(pos, "begin" - source_size)) as bigint) as taken
-from p
+select doc_id, size, source_size, target, (sum(part[1]) + sum(part[2]) + sum(part[3]) + sum(part[4]) + sum(part[5]) + sum(part[6]) + sum(part[7]) + sum(part[8]))::bigint as taken,
+  concat_ws(',', sum(part[1])::bigint, sum(part[2])::bigint, sum(part[3])::bigint, sum(part[4])::bigint, sum(part[5])::bigint, sum(part[6])::bigint, sum(part[7])::bigint, sum(part[8])::bigint) as shard_words
+from shares group by doc_id, size, source_size, target, pos, sid
 """
