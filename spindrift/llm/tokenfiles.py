@@ -6,6 +6,11 @@ block; a block reports where its separators are.  A prefix scan over the blocks
 sum of separators, a running maximum of the place after the last one) then tells every block how many
 documents came before it and where the one began that it starts in the middle of.
 
+A file of up to MOST_BYTES is one value, searched in blocks.  A larger one is read in byte ranges, each a
+task's: Spark's text reader finds the separator's bytes, and since those may also straddle two ids, a
+prefix scan over the ranges' byte counts tells which of them lie on a whole id; the others are put
+together again.
+
 Defined results: two separators in a row are an empty document (0 tokens); ids after the last
 separator are one more document with ``ended`` false; an empty file has no documents; files are told
 apart by their path, so equal files count each; a file whose size isn't a whole number of ids fails.
@@ -15,7 +20,6 @@ written each; other columns are ignored; an empty table writes no documents.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,16 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import shared_dir
 from spindrift.llm.tokens import tokenizer, tokenizer_path
 from spindrift.llm.wordscan import slices, texts_of
+from spindrift.storage import keep, own_folder
 
 END = 49407
 WIDTH = 2
 #: Ids in a block.
 BLOCK = 1 << 16
-#: Documents in a file that is written here; a file is one value when it's read.
-MOST_DOCUMENTS = 8192
+#: Bytes of a record that is written, unless a document alone is larger, and records in a file.
+RECORD_BYTES = 1 << 22
+RECORDS = 32
+#: Larger files are read in ranges.
+MOST_BYTES = 1 << 28
 
 
 def write_token_files(docs: DataFrame, out: str, path: str | None = None, end: int = END, width: int = WIDTH) -> None:
@@ -40,22 +47,63 @@ def write_token_files(docs: DataFrame, out: str, path: str | None = None, end: i
     path = path or tokenizer_path()
     kind = np.dtype(f"<u{width}")
 
+    def record(held: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([end.to_bytes(width, "little").join(held)], pa.binary())], names=["raw"])
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path, plain=True)
+        t, held, size = tokenizer(path, plain=True), [], 0
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, per = t.encode(texts_of(part.column("text")))
                 raw, ends = ids.astype(kind).tobytes(), (np.cumsum(per) * width).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], pa.binary())], names=["raw"])
-
-    # the text writer puts the separator's bytes after each value, and hands the value's bytes through
+                for a, b in zip([0, *ends], ends, strict=False):
+                    if held and size + b - a > RECORD_BYTES:
+                        yield record(held)
+                        held, size = [], 0
+                    held.append(raw[a:b])
+                    size += b - a + width
+        if held:
+            yield record(held)
+
+    # documents are joined by the separator's bytes; the text writer puts them after each value, too, and hands the value's bytes through
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(encode, "raw binary").select(F.col("raw").cast("string").alias("value"))
     separator = end.to_bytes(width, "little").decode("latin-1")
-    rows.write.option("lineSep", separator).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", MOST_DOCUMENTS).text(out)
+    rows.write.option("lineSep", separator).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", RECORDS).text(out)
 
 
-def separator_scan(spark: SparkSession, files: str, end: int = END, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
+def separator_scan(spark: SparkSession, files: str, end: int = END, width: int = WIDTH, block: int = BLOCK, most: int = MOST_BYTES) -> DataFrame:
     """(path, ordinal, start, n_tokens, ended) of every document in the flat files of a folder or pattern."""
+    found = block_scan(spark, files, end, width, block, most)
+    large = spark.read.format("binaryFile").load(files).where(F.col("length") > most).select("length").limit(1).count()  # no content is read
+    return found.unionByName(range_scan(spark, files, end, width, most)) if large else found
+
+
+def range_scan(spark: SparkSession, files: str, end: int = END, width: int = WIDTH, least: int = 0) -> DataFrame:
+    """As separator_scan, for files of more than ``least`` bytes, read in byte ranges."""
+    separator = end.to_bytes(width, "little")
+    if any(separator[i:] == separator[: width - i] for i in range(1, width)):
+        raise ValueError(f"the bytes of {end} may overlap themselves, so ranges can't be searched for them")
+    meta = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_size", "file_block_start")]
+    read = spark.read.option("lineSep", separator.decode("latin-1")).option("encoding", "ISO-8859-1").text(files).select("value", *meta).where(F.col("file_size") > least)
+    whole = F.when(F.col("file_size") % width == 0, F.octet_length("value").cast("long")).otherwise(F.raise_error(F.concat("file_path", F.lit(f" is not a whole number of {width}-byte ids")).cast("string")).cast("long"))
+    pieces = read.select(F.col("file_path").alias("path"), "file_size", F.col("file_block_start").alias("range"), F.monotonically_increasing_id().alias("at"), whole.alias("size"))
+
+    def ahead(rows: DataFrame, value: str) -> DataFrame:
+        """rows plus ``before``: the sum of value over all pieces before, from one total per range."""
+        totals = rows.groupBy("path", "range").agg(F.sum(value).alias("total"))
+        totals = totals.withColumn("earlier", F.sum("total").over(Window.partitionBy("path").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).drop("total")
+        inside = Window.partitionBy("path", "range").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumn("inside", F.sum(value).over(inside) - F.col(value)).join(totals, ["path", "range"]).withColumn("before", F.col("inside") + F.col("earlier")).drop("inside", "earlier")
+
+    placed = ahead(keep(pieces).withColumn("bytes", F.col("size") + width), "bytes").withColumnRenamed("before", "start")
+    # a separator counts if it lies on a whole id and inside the file
+    cuts = placed.withColumn("cut", ((F.col("start") + F.col("size")) % width == 0).cast("long") * (F.col("start") + F.col("size") < F.col("file_size")).cast("long"))
+    documents = ahead(keep(cuts), "cut").groupBy("path", F.col("before").alias("ordinal")).agg(F.min("start").alias("first"), F.max(F.col("start") + F.col("size")).alias("stop"), (F.max("cut") == 1).alias("ended"))
+    return documents.select("path", "ordinal", F.expr(f"first div {width}").alias("start"), F.expr(f"(stop - first) div {width}").alias("n_tokens"), "ended")
+
+
+def block_scan(spark: SparkSession, files: str, end: int = END, width: int = WIDTH, block: int = BLOCK, most: int = MOST_BYTES) -> DataFrame:
+    """As separator_scan, for files of at most ``most`` bytes."""
     kind = np.dtype(f"<u{width}")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +118,7 @@ def separator_scan(spark: SparkSession, files: str, end: int = END, width: int =
                     ends = np.flatnonzero(part == end) + k
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k // block], pa.int64()), pa.array([k + len(part)], pa.int64()), pa.array([ends.tolist()], pa.list_(pa.int64()))], names=["path", "block", "upto", "ends"])
 
-    blocks = spark.read.format("binaryFile").load(files).select("path", "content").mapInArrow(search, "path string, block long, upto long, ends array<long>")
+    blocks = spark.read.format("binaryFile").load(files).where(F.col("length") <= most).select("path", "content").mapInArrow(search, "path string, block long, upto long, ends array<long>")
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy("path").orderBy("block").rowsBetween(1, 1)
     known = (
@@ -91,7 +139,7 @@ def separator_scan(spark: SparkSession, files: str, end: int = END, width: int =
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Writes the documents to flat files in the shared folder and scans those."""
     spark = docs.sparkSession
-    out = f"{shared_dir(spark)}/tokens/{uuid.uuid4().hex}"
+    out = own_folder(spark, "tokens")
     write_token_files(docs, out, path)
     return separator_scan(spark, out)
 
