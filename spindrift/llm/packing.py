@@ -1,13 +1,14 @@
 """Bounded-space online best-fit packing of token sequences.
 
 Each partition reads its documents once, in order, turns them into ids, cuts only documents longer
-than a sequence, and places piece after piece into the open bin that it fills best; each window of a
-few thousand pieces goes in longest first, which wastes far less room.  A fixed number of bins is open; they hang in lists by free space, and a bitset over free space finds the
+than a sequence, and places piece after piece, as they come, into the open bin that it fills best.  A
+fixed number of bins is open; they hang in lists by free space, and a bitset over free space finds the
 tightest that fits in one step.  When too many are open the fullest closes.  What a partition holds
 is bounded by that number, not by its input.
 
-Each partition ends with open bins.  Bins with room left are items of a second round of the same
-best-fit, largest first, which joins bins of different partitions.  Only bins move there, never texts.
+Bins that end up far from full, in whatever partition, are taken apart, and their pieces come again, long
+ones first, to the same best-fit: a second round over the few pieces that the first left badly placed.
+Only places and lengths move there, never texts.
 
 Defined results: a null text is the empty text, one id (the end) long; repeated rows are packed each;
 equal lengths go first come, first served, in the order of the input partition; an empty table gives
@@ -25,17 +26,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import keep
 from spindrift.llm.tokens import tokenizer, tokenizer_path, with_end
 from spindrift.llm.wordscan import slices, texts_of
+from spindrift.storage import keep
 
 LENGTH = 2048
 END = 0
 OPEN_BINS = 8192
-#: Pieces that are put in order of length before they are placed.
-WINDOW = 4096
-#: Items of the second round in one of its tasks, about.
-ITEMS_A_TASK = 50_000
+#: Bins filled less than this are taken apart.
+FULL = 0.985
+#: Pieces of the second round in one of its tasks, about.
+ITEMS_A_TASK = 200_000
 
 
 class BestFit:
@@ -76,7 +77,7 @@ class BestFit:
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long"
 
 
-def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, open_bins: int = OPEN_BINS, window: int = WINDOW) -> DataFrame:
+def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, open_bins: int = OPEN_BINS) -> DataFrame:
     """PIECES of every document, each placed in a bin of its partition."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray | pa.Array]]:
@@ -97,49 +98,35 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, ope
         fit, own = BestFit(length, open_bins), TaskContext.get().partitionId() << 40
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
-        def place(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            size = rows.column("length").to_numpy()
-            placed = np.zeros((len(size), 2), dtype=np.int64)
-            for i in np.argsort(-size, kind="stable").tolist():
-                placed[i] = fit.place(int(size[i]))
-            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(placed[:, 0] + own), pa.array(placed[:, 1].copy())], names=[*names, "bin", "offset"])
-
-        held: list[pa.RecordBatch] = []
         for columns in cut_up(batches):
-            held.append(pa.RecordBatch.from_arrays(columns, names=names))
-            if sum(b.num_rows for b in held) >= window:
-                yield place(held)
-                held = []
-        if sum(b.num_rows for b in held):
-            yield place(held)
+            placed = np.array([fit.place(n) for n in columns[3].to_pylist()], dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(placed[:, 0] + own), pa.array(placed[:, 1].copy())], names=[*names, "bin", "offset"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack, PIECES)
 
 
-def merge_bins(placed: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS, items: int = ITEMS_A_TASK) -> DataFrame:
-    """(bin, sequence_id, shift): bins of placed(bin, length) that have room, packed together."""
-    room = keep(placed.groupBy("bin").agg(F.sum("length").alias("fill")).where(F.col("fill") < length))
-    tasks = max(1, -(-room.count() // items))
+def place_again(placed: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS, items: int = ITEMS_A_TASK) -> DataFrame:
+    """(bin, offset, sequence_id, place): new places of the pieces of placed(bin, offset, length) whose bins are far from full."""
+    poor = placed.groupBy("bin").agg(F.sum("length").alias("fill")).where(F.col("fill") < FULL * length).select("bin")
+    again = keep(placed.select("bin", "offset", "length").join(poor, "bin"))
+    tasks = max(1, -(-again.count() // items))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fit, firsts = BestFit(length, open_bins), {}
+        # numbers of bins beyond any of the first round
+        fit, own = BestFit(length, open_bins), (1 << 62) + (TaskContext.get().partitionId() << 40)
         for batch in batches:
-            out = []
-            for bin_, fill in zip(batch.column("bin").to_pylist(), batch.column("fill").to_pylist(), strict=True):
-                at, offset = fit.place(fill)
-                out.append((bin_, firsts.setdefault(at, bin_), offset))  # a joined bin is called as its first
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 3, names=["bin", "sequence_id", "shift"])
+            got = np.array([fit.place(n) for n in batch.column("length").to_pylist()], dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column("bin"), batch.column("offset"), pa.array(got[:, 0] + own), pa.array(got[:, 1].copy())], names=["bin", "offset", "sequence_id", "place"])
 
-    return room.repartition(tasks, "bin").sortWithinPartitions(F.col("fill").desc(), "bin").mapInArrow(pack, "bin long, sequence_id long, shift long")
+    return again.repartition(tasks, "bin", "offset").sortWithinPartitions(F.col("length").desc(), "bin", "offset").mapInArrow(pack, "bin long, offset long, sequence_id long, place long")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END, open_bins: int = OPEN_BINS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of documents(doc_id, text)."""
     placed = keep(pieces(docs, path or tokenizer_path(), length, end, open_bins))
-    merged = merge_bins(placed, length, open_bins)
-    return placed.join(merged, "bin", "left").select(
-        "doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("sequence_id", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset")
+    again = place_again(placed, length, open_bins)
+    return placed.join(again, ["bin", "offset"], "left").select(
+        "doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("sequence_id", "bin").alias("sequence_id"), F.coalesce("place", "offset").alias("offset")
     )
 
 
