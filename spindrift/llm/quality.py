@@ -1,8 +1,9 @@
 """Quality rules: a decision list learned from labelled statistics.
 
 ``text_stats`` measures whole texts; ``learn_list`` runs sequential covering (grow a conjunction of
-thresholds by information gain, prune it on held-out rows, keep it only while it's precise enough);
-``verdict`` turns the list into one ordered CASE expression, so judging rows is plain Spark.
+thresholds by information gain, for bad rows and for good ones, prune it on held-out rows, keep it only
+if it's precise enough); ``verdict`` turns the list into one ordered CASE expression, in which a rule that
+lets rows stay is an exception to those after it, so judging rows is plain Spark.
 
 Defined results: a null text is the empty text (all counts 0, base_failed); repeated rows and ties
 are judged alike, as the verdict depends on the row only; labels that are null, or that contradict
@@ -27,6 +28,8 @@ MAX_LABELLED = 20_000
 SEED = 17
 #: Part of the held-out rows that a rule hits which must be bad for it to enter the list.
 MIN_PRECISION = 0.95
+#: The same for a rule that lets rows stay whatever later rules say.
+MIN_KEPT = 0.995
 MIN_COVER = 8
 MAX_CONDITIONS = 4
 MAX_RULES = 16
@@ -119,59 +122,79 @@ def base_failed() -> Column:
     return F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
 
 
-def learn_list(x: np.ndarray, bad: np.ndarray, names: list[str]) -> list[tuple[list[tuple[str, str, float]], float]]:
-    """Sequential covering over features x and the flag bad.
+#: An ordered rule: a conjunction of (feature, '<=' or '>', threshold), whether rows that meet it stay, and its precision on rows it wasn't grown on.
+Rule = tuple[list[tuple[str, str, float]], bool, float]
+
+
+def _meets(rows: np.ndarray, rule: list[tuple[int, str, float]]) -> np.ndarray:
+    return np.all([rows[:, j] <= v if op == "<=" else rows[:, j] > v for j, op, v in rule], axis=0) if rule else np.ones(len(rows), dtype=bool)
+
+
+def _grown(x: np.ndarray, y: np.ndarray, cuts: list[np.ndarray]) -> list[tuple[int, str, float]]:
+    """A conjunction for the rows y, one condition after another by information gain."""
+    rule: list[tuple[int, str, float]] = []
+    inside = np.ones(len(y), dtype=bool)
+    while len(rule) < MAX_CONDITIONS and y[inside].any() and not y[inside].all():
+        p0, n0 = y[inside].sum(), (~y[inside]).sum()
+        best = (0.0, None)
+        for j in range(x.shape[1]):
+            order = np.argsort(x[inside, j], kind="stable")
+            hits = np.concatenate([[0], np.cumsum(y[inside][order])])
+            below = np.searchsorted(x[inside, j][order], cuts[j], side="right")
+            for cut, low, pl in zip(cuts[j].tolist(), below.tolist(), hits[below].tolist(), strict=True):
+                for op, p, n in (("<=", pl, low - pl), (">", p0 - pl, n0 - (low - pl))):
+                    if p and p + n < p0 + n0:
+                        gain = p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0)))
+                        if gain > best[0] + 1e-9:
+                            best = (gain, (j, op, cut))
+        if best[1] is None:
+            break
+        j, op, cut = best[1]
+        # halfway to the next value, so that rows a little beyond the last good one aren't hit
+        above, below = x[inside, j][x[inside, j] > cut], x[inside, j][x[inside, j] <= cut]
+        rule.append((j, op, float((below.max() + above.min()) / 2) if len(above) and len(below) else cut))
+        inside = _meets(x, rule)
+    return rule
+
+
+def learn_list(x: np.ndarray, bad: np.ndarray, names: list[str]) -> list[Rule]:
+    """Sequential covering over features x and the flag bad: ordered rules for either verdict; what meets none is good.
 
-    Returns ordered rules, each a conjunction of (feature, '<=' or '>', threshold) and its precision
-    on rows it wasn't grown on; a row that meets any of them is bad, all others are good.
+    In each round a rule is grown for the bad ones among the rows that no rule covers yet, pruned on held-out rows,
+    and enters if it's precise enough.  If it isn't, one for good rows is grown the same way: an exception
+    to the rules that come after it, which have fewer good rows left to spare.  Exceptions at the end
+    except nothing and go.
     """
-    rules: list[tuple[list[tuple[str, str, float]], float]] = []
+    rules: list[Rule] = []
     if not len(bad) or not bad.any() or bad.all():
         return rules
     held = np.random.Generator(np.random.PCG64(SEED)).random(len(bad)) < 1 / 3
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, CUTS + 1)[1:-1])) for j in range(x.shape[1])]
-    meets = lambda rows, rule: np.all([rows[:, j] <= v if op == "<=" else rows[:, j] > v for j, op, v in rule], axis=0) if rule else np.ones(len(rows), dtype=bool)
     left = np.ones(len(bad), dtype=bool)
     while len(rules) < MAX_RULES:
-        gx, gy = x[left & ~held], bad[left & ~held]
-        hx, hy = x[left & held], bad[left & held]
-        rule: list[tuple[int, str, float]] = []
-        inside = np.ones(len(gy), dtype=bool)
-        while len(rule) < MAX_CONDITIONS and gy[inside].any() and not gy[inside].all():
-            p0, n0 = gy[inside].sum(), (~gy[inside]).sum()
-            best = (0.0, None)
-            for j in range(x.shape[1]):
-                v = gx[inside, j]
-                for cut in cuts[j]:
-                    low = v <= cut
-                    pl, nl = gy[inside][low].sum(), (~gy[inside][low]).sum()
-                    for op, p, n in (("<=", pl, nl), (">", p0 - pl, n0 - nl)):
-                        if p and p + n < p0 + n0:
-                            gain = p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0)))
-                            if gain > best[0] + 1e-9:
-                                best = (gain, (j, op, float(cut)))
-            if best[1] is None:
+        for keep_, least in ((False, MIN_PRECISION), (True, MIN_KEPT)):
+            target = ~bad if keep_ else bad
+            gx, gy = x[left & ~held], target[left & ~held]
+            hx, hy = x[left & held], target[left & held]
+            rule = _grown(gx, gy, cuts)
+            # prune from the end while the held-out rows don't speak against it
+            worth = lambda r, hx=hx, hy=hy: (lambda m: (hy[m].sum() - (~hy[m]).sum()) / max(1, m.sum()))(_meets(hx, r))
+            while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
+                rule = rule[:-1]
+            hit = _meets(hx, rule)
+            precision = float(hy[hit].mean()) if hit.any() else 0.0
+            if rule and hit.sum() >= MIN_COVER and precision >= least:
+                rules.append(([(names[j], op, v) for j, op, v in rule], keep_, precision))
+                left &= ~_meets(x, rule)
                 break
-            j, op, cut = best[1]
-            # halfway to the next value, so that rows a little beyond the last good one aren't hit
-            above = gx[inside, j][gx[inside, j] > cut]
-            below = gx[inside, j][gx[inside, j] <= cut]
-            rule.append((j, op, float((below.max() + above.min()) / 2) if len(above) and len(below) else cut))
-            inside = meets(gx, rule)
-        # prune from the end while the held-out rows don't speak against it
-        worth = lambda r: (lambda m: (hy[m].sum() - (~hy[m]).sum()) / max(1, m.sum()))(meets(hx, r))
-        while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
-            rule = rule[:-1]
-        hit = meets(hx, rule) if rule else np.zeros(len(hy), dtype=bool)
-        precision = hy[hit].mean() if hit.any() else 0.0
-        if not rule or hit.sum() < MIN_COVER or precision < MIN_PRECISION:
+        else:
             break
-        rules.append(([(names[j], op, v) for j, op, v in rule], float(precision)))
-        left &= ~meets(x, rule)
+    while rules and rules[-1][1]:
+        rules.pop()
     return rules
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[tuple[list[tuple[str, str, float]], float]]:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[Rule]:
     """The decision list for documents(doc_id, text) and labels(doc_id, quality: 0 is bad).
 
     The sample is max_labelled labels, the first by a hash of doc_id: a bound on what the driver and
@@ -193,12 +216,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     return learn_list(rows[names].to_numpy(float), rows["bad"].to_numpy(bool), names)
 
 
-def verdict(rules: list[tuple[list[tuple[str, str, float]], float]]) -> Column:
-    """The list as one ordered CASE over STATS: true for rows to keep."""
+def verdict(rules: list[Rule]) -> Column:
+    """The list as one ordered CASE over STATS: true for rows to keep; the first rule that a row meets decides."""
     out = None
-    for rule, _ in rules:
+    for rule, keep_, _ in rules:
         test = F.expr(" and ".join(f"{FEATURES[name]} {op} {v!r}D" for name, op, v in rule))
-        out = F.when(test, F.lit(False)) if out is None else out.when(test, F.lit(False))
+        out = F.when(test, F.lit(keep_)) if out is None else out.when(test, F.lit(keep_))
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 

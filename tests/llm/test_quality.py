@@ -2,6 +2,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spindrift.llm import quality as Q
 from tests.llm.fixtures import AWKWARD, SCHEMA, words
@@ -38,14 +39,32 @@ def test_list_finds_planted_rule_and_spares_the_rest():
     x = rng.random((3000, 3))
     bad = (x[:, 0] > 0.7) & (x[:, 1] <= 0.4)
     rules = Q.learn_list(x, bad, ["a", "b", "c"])
-    hit = np.zeros(3000, dtype=bool)
-    for rule, _ in rules:
-        hit |= np.all([x[:, "abc".index(n)] <= v if op == "<=" else x[:, "abc".index(n)] > v for n, op, v in rule], axis=0)
+    hit, open_ = np.zeros(3000, dtype=bool), np.ones(3000, dtype=bool)
+    for rule, stays, _ in rules:  # the first rule that a row meets decides
+        met = open_ & np.all([x[:, "abc".index(n)] <= v if op == "<=" else x[:, "abc".index(n)] > v for n, op, v in rule], axis=0)
+        hit |= met & (not stays)
+        open_ &= ~met
     assert (hit & bad).sum() > 0.85 * bad.sum() and (hit & ~bad).sum() < 0.05 * bad.sum()
     assert Q.learn_list(x, rng.random(3000) < 0.1, ["a", "b", "c"]) == []
     assert Q.learn_list(x[:0], bad[:0], ["a", "b", "c"]) == []
 
 
+def test_exceptions_come_before_the_rules_they_except(spark):
+    rng = np.random.default_rng(7)
+    x = rng.random((6000, 2))
+    bad = (x[:, 0] > 0.5) & ~(x[:, 1] > 0.6)
+    rules = Q.learn_list(x, bad, ["upper", "digits"])
+    open_, said = np.ones(len(x), dtype=bool), np.ones(len(x), dtype=bool)
+    for rule, stays, _ in rules:
+        met = open_ & np.all([x[:, ["upper", "digits"].index(n)] <= v if op == "<=" else x[:, ["upper", "digits"].index(n)] > v for n, op, v in rule], axis=0)
+        said[met], open_ = stays, open_ & ~met
+    assert (said == ~bad).mean() > 0.97 and not (rules and rules[-1][1])
+    # the same verdicts by the one expression, over statistics that give these features
+    rows = spark.createDataFrame([(i, int(a * 1_000_000), int(b * 1_000_000)) for i, (a, b) in enumerate(x[:500].tolist())], "i int, n_upper long, n_digits long").withColumn("word_chars", F.lit(1_000_000).cast("long"))
+    got = {r.i: r.k for r in rows.select("i", Q.verdict(rules).alias("k")).collect()}
+    assert sum(got[i] == bool(said[i]) for i in got) >= 499
+
+
 @pytest.mark.parametrize("labels", [[], [(1, None, 0), (None, 0, 0), (4, 0, 0), (4, 1, 0)]])
 def test_without_usable_labels_only_base_rules_hold(spark, labels):
     docs = spark.createDataFrame(AWKWARD, SCHEMA)
