@@ -9,7 +9,7 @@ from spindrift.llm import matrices as M
 from spindrift.llm import tokenfiles as T
 from spindrift.llm import tokens as K
 from spindrift.llm.wordscan import texts_of
-from tests.llm.fixtures import AWKWARD, SCHEMA
+from tests.llm.fixtures import AWKWARD, MORSE, SCHEMA, THUE
 
 ODD = ["It's we'LL ΣΑΣ ΟΔΟΣ e\u0301 \u0301x", "<|endoftext|> x<|endoftext|>y", "İ ſt \x1c z\x85q\u2003r ’s 's 't 42 4.2", "\u0bc6\u0bbe \ud7ff \U0010ffff", "a\x00b", ""]
 
@@ -96,6 +96,59 @@ def test_token_files_round_trip(spark, tmp_path):
     assert T.count_tokens(docs.limit(0)).count() == 0
 
 
+def test_words_of_one_pattern_keep_their_own_ids():
+    import pyarrow as pa
+
+    texts = [f"{THUE} {MORSE}", f"{MORSE} {THUE}", THUE[:20] + " " + MORSE[:20], "a" * 16 + " " + "a" * 17 + " " + "a" * 15 + "b"]
+    t = K.StretchTokenizer(K.tokenizer_path(), plain=True)
+    for _ in range(2):
+        ids, per = t.encode(texts_of(pa.array(texts)))
+        at = np.concatenate([[0], np.cumsum(per)])
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [encode(x) for x in texts]
+
+
+@pytest.mark.parametrize(("record", "records"), [(1, 1), (200, 2), (1 << 22, 32)])
+def test_files_are_cut_by_bytes(spark, tmp_path, monkeypatch, record, records):
+    monkeypatch.setattr(T, "RECORD_BYTES", record)
+    monkeypatch.setattr(T, "RECORDS", records)
+    rows = [r for r in AWKWARD if len(r[1] or "") < 5000]
+    out = str(tmp_path / "flat")
+    T.write_token_files(spark.createDataFrame(rows, SCHEMA).coalesce(1), out)
+    want = [encode(r[1]) for r in rows]
+    files = sorted((tmp_path / "flat").glob("part-*"))
+    sizes = [f.stat().st_size for f in files]
+    assert sum(sizes) == sum(2 * len(w) + 2 for w in want)
+    most = max(2 * len(w) + 2 for w in want)
+    assert max(sizes) <= records * max(record, most) and (record > 1 or len(files) == len(rows))
+    assert Counter(r.n_tokens for r in T.separator_scan(spark, out).collect()) == Counter(map(len, want))
+
+
+@pytest.mark.parametrize("width", [2, 4])
+def test_large_files_are_read_in_ranges(spark, tmp_path, width):
+    rng = np.random.default_rng(width)
+    end = 0x0102 if width == 2 else 0x01020304  # bytes that other ids make, too, across their borders
+    near = [end, 0x0201, 0x0102, 0x0301, 0x0203, 5] if width == 2 else [end, 0x04030201, 0x02030401, 0x03040102, 0x01020403, 0x02030104, 7]
+    want = set()
+    for f, n in enumerate((5000, 1, 0, 4097, 30)):
+        ids = [near[i] for i in rng.integers(0, len(near), n)] + ([end] if f % 2 else [])
+        (tmp_path / f"f{f}").write_bytes(struct.pack(f"<{len(ids)}{'H' if width == 2 else 'I'}", *ids))
+        start = k = 0
+        for i, x in enumerate([*ids, None]):
+            if x == end or x is None and i > start:
+                want.add((f"f{f}", k, start, i - start, x == end))
+                start, k = i + 1, k + 1
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        for most in (-1, 500, 10**6):  # all in ranges, the large ones, none
+            got = T.separator_scan(spark, str(tmp_path), end=end, width=width, most=most).collect()
+            assert {(r.path.rsplit("/", 1)[1], *r[1:]) for r in got} == want and len(got) == len(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    with pytest.raises(ValueError, match="overlap"):
+        T.range_scan(spark, str(tmp_path), end=0x0101, width=2)
+
+
 @pytest.mark.parametrize("width", [2, 4])
 def test_separator_scan_against_plain_search(spark, tmp_path, width):
     rng = np.random.default_rng(width)

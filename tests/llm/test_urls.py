@@ -28,6 +28,35 @@ def test_awkward_urls(spark):
     assert U.judge_urls(pages.limit(0), U.rule_table(spark)).count() == 0
 
 
+def test_columns_of_any_name_are_handed_through(spark):
+    names = ["url_host", "url_words", "url_hits", "rule_verdict", "hits", "words", "key", "held", "cut", "best", "page", "page.x", "_words", "rule", "verdict", "path"]
+    pages = spark.createDataFrame([(i, u, *(f"{n}{i}" for n in names)) for i, u in enumerate(URLS)], "page_id long, url string, " + ", ".join(f"`{n}` string" for n in names))
+    got = U.judge_urls(pages, U.rule_table(spark))
+    mine = ["host", "path", "rule", "verdict"]
+    assert got.columns == [c for c in pages.columns if c not in mine] + mine
+    rows = {r.page_id: r.asDict() for r in got.collect()}
+    assert len(rows) == len(URLS)
+    for i, u in enumerate(URLS):
+        assert tuple(rows[i][c] for c in mine) == model(u, U.RULES) and rows[i]["url"] == u
+        assert all(rows[i][n] == f"{n}{i}" for n in names if n not in mine)
+
+
+def test_hot_urls_and_rules_by_a_shuffled_join(spark, monkeypatch):
+    monkeypatch.setattr(U, "FEW_RULES", 2)
+    urls = ["https://a.com/en/x"] * 700 + [f"https://h{i}.com/en/{i}" for i in range(300)] + ["https://example.com/en/7/7"] * 5 + ["https://example.com/en/8"] + [None] * 40
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(4)
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in U.judge_urls(pages, U.rule_table(spark)).collect()}
+    assert got == {i: model(u, U.RULES) for i, u in enumerate(urls)}
+
+
+def test_rules_with_quotes_nulls_and_repeats(spark):
+    rules = U.rule_table(spark, [("a'b.com", "/\\x'", "block"), ("c.com", "/", "block"), ("c.com", "/", "allow")])
+    assert sorted(map(tuple, rules.collect())) == sorted([("a'b.com", "/\\x'", "block"), ("c.com", "/", "block"), ("c.com", "/", "allow")])
+    pages = spark.createDataFrame([(1, "x://a'b.com/\\x'y"), (2, "x://c.com/q"), (3, "x://d.com/")], "page_id long, url string")
+    odd = rules.unionByName(spark.sql("select 'd.com' as host, '/' as path, cast(null as string) as verdict"))
+    assert {r.page_id: r.verdict for r in U.judge_urls(pages, odd).collect()} == {1: "block", 2: "allow", 3: "allow"}
+
+
 def test_many_rules_and_none(spark):
     rules = [(f"h{i}.example.com", "/" * (i % 3 > 0) + "en/"[: i % 4], "block") for i in range(3000)]
     urls = [f"https://www.h{i}.example.com/en/{i}" for i in range(0, 6000, 7)]
