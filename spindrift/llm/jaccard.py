@@ -495,3 +495,26 @@ def keep_first(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataF
 
 def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, num=9, den=10)
+
+
+#: All pairs of documents that share a shingle.
+OP8_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), grams as (
+  select distinct doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from w
+), sizes as (
+  select doc_id, count(*) as n from grams group by doc_id
+), sized as (
+  select grams.doc_id, g, n from grams join sizes using (doc_id)
+), shared as (
+  select p.doc_id as a, q.doc_id as b, p.n as na, q.n as nb, count(*) as same from sized p join sized q on p.g = q.g and p.doc_id < q.doc_id and 10 * p.n >= 9 * q.n and 10 * q.n >= 9 * p.n group by all
+), pairs as (
+  select a, b from shared where 100 * same >= 90 * (na + nb - same)
+), links as (select a, b from pairs union all select b, a from pairs), reach as (
+  select distinct a as x, a as y from links union select reach.x, links.b from reach join links on links.a = reach.y
+), low as (
+  select x, min(y) as component_id from reach group by x
+)
+select d.doc_id, coalesce(n, 0) as n_shingles, coalesce(component_id, d.doc_id) as component_id from documents d left join sizes using (doc_id) left join low on x = d.doc_id
+"""

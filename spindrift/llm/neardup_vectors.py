@@ -278,3 +278,21 @@ def near_vectors(table: DataFrame, threshold: float = THRESHOLD, sample: int = S
 
 def op2_vector_neardup(spark, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: All pairs of one label.
+OP2_SQL = """
+with recursive v as (
+  select vec_id, label, e, sqrt(list_dot_product(e, e)) as norm from (select vec_id, label, embedding::double[] as e from embeddings) where e is not null and label is not null
+), pairs as (
+  select p.vec_id as a, q.vec_id as b from v p join v q on p.label = q.label and p.vec_id < q.vec_id where list_dot_product(p.e, q.e) / (p.norm * q.norm) >= 0.93
+), links as (select a, b from pairs union all select b, a from pairs), reach as (
+  select distinct a as x, a as y from links union select reach.x, links.b from reach join links on links.a = reach.y
+), low as (
+  select x, min(y) as component_id from reach group by x
+), n as (
+  select a, count(*) as n_links from links group by a
+)
+select vec_id, coalesce(n_links, 0) as n_links, coalesce(component_id, vec_id) as component_id, coalesce(component_id, vec_id) = vec_id as kept
+from embeddings left join n on a = vec_id left join low on x = vec_id
+"""

@@ -259,3 +259,26 @@ def quality_filter(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return judge(docs, labels)
+
+
+def quality_base(spark, sf_dir: str) -> DataFrame:
+    """The columns of op4 that SQL can express."""
+    found = text_stats(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("base_failed", base_failed())
+    return found.select("doc_id", *STATS[:5], "base_failed")
+
+
+BASE_SQL = r"""
+with w as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), grams as (
+  select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w where len(w) > 2)
+), many as (
+  select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as n from grams) where n > 1
+), repeats as (
+  select doc_id, count(distinct i + k) as n from many, range(3) t(k) group by doc_id
+), s as (
+  select w.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+    list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as lines, coalesce(n, 0) as n_repeat_words from w left join repeats using (doc_id)
+)
+select doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from s
+"""

@@ -74,3 +74,22 @@ def shard_plan(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
 def op6_byte_sharding(spark, sf_dir: str) -> DataFrame:
     plan = shard_plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The checksum is folded over half bytes, the low one first; its table of 16 follows from the polynomial.
+OP6_SQL = """
+with t as (
+  select list_transform(range(16), lambda i: list_reduce(range(4), lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i::bigint)) as t
+), d as (
+  select doc_id, octet_length(encode(coalesce(text, ''))) + 1 as size, string_split(hex(encode(coalesce(text, ''))), '') as h from documents
+), halves as (
+  select doc_id, size, list_transform(range(1, 2 * size - 1), lambda i: (strpos('0123456789ABCDEF', case when i % 2 = 1 then h[i + 1] else h[i - 1] end) - 1)::bigint) as h from d
+), crc as (
+  select doc_id, size, xor(list_reduce(h, lambda c, n: xor(t.t[(xor(c, n) & 15) + 1], c >> 4), 4294967295::bigint), 4294967295) as text_crc32 from halves, t
+), laid as (
+  select *, sum(size) over (order by doc_id, size, text_crc32)::bigint - size as pos, greatest(1, (sum(size) over () + 7)::bigint // 8) as stretch from crc
+), cut as (
+  select doc_id, size, text_crc32, pos, least(pos // stretch, 7)::int as shard from laid
+)
+select doc_id, size::bigint as size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by pos) - 1 as slot, null::int as grown_shard from cut
+"""
