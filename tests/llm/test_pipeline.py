@@ -54,6 +54,28 @@ def test_stages_on_awkward_rows(spark, sf):
         assert stage(spark, docs.limit(0), sf).count() == 0
 
 
+def test_stages_with_nulls_repeats_and_clashing_names(spark, sf):
+    names = ["row", "n", "h1", "h2", "tie", "sig", "cells", "gone_id", "_maybe_key", "_words", "mixed_times", "mixed_doc_id", "taken", "bin", "piece", "stat_n_words", "kept", "doc", "page", "best"]
+    text = lambda name, n=80: " ".join(f"{name}{i}" for i in range(n))
+    rows = [
+        (1, text("a"), "en", "s", 1), (1, text("a"), "en", "s", 1), (None, text("a", 81), "en", None, None), (None, text("b"), None, None, None), (None, text("b"), None, None, None),
+        (2, text("c"), "en", "t", 3), (2, text("d"), "en", "t", 3), (3, None, None, "t", None), (4, "", "en", "t", 0), (5, text("e", 6000), "en", "u", 1),
+    ]
+    docs = spark.createDataFrame([(*r, *(f"{n}{i}" for n in names)) for i, r in enumerate(rows)], SCHEMA + ", " + ", ".join(f"`{n}` string" for n in names))
+    a = C.quality_rules(spark, docs, sf)
+    assert a.columns == docs.columns and rows_of(a) == Counter({r: n for r, n in rows_of(docs).items() if r[1]})
+    b = C.ngram_jaccard(spark, a, sf)
+    left = b.collect()
+    assert b.columns == docs.columns and Counter((r.doc_id, r.text.split("0")[0]) for r in left) == Counter([(1, "a"), (None, "b"), (2, "c"), (2, "d"), (5, "e")])
+    assert {tuple(r) for r in left} <= {tuple(r) for r in docs.collect()}
+    again = C.ngram_jaccard(spark, docs, sf).collect()
+    assert Counter((r.doc_id, (r.text or "").split("0")[0]) for r in again) == Counter([(1, "a"), (None, "b"), (2, "c"), (2, "d"), (3, ""), (4, ""), (5, "e")])
+    c = C.mix_sources(spark, b, sf)
+    mixed = rows_of(c)
+    assert c.columns == docs.columns and set(mixed) <= {tuple(r) for r in left} and max(mixed.values()) <= 3
+    check(list(mixed.elements()), C.best_fit_packing(spark, c, sf).collect(), 1.5)
+
+
 def test_names():
     assert [n for n, _ in C.STAGES] == ["quality_rules", "ngram_jaccard", "mix_sources", "best_fit_packing"]
     assert set(C.queries()) == {"pipeline"} and C.oracle_sql() == {}
