@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField, StructType
@@ -49,8 +51,8 @@ _loaded: dict[tuple, object] = {}
 
 
 def per_worker(factory: Callable, *key):
-    """What factory(*key) gives, made once in a Python worker for each factory and key (say, a language and a model)."""
-    name = (getattr(factory, "__module__", ""), getattr(factory, "__qualname__", repr(factory)), *key)
+    """What factory(*key) gives, made once in a Python worker for each factory, told by its code and what it holds, and key (say, a language and a model)."""
+    name = (hashlib.md5(cloudpickle.dumps(factory)).digest(), *key)
     if name not in _loaded:
         _loaded[name] = factory(*key)
     return _loaded[name]
@@ -78,3 +80,22 @@ def transformer(factory: Callable[[], Callable[[bytes], bytes]]):
             yield pd.Series([None if f is None else engine(f) for f in files], dtype=object)
 
     return change
+
+
+def prepared(file: Column, orient: Callable[[Column], Column], shrink: Callable[[Column], Column], thumbnail: Callable[[Column], Column]) -> Column:
+    """struct(image, thumbnail): a file turned upright and made small enough to read, and its small picture, by injected engines."""
+    upright = orient(file)
+    return F.struct(shrink(upright).alias("image"), thumbnail(upright).alias("thumbnail"))
+
+
+def cropper(factory: Callable[[], Callable[[bytes, int, int, int, int], bytes]]):
+    """Column function (image, box) -> crop as an image file; a null image has none."""
+
+    @F.pandas_udf(BinaryType())
+    def crop(parts: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.Series]:
+        engine = per_worker(factory)
+        for images, boxes in parts:
+            sides = zip(images, *(boxes[c] for c in ("left", "top", "right", "bottom")), strict=True)
+            yield pd.Series([None if i is None else engine(i, int(a), int(b), int(c), int(d)) for i, a, b, c, d in sides], dtype=object)
+
+    return crop

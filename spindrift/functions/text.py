@@ -304,6 +304,19 @@ def document_id(day, key) -> Column:
     return F.concat(F.lit("DOC-"), F.date_format(_c(day), "yyyyMMdd"), F.lit("-"), F.upper(F.substring(F.md5(_c(key)), 1, 6)))
 
 
+TIME = "yyyy-MM-dd HH:mm:ss"
+
+
+def time_text(at) -> Column:
+    """A point in time as the text that is stored; ``F.current_timestamp()`` for now."""
+    return F.date_format(_c(at), TIME)
+
+
+def text_time(x) -> Column:
+    """The point in time that such a text says; anything else is null."""
+    return F.try_to_timestamp(_c(x), F.lit(TIME)).cast("timestamp_ntz")
+
+
 def shard_number(path) -> Column:
     return F.regexp_extract(_c(path), "train_shard_(\\d+)", 1).try_cast("int")
 

@@ -18,6 +18,11 @@ def charset(texts: DataFrame, column: str = "text") -> DataFrame:
     return own.where("character <> ''").distinct().orderBy("character")
 
 
+def missing_characters(have: DataFrame, texts: DataFrame, column: str = "text") -> DataFrame:
+    """Characters of the texts that have(character) lacks; none if it's a superset."""
+    return charset(texts, column).join(have.select("character").distinct(), "character", "left_anti").orderBy("character")
+
+
 def ocr_quality(pairs: DataFrame, *by: str) -> DataFrame:
     """Unrounded error rate over all characters and part of exact matches of pairs(target, prediction); null without pairs."""
     n = F.count("*")

@@ -33,6 +33,11 @@ def by_id(documents: DataFrame, id_: str) -> DataFrame:
     return summaries(documents.where(F.col("id") == id_))
 
 
+def statuses(documents: DataFrame, ids: list[str]) -> DataFrame:
+    """What a caller that waits for documents polls: their status, pages and message."""
+    return documents.where(F.col("id").isin(*ids)).select("id", "status", "page_count", "error")
+
+
 def review_lines(documents: DataFrame, pages: DataFrame, lines: DataFrame) -> DataFrame:
     """Lines with their page's size (1 where missing), the text to show and its romanization."""
     p = pages.select("page_id", F.coalesce(F.nullif("width", F.lit(0)), F.lit(1)).alias("page_width"), F.coalesce(F.nullif("height", F.lit(0)), F.lit(1)).alias("page_height"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,28 @@ def binary_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = (
     return reader.load(path)
 
 
+def parquet_files(spark: SparkSession, path: str) -> list[str]:
+    """The Parquet files of a file or folder in order of path; none is an error.  Only names reach the driver."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path").orderBy("path").collect()
+    if not found:
+        raise FileNotFoundError(f"no Parquet file in {path}")
+    return [r.path for r in found]
+
+
+def write_files(rows: DataFrame, put: Callable[[str, bytes], None]) -> None:
+    """Hands rows(path, content) to put, one after another, where the rows are: page images, thumbnails and crops go wherever put stores them.
+
+    A task that is run again puts its files again, so put has to overwrite.
+    """
+
+    def each(part: Iterator) -> None:
+        for row in part:
+            if row.content is not None:
+                put(row.path, bytes(row.content))
+
+    rows.select("path", "content").foreachPartition(each)
+
+
 def upload_code(name, size, pdf: bool = False) -> Column:
     """Why an upload is refused: 415 for its kind, 400 when it's empty, 413 when it's too large, in that order; else null.
 

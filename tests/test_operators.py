@@ -178,6 +178,10 @@ def test_evaluation(spark):
     none = evaluation.ocr_quality(pairs.limit(0)).first()
     assert none.cer_percent is None and none.exact_percent is None
     assert [x.character for x in evaluation.charset(spark.createDataFrame([("ba",), ("bc",), (None,)], "text string")).collect()] == ["a", "b", "c"]
+    texts = spark.createDataFrame([("ab",), ("bc",)], "text string")
+    assert [r.character for r in evaluation.missing_characters(evaluation.charset(texts.limit(1)), texts).collect()] == ["c"]
+    losses = spark.createDataFrame([(1, 0.5), (1, 0.25001), (2, 1.0)], "epoch int, loss double")
+    assert {r.epoch: r.loss for r in evaluation.epoch_loss(losses).collect()} == {1: 0.375, 2: 1.0}
     rows = spark.range(103).withColumn("k", (F.col("id") * 37) % 103).repartition(7)
     got = sorted((r.k, r.row_index, r.validation) for r in evaluation.split(rows, "k").collect())
     assert got == [(i, i, i % 10 == 0) for i in range(103)]
@@ -215,6 +219,58 @@ def test_search(spark):
     assert got == {1: [(4, 0.995), (3, 0.0), (6, 0.0)], 2: [(1, 1.0), (4, 0.995), (2, 0.7071)], 3: [(1, 0.0), (2, 0.0), (3, 0.0)]}
 
 
+def test_search_in_blocks_gives_the_same(spark, monkeypatch):
+    rng = random.Random(3)
+    index = spark.createDataFrame([(i, "abc"[i % 3], [rng.uniform(-1, 1) for _ in range(5)]) for i in range(60)], "page_id int, document_id string, embedding array<double>")
+    q = spark.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(5)], [None, "a", ""][i % 3]) for i in range(25)], "query_id int, embedding array<double>, exclude string")
+    rows = lambda: sorted(map(str, similarity.similar(index, q).collect()))
+    want = rows()
+    assert len(want) == 100
+    monkeypatch.setattr(similarity, "QUERY_BLOCK", 7)
+    assert rows() == want
+
+
+def test_page_images_crops_and_sinks(spark, tmp_path):
+    from spindrift.functions import images
+    from spindrift.functions.numeric import crop_box
+
+    turned, small, thumb = (images.transformer(f) for f in (_upright, _small, _thumbnail))
+    df = spark.createDataFrame([(1, b"abcdefgh"), (2, None)], "i int, file binary").select("i", images.prepared(F.col("file"), turned, small, thumb).alias("p"))
+    got = {r.i: r.p for r in df.collect()}
+    assert (bytes(got[1].image), bytes(got[1].thumbnail)) == (b"hgfedcba-s", b"hgfedcba-t") and got[2].image is None
+    box = crop_box(F.lit(5.4), F.lit(0.0), F.lit(6.0), F.lit(1.0), F.lit(8), F.lit(9))
+    crops = df.select(F.format_string("crop-%d.png", "i").alias("path"), images.cropper(_cut)(F.col("p.image"), box).alias("content"))
+    assert {r.path: r.content and bytes(r.content) for r in crops.collect()} == {"crop-1.png": b"1,0,8,5", "crop-2.png": None}
+    folder = str(tmp_path)
+
+    def put(path, content):
+        with open(f"{folder}/{path}", "wb") as f:
+            f.write(content)
+
+    files.write_files(crops, put)
+    assert [p.name for p in tmp_path.iterdir()] == ["crop-1.png"] and (tmp_path / "crop-1.png").read_bytes() == b"1,0,8,5"
+    with pytest.raises(FileNotFoundError):
+        files.parquet_files(spark, folder)
+    spark.range(2).write.parquet(f"{folder}/t")
+    assert [p.endswith(".parquet") for p in files.parquet_files(spark, folder)] == [True] * len(files.parquet_files(spark, folder))
+
+
+def _upright():
+    return lambda f: f[::-1]
+
+
+def _small():
+    return lambda f: f + b"-s"
+
+
+def _thumbnail():
+    return lambda f: f + b"-t"
+
+
+def _cut():
+    return lambda f, a, b, c, d: f"{a},{b},{c},{d}".encode()
+
+
 def test_recognition_with_fake_engines(spark):
     pages = spark.createDataFrame([(d, p, bytes([d, p]), "ta", "modern_print") for d in (1, 2) for p in (1, 2, 3)], "doc_id int, page_number int, image binary, language string, requested string")
 
@@ -272,15 +328,11 @@ def test_engines_are_made_once_and_skip_null_images(spark):
     df = spark.createDataFrame([(1, b"ab"), (2, None)], "i int, image binary")
     embed = recognition.embedder(vectors)
     assert [tuple(r) for r in df.select("i", embed("image").alias("v")).orderBy("i").collect()] == [(1, [2.0, 1.0]), (2, None)]
-    made = []
-
-    def load(*key):
-        made.append(key)
-        return object()
-
     from spindrift.functions.images import per_worker
 
-    assert per_worker(load, "ta", "a") is per_worker(load, "ta", "a") is not per_worker(load, "ta", "b") and made == [("ta", "a"), ("ta", "b")]
+    one, two = (lambda *key: [1, key]), (lambda *key: [2, key])
+    assert per_worker(one, "ta", "a") is per_worker(one, "ta", "a") is not per_worker(one, "ta", "b")
+    assert per_worker(one, "ta", "a") == [1, ("ta", "a")] and per_worker(two, "ta", "a") == [2, ("ta", "a")]
 
 
 def test_replacing_a_reading(spark):
@@ -303,6 +355,7 @@ def test_views_and_reports(spark, tmp_path):
     assert review.by_id(docs, "a").columns == list(review.SUMMARY) and review.by_id(docs, "a").first().verified_pages == 0 and review.by_id(docs, "z").count() == 0
     files.write_report(docs, str(tmp_path / "r"))
     assert tuple(files.json_state(spark, str(tmp_path / "r"), "id string, page_count int").first()) == ("a", 3)
+    assert [r.id for r in review.statuses(docs.withColumns({"status": F.lit("review"), "error": F.lit(None)}), ["a", "b"]).collect()] == ["a"]
     assert tuple(recognition.mean_confidence(spark.createDataFrame([("a", 80.0), (" \t", 1.0), ("b", 90.0)], "word string, conf double")).first()) == (2, 85.0)
 
 
