@@ -33,6 +33,11 @@ def by_id(documents: DataFrame, id_: str) -> DataFrame:
     return summaries(documents.where(F.col("id") == id_))
 
 
+def ready_pages(pages: DataFrame) -> DataFrame:
+    """(doc_id, ready): the numbers of the pages that are done, in order; what is left is resumed without them."""
+    return pages.where(F.col("status") == "ready").groupBy("doc_id").agg(F.array_sort(F.collect_list("page_number")).alias("ready"))
+
+
 def statuses(documents: DataFrame, ids: list[str]) -> DataFrame:
     """What a caller that waits for documents polls: their status, pages and message."""
     return documents.where(F.col("id").isin(*ids)).select("id", "status", "page_count", "error")

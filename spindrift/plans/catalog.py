@@ -155,11 +155,12 @@ def documents_with_verified_pages(spark, d):
 
 
 @query("""
-select l.line_id, d.id, l.page_number, l.line_order, coalesce(nullif(p.width, 0), 1) as page_width, coalesce(nullif(p.height, 0), 1) as page_height, coalesce(nullif(l.verified_text, ''), l.ocr_text) as text
-from fx_lines l join fx_pages p on p.page_id = l.page_id join fx_documents d on d.doc_id = l.doc_id
-""")
+, l as (select *, coalesce(nullif(verified_text, ''), ocr_text) as text from fx_lines)
+select l.line_id, d.id, l.page_number, l.line_order, coalesce(nullif(p.width, 0), 1) as page_width, coalesce(nullif(p.height, 0), 1) as page_height, l.text, @norm as romanized
+from l join fx_pages p on p.page_id = l.page_id join fx_documents d on d.doc_id = l.doc_id
+""".replace("@norm", _NORM.replace("$x", "l.text")))
 def review_lines(spark, d):
-    return review.review_lines(*_three(spark, d)).select("line_id", "id", "page_number", "line_order", "page_width", "page_height", "text")
+    return review.review_lines(*_three(spark, d)).select("line_id", "id", "page_number", "line_order", "page_width", "page_height", "text", "romanized")
 
 
 @query("""
@@ -176,10 +177,11 @@ def review_tree(spark, d):
 
 @query("select e.page_id, e.document_id, p.page_number, len(e.embedding)::int as dimensions from fx_embeddings e join fx_pages p on p.page_id = 1001 + e.page_id * 1000")
 def page_embedding_join(spark, d):
-    stored = fx.embeddings(spark, d).select("page_id", "document_id", V.to_json("embedding").alias("embedding_json"))
-    pages = fx.pages(spark, d).where("page_id % 1000 = 1").select(((F.col("page_id") - 1001) / 1000).cast("long").alias("page_id"), "page_number")
-    meta = stored.select("page_id", "document_id")
-    return similarity.embedded_pages(stored, pages).join(meta, "page_id").select("page_id", "document_id", "page_number", F.size("embedding").alias("dimensions"))
+    # a document's vector belongs to its first page
+    vectors = fx.embeddings(spark, d).select((F.col("page_id") * 1000 + 1001).alias("page_id"), F.col("page_id").alias("vector_id"), "document_id", "embedding")
+    stored = vectors.select("page_id", V.to_json("embedding").alias("embedding_json"))
+    joined = similarity.embedded_pages(stored, fx.pages(spark, d).select("page_id", "page_number")).join(vectors.drop("embedding"), "page_id")
+    return joined.select(F.col("vector_id").alias("page_id"), "document_id", "page_number", F.size("embedding").alias("dimensions"))
 
 
 _CONTEXT = "select l.line_id, l.page_id, l.doc_id, l.line_order, l.page_number, l.x0, l.y0, l.x1, l.y1, l.verified_text, p.image_path, d.source_type, d.language from fx_lines l join fx_pages p on p.page_id = l.page_id join fx_documents d on d.doc_id = l.doc_id"
@@ -334,8 +336,7 @@ def pending_pages(spark, d):
 
 @query("select doc_id, string_agg(page_number, ',' order by page_number) as ready from fx_pages where status = 'ready' group by doc_id")
 def ready_pages(spark, d):
-    ready = fx.pages(spark, d).where("status = 'ready'").groupBy("doc_id").agg(F.array_sort(F.collect_list("page_number")).alias("r"))
-    return ready.select("doc_id", F.array_join("r", ",").alias("ready"))
+    return review.ready_pages(fx.pages(spark, d)).select("doc_id", F.array_join("ready", ",").alias("ready"))
 
 
 # --- recognition
