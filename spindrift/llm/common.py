@@ -18,8 +18,8 @@ HOT_PARTS = 1000
 
 def hot_keys(found: DataFrame, held: str = "held") -> DataFrame:
     """Those of found(.., held: rows with the key) that hold more than a HOT_PARTS-th of all rows: fewer than HOT_PARTS, whatever the input."""
-    total = found.agg(F.sum(held)).first()[0] or 0
-    return found.where(F.col(held) > total // HOT_PARTS)
+    least = found.agg(F.floor(F.coalesce(F.sum(held), F.lit(0)) / HOT_PARTS).alias("least")).scalar()
+    return found.where(F.col(held) > least)
 
 
 def spread(rows: DataFrame, found: DataFrame, *key: str, held: str = "held") -> DataFrame:
