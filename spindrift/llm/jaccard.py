@@ -54,7 +54,7 @@ CHUNK_DOCS = 1 << 16
 #: Rows that are compared with one leader in a task.
 STAR_BLOCK = 1024
 #: Sets in a block of a tile, when signatures are compared.
-SIGNED_BLOCK = 1024
+SIGNED_BLOCK = 256
 #: Sets, and bytes of sets, in a block of a group.
 GROUP_BLOCK = 256
 GROUP_BYTES = 16 << 20
