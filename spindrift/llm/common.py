@@ -42,10 +42,10 @@ def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return marked.where(~maybe).drop("_words").unionByName(marked.where(maybe).drop("_words").join(gone.select(key), key, "left_anti").select(*rows.columns))
 
 
-def maybe_in(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+def maybe_in(rows: DataFrame, wanted: DataFrame, key: str, hashed: bool = False) -> DataFrame:
     """rows whose key may be in wanted(key), by a Bloom filter: what a join with wanted has to look at."""
     n_blocks = blocks_for(wanted.count())
-    return rows.withColumn("_words", words_of(wanted, key, n_blocks)).where(F.expr(passes(key, "_words", n_blocks))).drop("_words")
+    return rows.withColumn("_words", words_of(wanted, key, n_blocks, hashed)).where(F.expr(passes(key, "_words", n_blocks, hashed))).drop("_words")
 
 
 def blocked(rows: DataFrame, blocks, id_: str) -> DataFrame:

@@ -360,7 +360,7 @@ def linked(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
     entries = first.select(F.col("row").alias("id"), F.explode("cells").alias("key"))
     tiles = keep(entries.groupBy("key").agg(F.count("*").alias("held"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high"))
     big = tiles.where("held > 2").select("key", "held", "low")
-    members = keep(spread(maybe_in(entries, big, "key"), big, "key"))
+    members = keep(spread(keep(maybe_in(entries, big, "key", hashed=True)), big, "key"))
 
     # every member of a tile against the tile's first
     pairs = tiles.where("held = 2").select(F.col("high").alias("id"), F.col("low").alias("leader")).unionByName(members.where("id <> low").select("id", F.col("low").alias("leader"))).distinct()
