@@ -52,7 +52,7 @@ from spindrift.storage import cut, keep
 #: Sets that a task of the scan remembers in order not to describe a copy again.
 CHUNK_DOCS = 1 << 16
 #: Rows that are compared with one leader in a task.
-STAR_BLOCK = 1024
+STAR_BLOCK = 128
 #: Sets in a block of a tile, when signatures are compared.
 SIGNED_BLOCK = 256
 #: Sets, and bytes of sets, in a block of a group.
