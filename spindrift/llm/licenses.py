@@ -136,13 +136,18 @@ def window(size: int) -> int:
 class Scanner:
     def __init__(self, templates: dict[str, str], min_coverage: float):
         self.min_coverage = min_coverage
-        self.templates = []
+        self.templates, vocabularies = [], []
         for name in sorted(templates):
             t = texts_of(pa.array([templates[name]])).lowered().words(IS_PLAIN)
             words = t.word_hashes()
             numbers = [i for i, (s, e) in enumerate(zip(t.starts, t.ends, strict=True)) if bytes(t.data[s:e]).isdigit()]
             if len(words):
-                self.templates.append((name, words.tolist(), np.unique(words), len(words) if len(words) < SHORT else max(1, -int(-min_coverage * len(words) // 1)), set(numbers)))
+                vocabularies.append(np.unique(words))
+                self.templates.append((name, words.tolist(), len(words) if len(words) < SHORT else max(1, -int(-min_coverage * len(words) // 1)), set(numbers)))
+
+        # all words that any template has, and for each template which of them are its own
+        self.vocabulary = np.unique(np.concatenate(vocabularies)) if vocabularies else np.zeros(0, dtype=np.uint64)
+        self.mine = [np.isin(self.vocabulary, v) for v in vocabularies]
 
     def _matches(self, words: list[int], template: list[int], need: int, numbers: set[int], starts: list[int]) -> set[tuple[int, int, int]]:
         """(matched, first, end) of the windows of words that begin at starts and cover the template."""
@@ -170,21 +175,25 @@ class Scanner:
         h = t.word_hashes()
         first = np.searchsorted(t.doc, np.arange(t.n + 1))
         found: dict[int, list[tuple[int, int, int, str, int]]] = {}
-        for name, template, vocabulary, need, numbers in self.templates:
+        if not len(self.vocabulary):
+            return []
+        slot = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+        place = np.flatnonzero(self.vocabulary[slot] == h)  # words that any template has
+        slot = slot[place]
+        for (name, template, need, numbers), mine in zip(self.templates, self.mine, strict=True):
             size = len(template)
-            slot = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-            hit = vocabulary[slot] == h
-            if hit.sum() < need:
+            hits = place[mine[slot]]
+            if len(hits) < need:
                 continue
-            upto = np.concatenate([[0], np.cumsum(hit)])
-            # windows that begin a step apart in their text and hold enough hits
-            every = np.arange(len(h))
-            at = every[(every - first[t.doc]) % (step or max(1, size // 4)) == 0]
-            end = np.minimum(at + window(size), first[t.doc[at] + 1])
-            at = at[upto[end] - upto[at] >= need]
-            for d in np.unique(t.doc[at]).tolist():
+            # texts that have enough hits close together
+            last = hits[need - 1 :]
+            close = (last - hits[: len(last)] < window(size)) & (t.doc[last] == t.doc[hits[: len(last)]])
+            for d in np.unique(t.doc[last[close]]).tolist():
                 lo, hi = int(first[d]), int(first[d + 1])
-                got = self._matches(h[lo:hi].tolist(), template, need, numbers, (at[t.doc[at] == d] - lo).tolist())
+                # windows begin a step apart and have to hold enough hits
+                at = np.arange(lo, hi, step or max(1, size // 4))
+                held = np.searchsorted(hits, np.minimum(at + window(size), hi)) - np.searchsorted(hits, at)
+                got = self._matches(h[lo:hi].tolist(), template, need, numbers, (at[held >= need] - lo).tolist())
                 found.setdefault(d, []).extend((-m, lo + s, lo + e, name, size) for m, s, e in got)
         out = []
         for d in sorted(found):
