@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sqlite3
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +14,9 @@ from spindrift.functions import text as X
 from spindrift.functions import vectors as V
 from spindrift.operators import evaluation, layout, metrics, recognition, review, similarity, store
 from spindrift.plans import fixtures as fx
-from spindrift.sources import files
+from spindrift.plans.recognize import recognize
+from spindrift.sources import files, sqlite
+from spindrift.storage import own_folder
 from spindrift.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -759,3 +763,103 @@ def document_summaries(spark, d):
     docs = fx.documents(spark, d).withColumn("filename", F.lit("f")).withColumn("source_manual", F.lit(0))
     out = review.summaries(review.listing(docs, fx.pages(spark, d), 1000))
     return out.select("id", "filename", "language", "source_type", "source_manual", "status", "page_count", "verified_pages", F.col("error").cast("string").alias("error"))
+
+
+# --- sources and sinks, there and back
+
+
+@query("select id, status, page_count from fx_documents")
+def json_report(spark, d):
+    folder = own_folder(spark, "reports")
+    files.write_report(fx.documents(spark, d).select("id", "status", "page_count"), folder)
+    return files.json_state(spark, folder, "id string, status string, page_count int", lines=True)
+
+
+@query("""select to_json({'id': id, 'language': language, 'source_type': source_type, 'page_count': page_count, 'error': null})::varchar as value from fx_documents""")
+def json_view(spark, d):
+    docs = fx.documents(spark, d).withColumn("error", F.lit(None).cast("string"))
+    return files.as_json(docs, "id", "language", "source_type", "page_count", "error")
+
+
+@query(f"""
+select printf('crops/%d/page-%04d-line-%04d.png', doc_id, page_number, line_order) || chr(9) || regexp_replace(regexp_replace(replace(verified_text, chr(9), ' '), '^{_WS}', ''), '{_WS}$', '') as value
+from ({_CONTEXT}) where image_path is not null and not regexp_full_match(coalesce(verified_text, ''), '({_WS})?')
+""")
+def label_list(spark, d):
+    folder = own_folder(spark, "labels")
+    files.write_label_list(review.export_lines(review.training_pairs(review.training_context(*_three(spark, d)))), folder)
+    return spark.read.text(folder)
+
+
+@query("select n_nationkey::bigint as n_nationkey, n_name, n_regionkey::bigint as n_regionkey, n_name not like 'A%' as other, 'nation' as tables from nation", fixtures=False)
+def sqlite_scan(spark, d):
+    """A table of 25 rows as a SQLite file, its tables listed, its columns found and its rows read."""
+    folder = Path(own_folder(spark, "sqlite").removeprefix("file:"))
+    folder.mkdir(parents=True)
+    at = str(folder / "nation.db")
+    with sqlite3.connect(at) as db:
+        db.execute("create table nation (n_nationkey integer primary key, n_name text, n_regionkey integer)")
+        db.executemany("insert into nation values (?, ?, ?)", [tuple(r) for r in fx.table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").collect()])
+    sqlite.register(spark)
+    rows = spark.read.format("sqlite_file").option("path", at).option("table", "nation").load()
+    return rows.withColumn("other", ~F.col("n_name").like("A%")).withColumn("tables", F.lit(",".join(sqlite.tables(at))))
+
+
+# --- recognition from page images, end to end, by engines that read what the image's bytes say
+
+
+def _page_engine():
+    def read(image, language, route):
+        return [{"text": f" {t} ", "confidence": len(t) % 100 / 100, "bbox": [20.0, 30.0 * i, 90.0, 30.0 * i + 20], "engine": "paddle"} for i, t in enumerate(image.decode().split("\n"))]
+
+    return read
+
+
+def _line_engine():
+    return lambda image, bbox, language: {"text": f"{language}:{int(bbox[1])}", "confidence": 0.7, "engine": "tesseract"}
+
+
+def _recognized(spark, d):
+    held = fx.lines(spark, d).groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("pos", "ocr_text"))).alias("l"))
+    pages = held.select(
+        "doc_id", "page_number", F.array_join(F.transform("l", lambda x: x["ocr_text"]), "\n").cast("binary").alias("image"), F.lit("ta").alias("language"),
+        F.when(F.col("doc_id") % 2 == 1, "palm_leaf").otherwise(F.lit(None)).alias("requested"),
+    )
+
+    def classify(image):
+        c = (N.hash32(image) % 1001) / 1000.0
+        return F.array(F.struct(F.lit("palm_leaf").alias("source_type"), c.alias("confidence")), F.struct(F.lit("modern_print").alias("source_type"), (1 - c).alias("confidence")))
+
+    return recognize(pages, classify, recognition.page_reader(_page_engine), recognition.line_reader(_line_engine))
+
+
+_IMAGES = """
+, im as (select doc_id, page_number, string_agg(ocr_text, chr(10) order by pos) as image from fx_lines group by doc_id, page_number),
+c as (select doc_id, page_number, ('0x' || substr(md5(image), 1, 8))::bigint % 1001 / 1000.0::double as c from im), n as (select doc_id, count(*)::int as n from im group by doc_id),
+sampled as (select doc_id, unnest(case when n <= 5 then range(n) else list_distinct(list_transform(range(5), lambda i: round_even(i * (n - 1) / 4.0::double, 0)::bigint)) end) + 1 as page_number from n),
+tops as (select doc_id, page_number, case when c >= 1 - c then 'palm_leaf' else 'modern_print' end as source_type, greatest(c, 1 - c) as confidence from c join sampled using (doc_id, page_number)),
+totals as (select doc_id, source_type, sum((confidence * 1000)::bigint) as score, min(page_number) as first from tops group by doc_id, source_type),
+votes as (select *, score / sum(score) over (partition by doc_id)::double as confidence, row_number() over (partition by doc_id order by score desc, first) as rn from totals)
+"""
+
+
+@query(_IMAGES + """
+select doc_id, requested, source_type, round(confidence, 6) as confidence, redo, case when redo then source_type when requested in ('palm_leaf', 'modern_print') then requested else 'modern_print' end as route, 'review' as status
+from (select *, source_type = 'palm_leaf' and requested <> 'palm_leaf' as redo from (select *, case when doc_id % 2 = 1 then 'palm_leaf' else 'modern_print' end as requested from votes where rn = 1))
+""")
+def recognized_documents(spark, d):
+    documents, _ = _recognized(spark, d)
+    return documents.select("doc_id", "requested", "source_type", F.round("confidence", 6).alias("confidence"), "redo", "route", "status")
+
+
+@query(f"""
+, l as (select *, row_number() over (partition by doc_id, page_number order by pos) - 1 as i, {_NORM.replace("$x", "ocr_text")} as t, length(ocr_text) % 100 / 100.0::double as c from fx_lines)
+select doc_id, page_number, t as text, (row_number() over (partition by doc_id, page_number order by i) - 1)::int as line_order, c as confidence, 30.0::double * i as y0,
+  case when c < 0.8 then 'needs_review' else 'accepted' end as review_status, case when c < 0.95 then 'ta:' || (30 * i)::bigint end as second
+from l where t <> ''
+""")
+def recognized_lines(spark, d):
+    _, lines = _recognized(spark, d)
+    # which of the confident lines are read again hangs on a hash of their page
+    second = F.when(F.col("confidence") < 0.95, F.col("second.text"))
+    return lines.select("doc_id", "page_number", "text", "line_order", "confidence", "y0", "review_status", second.alias("second"))

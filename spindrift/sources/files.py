@@ -78,8 +78,9 @@ def shard_listing(listing: DataFrame, column: str = "value") -> DataFrame:
     return rows.withColumn("shard", F.regexp_extract("name", "^train_shard_(\\d{3})", 1).try_cast("int")).where("shard is not null")
 
 
-def json_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", "true").json(path)
+def json_state(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """A JSON document in each file, or, as write_report writes them, one in each line."""
+    return spark.read.schema(schema).option("multiLine", str(not lines).lower()).json(path)
 
 
 def write_label_list(rows: DataFrame, path: str) -> None:
