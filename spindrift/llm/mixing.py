@@ -127,12 +127,14 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, n_blocks: int
     # copy u of a block is in shard g when it lies between its starts; block i has copy p * n + i of each pass, and one more if it's picked
     put = lambda u: f"int({u} >= get(starts, g) and {u} < get(starts, g + 1))"
     whole = " + ".join(f"int({p} < passes) * {put(f'({p} * n + i)')}" for p in range(most_repeats))
-    copies = f"{whole} + int((i * r + phase) % n < r) * {put('(passes * n + (i * r + phase) div n - int(phase >= r))')}"
+    picked = "int((i * r + phase) % n < r)"
+    copies = f"{whole} + {picked} * {put('(passes * n + (i * r + phase) div n - int(phase >= r))')}"
     words = "(least(at + size, (i + 1) * block) - greatest(at, i * block))"
+    taken = f"if(size > 0, passes * size + aggregate(sequence(at div block, (at + size - 1) div block), 0L, (s, i) -> s + {words} * {picked}), 0L)"
     of_shard = f"transform(sequence(0, {n_shards - 1}), g -> aggregate(sequence(at div block, (at + size - 1) div block), 0L, (s, i) -> s + {words} * ({copies})))"
     return (
         placed.drop("source").join(sources, "sid").withColumn("shard_words", F.expr(f"if(size > 0, {of_shard}, array_repeat(0L, {n_shards}))"))
-        .select("doc_id", "source", "tag", "size", "source_size", "target", F.expr("aggregate(shard_words, 0L, (s, x) -> s + x)").alias("taken"), "shard_words")
+        .select("doc_id", "source", "tag", "size", "source_size", "target", F.expr(taken).alias("taken"), "shard_words")
     )
 
 
