@@ -46,7 +46,8 @@ MOST_TABLES = 48
 FOUND = 0.999
 SIMULATED = 4000
 ROUNDS = 40
-BLOCK = 512
+#: Vectors in a block of a hot key: as few as LEAST, if the tasks that there are can share its pairs of blocks, as many as BLOCK at most.
+BLOCK, LEAST = 512, 32
 #: Pairs that are compared at once.
 PAIRS = 1 << 20
 SEED = 3
@@ -208,9 +209,10 @@ def near_vectors(table: DataFrame, threshold: float = THRESHOLD, sample: int = S
 
     entries = classes.select(F.xxhash64("label").alias("lab"), "id", "emb").mapInArrow(index, "bucket long, id long, probe boolean, code binary")
     sizes = cut(entries.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1"))
-    hot = F.broadcast(hot_keys(sizes).select("bucket", F.ceil(F.col("held") / BLOCK).alias("blocks")))
-    spread_out = blocked(entries.join(hot, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), F.col("blocks"), "id")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = F.least(F.ceil(F.col("held") / LEAST), F.lit(math.ceil(math.sqrt(2 * parts))))
+    hot = F.broadcast(hot_keys(sizes).select("bucket", F.greatest(F.ceil(F.col("held") / BLOCK), shared).alias("blocks")))
+    spread_out = blocked(entries.join(hot, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), F.col("blocks"), "id")
     keys = ["bucket", "a", "b"]
 
     def pairs_of(t: pa.Table, starts: np.ndarray, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
