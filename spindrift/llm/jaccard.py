@@ -55,8 +55,8 @@ CHUNK_DOCS = 1 << 16
 STAR_BLOCK = 128
 #: Sets in a block of a tile, when signatures are compared.
 SIGNED_BLOCK = 256
-#: Sets, and bytes of sets, in a block of a group.
-GROUP_BLOCK = 256
+#: Sets in a block of a group: as few as GROUP_LEAST, if the tasks that there are can share its pairs of blocks, as many as GROUP_BLOCK at most; and bytes of sets.
+GROUP_LEAST, GROUP_BLOCK = 32, 256
 GROUP_BYTES = 16 << 20
 #: Bits of the widest signature; a set of n grams has the power of two from n, at least 64.
 MOST_BITS = 16384
@@ -427,7 +427,8 @@ def rest(placed: DataFrame, open_: DataFrame, known: DataFrame, sigs: DataFrame,
     groups = components(dealt.mapInArrow(narrow, "a long, b long")).select(F.col("node").alias("id"), F.col("component").alias("grp"))
     comps = known.select(F.col("node").alias("id"), F.col("component").alias("comp"))
     named = keep(groups.join(sigs.select(F.col("row").alias("id"), "n"), "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
-    sizes = named.groupBy("grp").agg(F.count("*").alias("held"), F.greatest(F.ceil(F.count("*") / GROUP_BLOCK), F.ceil(F.sum("n") * 8 / GROUP_BYTES)).alias("blocks"))
+    shared = F.least(F.ceil(F.count("*") / GROUP_LEAST), F.lit(math.ceil(math.sqrt(2 * parts))))
+    sizes = named.groupBy("grp").agg(F.count("*").alias("held"), F.greatest(F.ceil(F.count("*") / GROUP_BLOCK), F.ceil(F.sum("n") * 8 / GROUP_BYTES), shared).alias("blocks"))
     several = blocked(spread(named, sizes, "grp").drop("held"), F.col("blocks"), "id")
     loaded = maybe_in(texts.drop("n"), named.select(F.col("id").alias("row")), "row").withColumnRenamed("row", "id")
 
