@@ -665,13 +665,13 @@ def clean_lines(spark, d):
 
 
 @query("""
-, w as (select user_id, event_id, case when event_id % 5 = 0 then '  ' else event_type || ' ' end as word, (event_id % 105 - 4)::double as conf from events), k as (select *, trim(word) as t from w where trim(word) <> '' and conf >= 0)
-select user_id, coalesce((select string_agg(t, ' ' order by event_id) from k where k.user_id = u.user_id), '') as text, coalesce((select printf('%.4f', sum(conf) / 100 / count(*))::double from k where k.user_id = u.user_id), 0) as confidence
+, w as (select user_id, event_id, case when event_id % 5 = 0 then '  ' else event_type || ' ' end as word, ((event_id % 6 - 1) * 25)::double as conf from events), k as (select *, trim(word) as t from w where trim(word) <> '' and conf >= 0)
+select user_id, coalesce((select string_agg(t, ' ' order by event_id) from k where k.user_id = u.user_id), '') as text, coalesce((select printf('%.4f', sum(conf / 100) / count(*))::double from k where k.user_id = u.user_id), 0) as confidence
 from (select distinct user_id from events) u
 """)
 def word_readings(spark, d):
     e = fx.table(spark, d, "events")
-    word = F.struct("event_id", F.when(F.col("event_id") % 5 == 0, "  ").otherwise(F.concat("event_type", F.lit(" "))).alias("word"), (F.col("event_id") % 105 - 4).cast("double").alias("conf"))
+    word = F.struct("event_id", F.when(F.col("event_id") % 5 == 0, "  ").otherwise(F.concat("event_type", F.lit(" "))).alias("word"), ((F.col("event_id") % 6 - 1) * 25).cast("double").alias("conf"))
     words = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(word)), lambda x: F.struct(x["word"].alias("word"), x["conf"].alias("conf"))).alias("w"))
     return words.select("user_id", recognition.word_reading(F.col("w")).alias("r")).select("user_id", "r.text", "r.confidence")
 
