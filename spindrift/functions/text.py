@@ -168,12 +168,18 @@ def _kind(word: str) -> int:
     return 2 if _ALL_BLOCK.fullmatch(t) and not _BAD.search(t) else 1
 
 
-def text_layer(x, minimum: float = 0.95) -> Column:
-    """struct(script_words, valid_words, score unrounded, trusted) of a text layer."""
+def _plain_kind(word: str) -> int:
+    """As _kind, by the plainer rules."""
+    t = "" if word.isascii() else word.strip(".,;:!?\"'()[]").translate({0x200C: None, 0x200D: None})
+    if not _IN_BLOCK.search(t):
+        return 0
+    return 2 if _ALL_BLOCK.fullmatch(t) and not _BAD.search(t) else 1
 
+
+def _layer(x, minimum: float, kind: Callable[[str], int]) -> Column:
     @F.pandas_udf(_LAYER)
     def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known = _Known(_kind)
+        known = _Known(kind)
         for p in parts:
             kinds = [list(map(known.__getitem__, t.split())) if t else [] for t in p]
             n = np.array([len(k) - k.count(0) for k in kinds], dtype=np.int32)
@@ -184,15 +190,14 @@ def text_layer(x, minimum: float = 0.95) -> Column:
     return judge(_c(x))
 
 
+def text_layer(x, minimum: float = 0.95) -> Column:
+    """struct(script_words, valid_words, score unrounded, trusted) of a text layer."""
+    return _layer(x, minimum, _kind)
+
+
 def text_layer_plain(x, minimum: float = 0.95) -> Column:
     """The plainer check: fewer punctuation marks are stripped, two joiners removed, nothing composed."""
-    parts = F.split(F.coalesce(_c(x), F.lit("")), SPACE)
-    bare = F.transform(F.filter(F.transform(parts, lambda w: F.btrim(w, F.lit(".,;:!?\"'()[]"))), lambda w: w != ""), lambda w: F.translate(w, "\u200c\u200d", ""))
-    mine = F.filter(bare, has_script)
-    bad = lambda w: w.rlike(f"(^|[^{_C}])[{_D}{PULLI}]") | w.rlike(f"(^|[^{_C}{E_SIGN}]){AU_MARK}")
-    n, valid = F.size(mine), F.size(F.filter(mine, lambda w: w.rlike("^[\\x{0B80}-\\x{0BFF}]+$") & ~bad(w)))
-    score = F.coalesce(F.try_divide(valid.cast("double"), n.cast("double")), F.lit(0.0))
-    return F.struct(n.alias("script_words"), valid.alias("valid_words"), score.alias("score"), ((n > 0) & (score >= F.lit(minimum))).alias("trusted"))
+    return _layer(x, minimum, _plain_kind)
 
 
 def ctc_decode(tokens, charset: str | list[str]) -> Column:

@@ -6,8 +6,12 @@ same tables as common table expressions.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from spindrift.functions.numeric import hash32
 from spindrift.schema import GATE, REVIEW_BELOW, SOURCE_TYPES
@@ -85,8 +89,15 @@ def classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("confidence", (hash32(F.concat(F.lit("c"), _s("page_id"), "source_type")) % 10001) / F.lit(10000))
 
 
+@F.pandas_udf(StringType())
+def _in_script(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    letters = str.maketrans(LATIN, SCRIPT)
+    for p in parts:
+        yield pd.Series([t if t is None else t.translate(letters) for t in p], dtype=object)
+
+
 def script_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.translate(F.lower("text"), LATIN, SCRIPT).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", _in_script(F.lower("text")).alias("text"))
 
 
 def ctc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
