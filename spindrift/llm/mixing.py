@@ -116,7 +116,9 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, n_blocks: int
     # a row for each source and shard: in shard g the source's copies from starts[g] to starts[g + 1]
     dealt = shard_quotas(quotas, n_shards).groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("shard", "blocks"))).alias("q"))
     starts = dealt.select("sid", F.expr(f"transform(sequence(0, {n_shards}), g -> aggregate(slice(q, 1, g), 0L, (s, x) -> s + x.blocks))").alias("starts"))
-    sources = keep(quotas.join(starts, "sid").select("sid", "source", "source_size", "target", "block", "n", "passes", "r", "phase", "starts"))
+    # copy o of the last pass is block (o' n - phase) / r, rounded up, where o' leaves out a first block that isn't picked
+    marks = "transform(starts, s -> if(s - passes * n >= r, n, ((greatest(s - passes * n, 0L) + int(phase >= r)) * n - phase + r - 1) div greatest(r, 1L)))"
+    sources = keep(quotas.join(starts, "sid").withColumn("marks", F.expr(marks)).select("sid", "source", "source_size", "target", "block", "n", "passes", "r", "phase", "starts", "marks"))
 
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     rows = sized.join(sources.select("sid", F.col("source").alias("its_source")), F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source").withColumn("key", key).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
@@ -124,17 +126,19 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, n_blocks: int
     sums = sums.withColumn("ahead", F.sum("held").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("held")).drop("held")
     inside = Window.partitionBy("sid", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.join(sums, ["sid", "bucket"]).withColumn("at", F.col("ahead") + F.sum("size").over(inside) - F.col("size"))
-    # copy u of a block is in shard g when it lies between its starts; block i has copy p * n + i of each pass, and one more if it's picked
-    put = lambda u: f"int({u} >= get(starts, g) and {u} < get(starts, g + 1))"
-    whole = " + ".join(f"int({p} < passes) * {put(f'({p} * n + i)')}" for p in range(most_repeats))
-    picked = "int((i * r + phase) % n < r)"
-    copies = f"{whole} + {picked} * {put('(passes * n + (i * r + phase) div n - int(phase >= r))')}"
-    words = "(least(at + size, (i + 1) * block) - greatest(at, i * block))"
-    taken = f"if(size > 0, passes * size + aggregate(sequence(at div block, (at + size - 1) div block), 0L, (s, i) -> s + {words} * {picked}), 0L)"
-    of_shard = f"transform(sequence(0, {n_shards - 1}), g -> aggregate(sequence(at div block, (at + size - 1) div block), 0L, (s, i) -> s + {words} * ({copies})))"
+    # a document's words in blocks b0 to b1: of each whole pass a shard has a run of blocks, of the last one the picked among a run
+    whole = " + ".join(f"int({p} < passes) * greatest(0L, least(at + size, least(get(starts, g + 1) - {p} * n, n) * block) - greatest(at, greatest(get(starts, g) - {p} * n, 0L) * block))" for p in range(most_repeats))
+    picked = lambda i: f"int(({i} * r + phase) % n < r)"
+    before = lambda x: f"if({x} <= 0, 0L, (({x} - 1) * r + phase) div n - int(phase >= r) + 1)"
+    last = lambda lo, hi: (
+        f"(block * if(least({hi}, b1) > greatest({lo}, b0 + 1), {before(f'least({hi}, b1)')} - ({before(f'greatest({lo}, b0 + 1)')}), 0L)"
+        f" + int(b0 >= {lo} and b0 < {hi}) * {picked('b0')} * (least(at + size, (b0 + 1) * block) - at) + int(b1 > b0 and b1 >= {lo} and b1 < {hi}) * {picked('b1')} * (at + size - b1 * block))"
+    )
+    of_shard = f"transform(sequence(0, {n_shards - 1}), g -> {whole} + {last('get(marks, g)', 'get(marks, g + 1)')})"
     return (
-        placed.drop("source").join(sources, "sid").withColumn("shard_words", F.expr(f"if(size > 0, {of_shard}, array_repeat(0L, {n_shards}))"))
-        .select("doc_id", "source", "tag", "size", "source_size", "target", F.expr(taken).alias("taken"), "shard_words")
+        placed.drop("source").join(sources, "sid").withColumns({"b0": F.expr("at div block"), "b1": F.expr("(at + greatest(size, 1L) - 1) div block")})
+        .withColumn("shard_words", F.expr(f"if(size > 0, {of_shard}, array_repeat(0L, {n_shards}))")).withColumn("taken", F.expr(f"if(size > 0, passes * size + {last('0L', 'n')}, 0L)"))
+        .select("doc_id", "source", "tag", "size", "source_size", "target", "taken", "shard_words")
     )
 
 
