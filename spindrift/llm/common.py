@@ -22,13 +22,13 @@ def hot_keys(found: DataFrame, held: str = "held") -> DataFrame:
     return found.where(F.col(held) > least)
 
 
-def spread(rows: DataFrame, found: DataFrame, *key: str, held: str = "held") -> DataFrame:
+def spread(rows: DataFrame, found: DataFrame, *key: str, held: str = "held", kept: bool = False) -> DataFrame:
     """rows joined with found, which has one row for each key and in ``held`` how many of rows have it.
 
     Hot keys are answered from a broadcast of bounded size, so their rows stay where they are; of the
-    others none has enough rows to weigh on a task.
+    others none has enough rows to weigh on a task.  ``kept`` says that found comes from a table already.
     """
-    found = cut(found)
+    found = found if kept else cut(found)
     hot = hot_keys(found, held)
     cold = rows.join(F.broadcast(hot.select(*key)), [*key], "left_anti").join(found.join(F.broadcast(hot.select(*key)), [*key], "left_anti"), [*key])
     return rows.join(F.broadcast(hot), [*key]).unionByName(cold)

@@ -330,12 +330,12 @@ def starred(pairs: DataFrame, load: DataFrame, judge: Callable[[Iterator[pa.Reco
     """What judge makes of pairs(id, leader) and load(row, n, load): batches (leader, block, id, n, load), a leader
     before its rows.  A leader of many is put before each block of them, so no task holds all."""
     pairs = keep(pairs)
-    held = cut(pairs.groupBy("leader").agg(F.count("*").alias("held")))
+    held = pairs.groupBy("leader").agg(F.count("*").alias("held"))
     hot = F.broadcast(hot_keys(held).select("leader", F.ceil(F.col("held") / STAR_BLOCK).cast("int").alias("blocks")))
     blocks = F.coalesce("blocks", F.lit(1))
     members = pairs.join(hot, "leader", "left").select("leader", "id", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
     heads = held.join(hot, "leader", "left").select("leader", F.col("leader").alias("id"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    wanted = cut(members.select(F.col("id").alias("row")).unionByName(heads.select(F.col("id").alias("row"))).distinct())
+    wanted = pairs.select(F.explode(F.array("id", "leader")).alias("row")).distinct()
     loaded = maybe_in(load, wanted, "row").withColumnRenamed("row", "id")
     rows = members.unionByName(heads).join(loaded, "id").withColumn("head", (F.col("id") == F.col("leader")).cast("int"))
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -360,7 +360,7 @@ def linked(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
     entries = first.select(F.col("row").alias("id"), F.explode("cells").alias("key"))
     tiles = keep(entries.groupBy("key").agg(F.count("*").alias("held"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high"))
     big = tiles.where("held > 2").select("key", "held", "low")
-    members = keep(spread(keep(maybe_in(entries, big, "key", hashed=True)), big, "key"))
+    members = keep(spread(keep(maybe_in(entries, big, "key", hashed=True)), big, "key", kept=True))
 
     # every member of a tile against the tile's first
     pairs = tiles.where("held = 2").select(F.col("high").alias("id"), F.col("low").alias("leader")).unionByName(members.where("id <> low").select("id", F.col("low").alias("leader"))).distinct()
@@ -411,7 +411,7 @@ def rest(placed: DataFrame, open_: DataFrame, known: DataFrame, sigs: DataFrame,
     makes small groups, inside which sorted sets decide.
     """
     parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = spread(placed, open_.withColumn("tile", F.col("held")), "key")
+    rows = spread(placed, open_.withColumn("tile", F.col("held")), "key", kept=True)
     rows = blocked(rows, F.ceil(F.col("tile") / SIGNED_BLOCK), "id").join(sigs.withColumnRenamed("row", "id"), "id")
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
