@@ -18,6 +18,11 @@ def py_round(x, places: int) -> Column:
     return F.when(finite, rounded).otherwise(_c(x).cast("double"))
 
 
+def scaled_round(x, places: int) -> Column:
+    """As SQL engines round that scale, round half away from zero and scale back: what counts is the scaled value in double precision, not the decimal digits."""
+    return F.round(_c(x).cast("double") * F.lit(10.0**places), 0) / F.lit(10.0**places)
+
+
 def round_int(x) -> Column:
     """Python's round(x) to an integer, half to even."""
     return F.rint(_c(x)).cast("long")

@@ -19,6 +19,8 @@ from spindrift.functions.numeric import hash_sample, py_round, ratio, sample_pos
 from spindrift.functions.text import is_blank, normalize_texts
 from spindrift.schema import AUDIT_RATE, DEFAULT_ROUTE, ENGRAVED, GATE, REVIEW_BELOW, SAMPLE_PAGES, SOURCE_TYPES
 
+#: Votes are counted in parts this small, so a sum doesn't hang on the order of pages and equal sums are equal.
+VOTE_PARTS = 10**12
 LINE = "array<struct<text: string, confidence: double, bbox: array<double>, engine: string>>"
 
 
@@ -43,14 +45,16 @@ def source_vote(classifications: DataFrame, group: str = "doc_id", page: str = "
 
     Each page votes for its best class with that confidence, the first one on ties; the class with the
     largest sum wins, the one voted for first on ties; confidence is its unrounded part of all votes, 0
-    when they are all 0.
+    when they are all 0.  Sums are exact, of confidences rounded to VOTE_PARTS; one that isn't finite adds nothing.
     """
     c = F.coalesce("confidence", F.lit(0.0))
     top = classifications.groupBy(group, page).agg(F.max_by(F.struct("source_type", c.alias("c")), F.struct(c, -F.col("pos"))).alias("t"))
-    sums = top.groupBy(group, F.col("t.source_type").alias("source_type")).agg(F.sum("t.c").alias("score"), F.min(page).alias("first"))
+    parts = F.coalesce(F.rint(F.col("t.c") * F.lit(float(VOTE_PARTS))).try_cast("decimal(28,0)"), F.lit(0).cast("decimal(28,0)"))
+    sums = top.groupBy(group, F.col("t.source_type").alias("source_type")).agg(F.sum(parts).alias("parts"), F.min(page).alias("first"))
+    score = (F.col("parts").cast("double") / F.lit(float(VOTE_PARTS))).alias("score")
     return sums.groupBy(group).agg(
-        F.max_by("source_type", F.struct("score", -F.col("first"))).alias("source_type"), ratio(F.max("score"), F.sum("score")).alias("confidence"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("source_type", "score")))).alias("votes"),
+        F.max_by("source_type", F.struct("parts", -F.col("first"))).alias("source_type"), ratio(F.max("parts"), F.sum("parts")).alias("confidence"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("source_type", score)))).alias("votes"),
     )
 
 

@@ -365,7 +365,7 @@ vote as (select doc_id, source_type, score / sum(score) over (partition by doc_i
 
 @query(_VOTE + "select doc_id, source_type, round(confidence, 6) as confidence from vote where rn = 1")
 def source_vote(spark, d):
-    return recognition.source_vote(fx.classifications(spark, d)).select("doc_id", "source_type", F.round("confidence", 6).alias("confidence"))
+    return recognition.source_vote(fx.classifications(spark, d)).select("doc_id", "source_type", N.scaled_round("confidence", 6).alias("confidence"))
 
 
 @query(_VOTE + """
@@ -849,7 +849,7 @@ from (select *, source_type = 'palm_leaf' and requested <> 'palm_leaf' as redo f
 """)
 def recognized_documents(spark, d):
     documents, _ = _recognized(spark, d)
-    return documents.select("doc_id", "requested", "source_type", F.round("confidence", 6).alias("confidence"), "redo", "route", "status")
+    return documents.select("doc_id", "requested", "source_type", N.scaled_round("confidence", 6).alias("confidence"), "redo", "route", "status")
 
 
 @query(f"""

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift import schema
+from spindrift.functions import numeric
 from spindrift.operators import evaluation, layout, metrics, recognition, review, similarity, store
 from spindrift.plans.recognize import recognize
 from spindrift.sources import files, sqlite
@@ -67,6 +68,20 @@ def test_vote(spark):
     assert got[2].source_type == "a" and (got[3].source_type, got[3].confidence) == ("a", 0.0) and got[4].source_type == "z"
 
 
+def test_votes_add_up_exactly(spark):
+    """0.1 + 0.7 and 0.6 + 0.2 aren't the same double; the class voted for first wins whatever the order of rows."""
+    rows = [(1, 1, 0, "a", 0.1), (1, 2, 0, "b", 0.2), (1, 3, 0, "b", 0.6), (1, 4, 0, "a", 0.7), (2, 1, 0, "a", 0.7), (2, 2, 0, "b", 0.1), (2, 3, 0, "b", 0.2), (2, 4, 0, "b", 0.4), (3, 1, 0, "a", float("nan")), (3, 2, 0, "b", 0.5)]
+    for some in (rows, rows[::-1]):
+        got = {r.doc_id: r for r in recognition.source_vote(spark.createDataFrame(some, "doc_id int, page_number int, pos int, source_type string, confidence double").coalesce(1)).collect()}
+        assert [(got[d].source_type, got[d].confidence) for d in (1, 2, 3)] == [("a", 0.5), ("a", 0.5), ("b", 1.0)]
+        assert got[1].votes == {"a": 0.8, "b": 0.8}
+
+
+def test_rounding_of_scaled_values(spark):
+    df = spark.createDataFrame([(333 / 640,), (367 / 640,), (-333 / 640,), (0.5,), (None,)], "x double")
+    assert [r.y for r in df.select(numeric.scaled_round("x", 6).alias("y")).collect()] == [0.520312, 0.573438, -0.520312, 0.5, None]
+
+
 def test_routes(spark):
     rows = [("modern_print", "palm_leaf"), ("palm_leaf", "palm_leaf"), ("modern_print", "handwritten"), ("odd", None), (None, "inscription")]
     got = [(r.redo, r.route) for r in recognition.routes(spark.createDataFrame(rows, "requested string, source_type string")).collect()]
