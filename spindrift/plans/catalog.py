@@ -593,7 +593,7 @@ s as (select q.page_id as query_id, i.page_id, i.document_id, list_dot_product(i
 select query_id, page_id, document_id, rank::int as rank, round(score, 6) as score from (select *, row_number() over (partition by query_id order by score desc, page_id) as rank from s) where rank <= 4
 """)
 def similar_pages(spark, d):
-    index = fx.embeddings(spark, d)
+    index = fx.embeddings(spark, d).where("document_id is not null")
     queries = index.where("page_id % 50 = 0").select(F.col("page_id").alias("query_id"), "embedding", F.col("document_id").alias("exclude"))
     return similarity.similar(index, queries).select("query_id", "page_id", "document_id", "rank", F.round("score", 6).alias("score"))
 

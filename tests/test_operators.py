@@ -245,6 +245,50 @@ def test_search_in_blocks_gives_the_same(spark, monkeypatch):
     assert rows() == want
 
 
+def test_search_gives_what_every_pair_gives(spark, monkeypatch):
+    """Against all pairs in plain Python: copies, small tiles, zero vectors, other sizes, nulls and NaN; equal scores by id."""
+    rng = random.Random(5)
+    pool = [[rng.uniform(-1, 1) for _ in range(6)] for _ in range(20)]
+    odd = [[0.0] * 6, [0.5] * 4, [None, *[1.0] * 5], [float("nan"), *[1.0] * 5], [], [1e-200] * 6, [1e200] * 6]
+    vector = lambda: rng.choice(pool) if rng.random() < 0.5 else rng.choice(odd) if rng.random() < 0.2 else [rng.uniform(-1, 1) for _ in range(6)]
+    rows = [(f"p{i:04}", rng.choice([None, "a", "b", "c"]), None if i % 50 == 0 else vector()) for i in range(600)]
+    asked = [(i, None if i == 7 else vector(), [None, "a", "b", "", "z"][i % 5]) for i in range(60)]
+
+    def unit(v):
+        if v is None or None in v:
+            return v
+        n = 0.0
+        for x in v:
+            n += x * x
+        n = n**0.5
+        return [x / n if n > 0 or n != n else x for x in v]
+
+    def place(v, q):
+        """(0, 0) for a score that is no number, (1, -score), (2, 0) for none."""
+        if len(v) != len(q) or None in v or None in q:
+            return (2, 0.0)
+        s = 0.0
+        for x, y in zip(v, q, strict=True):
+            s += x * y
+        return (0, 0.0) if s != s else (1, -s)
+
+    units = [(i, doc, unit(v)) for i, doc, v in rows if v is not None]
+    want = {(q, r + 1): i for q, v, x in asked if v is not None for r, (_, i) in enumerate(sorted((place(u, unit(v)), i) for i, doc, u in units if not x or doc != x)[:4])}
+    index = spark.createDataFrame(rows, "page_id string, document_id string, embedding array<double>")
+    queries = spark.createDataFrame(asked, "query_id int, embedding array<double>, exclude string")
+    for block, numbers, tile in ((1 << 17, 1 << 23, 1024), (25, 1 << 23, 16), (1 << 17, 200, 1)):
+        for name, value in {"QUERY_BLOCK": block, "QUERY_NUMBERS": numbers, "TILE": tile, "FIRST_ROWS": tile, "ROWS": 4 * tile}.items():
+            monkeypatch.setattr(similarity, name, value)
+        assert {(r.query_id, r.rank): r.page_id for r in similarity.similar(index, queries).collect()} == want
+
+
+def test_search_never_makes_all_pairs(spark):
+    """Queries and rows meet inside a task, so no join makes a row of each pair."""
+    index = spark.range(300).selectExpr("id as page_id", "cast(id % 7 as string) as document_id", "array(sin(id), cos(id)) as embedding")
+    found = similarity.similar(index, index.selectExpr("page_id as query_id", "embedding", "document_id as exclude"))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 1200
+
+
 def test_page_images_crops_and_sinks(spark, tmp_path):
     from spindrift.functions import images
     from spindrift.functions.numeric import crop_box
