@@ -7,8 +7,10 @@ inside the JVM; pages are independent of each other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from spindrift.functions.numeric import line_height
 
@@ -50,3 +52,50 @@ def reading_order_by_page(lines: DataFrame, page: str = "page_id", pos: str = "p
     """(page, lines) with the whole laid-out page as one array in reading order."""
     keys = ("line_order", "region_order", pos, "x0", "y0", "x1", "y1")
     return reading_order(lines, page, pos).groupBy(page).agg(F.array_sort(F.collect_list(F.struct(*keys))).alias("lines"))
+
+
+_SIDES = ("region_x0", "region_y0", "region_x1", "region_y1")
+_PLACES = pa.list_(pa.struct([("pos", pa.int32()), ("region_order", pa.int32()), ("line_order", pa.int32()), *((c, pa.float64()) for c in _SIDES)]))
+
+
+def _rank(v: float | None) -> tuple:
+    """Sorts as Spark does: null, numbers, NaN."""
+    return (0, 0.0) if v is None else (2, 0.0) if v != v else (1, v)
+
+
+def _placed(boxes: list) -> list[tuple]:
+    """reading_order of one page's boxes, as (pos, region_order, line_order, the region's box) by line_order."""
+    sides = [tuple(b[i] if b is not None and i < len(b) else None for i in range(4)) for b in boxes]
+    if not sides:
+        return []
+    order = sorted(range(len(sides)), key=lambda i: (_rank(sides[i][1]), _rank(sides[i][0]), i))
+    heights = [1.0 if y0 is None or y1 is None else max(1.0, y1 - y0, key=_rank) for _, y0, _, y1 in sides]
+    gap = sorted(heights, key=_rank)[len(heights) // 2] * GAP_HEIGHTS
+    edges: list[float | None] = []
+    members: list[list[int]] = []
+    for i in order:
+        x0 = sides[i][0]
+        near = next((r for r, e in enumerate(edges) if x0 is not None and e is not None and (gap != gap or abs(x0 - e) <= gap)), None)
+        if near is None:
+            edges.append(x0)
+            members.append([i])
+        else:
+            edges[near] = min(edges[near], x0, key=_rank)
+            members[near].append(i)
+    made = [tuple(f((v for i in m if (v := sides[i][c]) is not None), key=_rank, default=None) for c, f in enumerate((min, min, max, max))) for m in members]
+    out = []
+    for r, at in enumerate(sorted(range(len(made)), key=lambda r: (_rank(made[r][0]), _rank(made[r][1]), r))):
+        # a region's lines came from top to bottom and left to right
+        out += [(i, r + 1, len(out) + n, *made[at]) for n, i in enumerate(members[at])]
+    return out
+
+
+@F.arrow_udf(from_arrow_type(_PLACES))
+def _places(boxes: pa.Array) -> pa.Array:
+    names = [f.name for f in _PLACES.value_type]
+    return pa.array([None if page is None else [dict(zip(names, x, strict=True)) for x in _placed(page)] for page in boxes.to_pylist()], _PLACES)
+
+
+def places(boxes: Column) -> Column:
+    """reading_order inside the row, where a page's lines stand together: array of boxes [x0, y0, x1, y1] to an array, by line_order, of struct(pos, region_order, line_order, the region's box); pos is the place among the boxes."""
+    return _places(boxes.cast("array<array<double>>"))

@@ -171,12 +171,13 @@ def classifier(factory: Callable[[], Callable[[bytes], list[float]]], labels: tu
     return lambda image: classification(F.array(*map(F.lit, labels)), probabilities(image))
 
 
-def gated(lines: DataFrame, images: DataFrame, reader, key: Column) -> DataFrame:
-    """lines plus second: the second reading of the lines that the gate picks, null for the others.
+def gated(lines: DataFrame, reader, key: Column) -> DataFrame:
+    """lines without their image, plus second: the second reading of the lines that the gate picks, null for the others.
 
-    The gate stands below the engine, so only picked lines reach it; other readings are untouched.
-    lines(line_id, page_id, confidence, bbox, language), images(page_id, image).
+    The gate stands below the engine, so only picked lines reach it; other readings are untouched.  Two
+    branches and no join: lines(confidence, bbox, language, image) should be cheap to read twice.
     """
-    picked = lines.where(needs_reread("confidence", key)).join(images, "page_id")
-    second = picked.select("line_id", reader("image", "bbox", "language").alias("second"))
-    return lines.join(second, "line_id", "left")
+    picks = needs_reread("confidence", key)
+    picked = lines.where(picks).withColumn("second", reader("image", "bbox", "language")).drop("image")
+    others = lines.where(~picks).drop("image").withColumn("second", F.lit(None).cast(picked.schema["second"].dataType))
+    return picked.unionByName(others)

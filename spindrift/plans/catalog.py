@@ -820,7 +820,9 @@ def _line_engine():
 
 
 def _recognized(spark, d):
-    held = fx.lines(spark, d).groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("pos", "ocr_text"))).alias("l"))
+    # by document, as recognize holds them, so that texts are shuffled once
+    lines = fx.lines(spark, d).select("doc_id", "page_number", "pos", "ocr_text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    held = lines.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("pos", "ocr_text"))).alias("l"))
     pages = held.select(
         "doc_id", "page_number", F.array_join(F.transform("l", lambda x: x["ocr_text"]), "\n").cast("binary").alias("image"), F.lit("ta").alias("language"),
         F.when(F.col("doc_id") % 2 == 1, "palm_leaf").otherwise(F.lit(None)).alias("requested"),

@@ -42,8 +42,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def keep(df: DataFrame) -> DataFrame:
+def keep(df: DataFrame, compression: str | None = None) -> DataFrame:
     """The rows as a Parquet table in the shared folder; compact, for what is large or read more than once."""
     path = own_folder(df.sparkSession, "tables")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def keep_together(df: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """(the rows as a Parquet table in the shared folder, its path).  Rows of a key stand in one file and Spark knows: joins and groups by it leave them where they are."""
+    spark = df.sparkSession
+    path, name, n = own_folder(spark, "tables"), f"kept_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    kept = spark.table(name)
+    spark.sql(f"drop table {name}")  # the name only; the files stay
+    spark.sparkContext._jvm.System.gc()  # what was shuffled for it goes now, not when the driver happens to collect its garbage
+    return kept, path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a kept table that nothing will read again."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -358,6 +358,43 @@ def test_recognition_with_fake_engines(spark):
         assert page[1] == (("palm_leaf low", "needs_review", 14.0, "ta4") if d == 1 else ("modern_print low", "needs_review", 12.0, "ta2"))
 
 
+def test_places_in_the_row_are_those_of_reading_order(spark):
+    rng = random.Random(11)
+    sides = [None, float("nan"), 0.0, 5.0, 30.0, 31.0, 90.0, 300.0]
+    pages = [[[rng.choice(sides if p % 2 else sides[2:]) for _ in range(4)] if rng.random() < 0.95 else None for _ in range(rng.randrange(12))] for p in range(80)]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id int, boxes array<array<double>>")
+    names = ("pos", "region_order", "line_order", "region_x0", "region_y0", "region_x1", "region_y1")
+    got = df.select("page_id", F.inline(layout.places(F.col("boxes")))).select("page_id", *names)
+    flat = df.select("page_id", F.posexplode("boxes").alias("pos", "b")).select("page_id", "pos", *(F.col("b")[i].alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))))
+    want = layout.reading_order(flat).select("page_id", *names)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == sum(map(len, pages))
+    assert df.select(layout.places(F.lit(None).cast("array<array<double>>")).alias("p")).first().p is None
+
+
+def test_recognition_moves_images_once(spark):
+    """Lines come from what was written with their places, without a shuffle; the pages as they came are gone by then."""
+    from pathlib import Path
+
+    from spindrift.storage import shared_dir
+
+    tables = Path(shared_dir(spark).removeprefix("file:")) / "tables"
+    before = set(tables.glob("*"))
+    pages = spark.createDataFrame([(d, p, bytes([d, p]), "ta", None) for d in range(1, 9) for p in range(1, d + 1)], "doc_id int, page_number int, image binary, language string, requested string")
+    classify = lambda image: F.array(F.struct(F.when(F.hex(image) == "0601", "inscription").otherwise("handwritten").alias("source_type"), F.lit(0.9).alias("confidence")))
+
+    def page_engine():
+        return lambda image, language, route: [{"text": f"{route} {i}", "confidence": 0.5 if i == image[1] else 0.99, "bbox": [0.0, 20.0 * i, 9.0, 20.0 * i + 9], "engine": "paddle"} for i in range(3)]
+
+    line = recognition.line_reader(lambda: lambda image, bbox, language: {"text": f"{image[0]}.{image[1]}", "confidence": 0.7, "engine": "tesseract"})
+    docs, lines = recognize(pages, classify, recognition.page_reader(page_engine), line)
+    assert "Exchange" not in lines._jdf.queryExecution().executedPlan().toString()
+    # the documents and the pages as they were read
+    assert len(set(tables.glob("*")) - before) == 2
+    got = lines.collect()
+    assert len(got) == 3 * 36 and all(r.second.text == f"{r.doc_id}.{r.page_number}" for r in got if r.confidence == 0.5) and {r.line_order for r in got} == {0, 1, 2}
+    assert {r.doc_id: r.source_type for r in docs.collect()} == dict.fromkeys(range(1, 9), "handwritten")
+
+
 def test_a_page_that_cannot_be_read_fails_its_document_only(spark):
     pages = spark.createDataFrame([(d, p, bytes([d, p]), "ta", "modern_print") for d in (1, 2, 3) for p in (1, 2)], "doc_id int, page_number int, image binary, language string, requested string")
 
