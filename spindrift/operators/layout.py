@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from spindrift.functions.numeric import line_height
+from spindrift.functions.text import _normal
 
 GAP_HEIGHTS = 2.5
 
@@ -54,8 +55,12 @@ def reading_order_by_page(lines: DataFrame, page: str = "page_id", pos: str = "p
     return reading_order(lines, page, pos).groupBy(page).agg(F.array_sort(F.collect_list(F.struct(*keys))).alias("lines"))
 
 
-_SIDES = ("region_x0", "region_y0", "region_x1", "region_y1")
-_PLACES = pa.list_(pa.struct([("pos", pa.int32()), ("region_order", pa.int32()), ("line_order", pa.int32()), *((c, pa.float64()) for c in _SIDES)]))
+#: Pages that are Python objects at once.
+PAGES = 256
+_PLACED = pa.list_(pa.struct([
+    ("pos", pa.int32()), ("text", pa.string()), ("confidence", pa.float64()), ("bbox", pa.list_(pa.float64())), ("engine", pa.string()),
+    ("region_order", pa.int32()), ("line_order", pa.int32()), *((c, pa.float64()) for c in ("region_x0", "region_y0", "region_x1", "region_y1")),
+]))
 
 
 def _rank(v: float | None) -> tuple:
@@ -90,12 +95,26 @@ def _placed(boxes: list) -> list[tuple]:
     return out
 
 
-@F.arrow_udf(from_arrow_type(_PLACES))
-def _places(boxes: pa.Array) -> pa.Array:
-    names = [f.name for f in _PLACES.value_type]
-    return pa.array([None if page is None else [dict(zip(names, x, strict=True)) for x in _placed(page)] for page in boxes.to_pylist()], _PLACES)
+def _finished(lines: list[dict | None] | None) -> list[tuple] | None:
+    if lines is None:
+        return None
+    kept = [(t, x["confidence"], x["bbox"], x["engine"]) for x in lines if x is not None and (t := _normal(x["text"]))]
+    return [(pos, *kept[pos], *place) for pos, *place in _placed([x[2] for x in kept])]
 
 
-def places(boxes: Column) -> Column:
-    """reading_order inside the row, where a page's lines stand together: array of boxes [x0, y0, x1, y1] to an array, by line_order, of struct(pos, region_order, line_order, the region's box); pos is the place among the boxes."""
-    return _places(boxes.cast("array<array<double>>"))
+@F.arrow_udf(from_arrow_type(_PLACED))
+def _placed_lines(lines: pa.Array) -> pa.Array:
+    names = [f.name for f in _PLACED.value_type]
+    parts = []
+    for at in range(0, len(lines), PAGES):
+        pages = map(_finished, lines[at : at + PAGES].to_pylist())
+        parts.append(pa.array([None if page is None else [dict(zip(names, x, strict=True)) for x in page] for page in pages], _PLACED))
+    return pa.concat_arrays(parts) if parts else pa.array([], _PLACED)
+
+
+def placed_lines(lines: Column) -> Column:
+    """clean_lines and reading_order inside the row, where a page's OCR lines stand together: an array by line_order.
+
+    Each has its place among the clean lines as pos, text, confidence, bbox, engine, region_order, line_order and the region's box.
+    """
+    return _placed_lines(F.transform(lines, lambda x: F.struct(*(x[f].cast(t).alias(f) for f, t in (("text", "string"), ("confidence", "double"), ("bbox", "array<double>"), ("engine", "string"))))))

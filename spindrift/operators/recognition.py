@@ -21,6 +21,8 @@ from spindrift.schema import AUDIT_RATE, DEFAULT_ROUTE, ENGRAVED, GATE, REVIEW_B
 
 #: Votes are counted in parts this small, so a sum doesn't hang on the order of pages and equal sums are equal.
 VOTE_PARTS = 10**12
+#: Pages that are Python objects at once.
+PAGES = 64
 LINE = "array<struct<text: string, confidence: double, bbox: array<double>, engine: string>>"
 
 
@@ -118,7 +120,7 @@ def page_reader(factory: Callable[[], Callable[[bytes, str, str], list[dict]]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             engine = per_worker(factory)
             kind = pa.list_(pa.struct([("text", pa.string()), ("confidence", pa.float64()), ("bbox", pa.list_(pa.float64())), ("engine", pa.string())]))
-            for batch in batches:
+            for batch in (b.slice(at, PAGES) for b in batches for at in range(0, b.num_rows, PAGES)):
                 lines, errors = [], []
                 for row in zip(batch.column("image").to_pylist(), batch.column("language").to_pylist(), batch.column("route").to_pylist(), strict=True):
                     try:

@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from spindrift.functions.numeric import sample_positions
 from spindrift.operators import layout, recognition
 from spindrift.schema import DEFAULT_ROUTE, ENGRAVED, SAMPLE_PAGES
-from spindrift.storage import discard, keep, keep_together
+from spindrift.storage import discard, keep, keep_together, small_batches
+
+#: Pages with their images that go to a Python worker at once.
+PAGES_A_BATCH = 256
 
 
 def votes(pages: DataFrame, classify: Callable[[Column], Column], sample: int = SAMPLE_PAGES) -> DataFrame:
@@ -48,18 +51,18 @@ def recognize(
         # two branches, so that other pages never reach the engine
         routed = routed.where(~F.col("route").isin(*ENGRAVED)).unionByName(routed.where(F.col("route").isin(*ENGRAVED)).withColumn("image", enhance(F.col("image"))))
     key = lambda pos: F.concat_ws("-", F.col("page_id").cast("string"), pos.cast("string"))
-    read = read_pages(routed).withColumn("lines", recognition.clean_lines(F.col("lines")))
-    again = F.array_contains(F.transform("lines", lambda x, i: recognition.needs_reread(x["confidence"], key(i))), True)
-    placed = layout.places(F.transform("lines", lambda x: x["bbox"])).alias("places")
+    read = read_pages(routed).withColumn("lines", layout.placed_lines(F.col("lines")))
+    again = F.array_contains(F.transform("lines", lambda x: recognition.needs_reread(x["confidence"], key(x["pos"]))), True)
     # engines are dear: each page is read once
-    whole = keep(read.select("doc_id", "page_number", "page_id", "language", "error", "lines", placed, F.when(again, F.col("image")).alias("image")), "zstd")
+    with small_batches(spark, PAGES_A_BATCH):
+        whole = keep(read.select("doc_id", "page_number", "page_id", "language", "error", "lines", F.when(again, F.col("image")).alias("image")), "zstd")
     discard(spark, path)
     failed = whole.where("error is not null").groupBy("doc_id").agg(F.min_by("error", "page_number").alias("error"))
     documents = documents.join(failed, "doc_id", "left").withColumn("status", F.when(F.col("error").isNotNull(), "failed").otherwise("review"))
-    flat = whole.select("doc_id", "page_number", "page_id", "language", "image", "lines", F.explode("places").alias("p")).withColumn("l", F.get("lines", F.col("p.pos")))
+    flat = whole.select("doc_id", "page_number", "page_id", "language", "image", F.explode("lines").alias("l"))
     laid = flat.select(
-        F.xxhash64("page_id", "p.pos").alias("line_id"), "page_id", "p.pos", "doc_id", "page_number", "language", "l.text", "l.confidence", "l.bbox", "l.engine",
-        *(F.get("l.bbox", F.lit(i)).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))), *(f"p.{c}" for c in ("region_x0", "region_y0", "region_x1", "region_y1", "region_order", "line_order")),
+        F.xxhash64("page_id", "l.pos").alias("line_id"), "page_id", "l.pos", "doc_id", "page_number", "language", "l.text", "l.confidence", "l.bbox", "l.engine",
+        *(F.get("l.bbox", F.lit(i)).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))), *(f"l.{c}" for c in ("region_x0", "region_y0", "region_x1", "region_y1", "region_order", "line_order")),
         recognition.review_status("l.confidence").alias("review_status"), "image",
     )
     return documents, recognition.gated(laid, read_line, key(F.col("pos")))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,3 +66,16 @@ def discard(spark: SparkSession, path: str) -> None:
     """Removes a kept table that nothing will read again."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs meanwhile sends at most so many rows at once to Python workers, for rows as large as images."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    most = int(before)
+    spark.conf.set(name, str(rows if most <= 0 else min(rows, most)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -358,17 +358,19 @@ def test_recognition_with_fake_engines(spark):
         assert page[1] == (("palm_leaf low", "needs_review", 14.0, "ta4") if d == 1 else ("modern_print low", "needs_review", 12.0, "ta2"))
 
 
-def test_places_in_the_row_are_those_of_reading_order(spark):
+def test_lines_placed_in_the_row_are_those_of_reading_order(spark):
     rng = random.Random(11)
     sides = [None, float("nan"), 0.0, 5.0, 30.0, 31.0, 90.0, 300.0]
-    pages = [[[rng.choice(sides if p % 2 else sides[2:]) for _ in range(4)] if rng.random() < 0.95 else None for _ in range(rng.randrange(12))] for p in range(80)]
-    df = spark.createDataFrame(list(enumerate(pages)), "page_id int, boxes array<array<double>>")
+    line = lambda odd: (rng.choice([" a  b", "\u200b", "c", "", None]), rng.choice([None, 0.5]), [rng.choice(sides if odd else sides[2:]) for _ in range(4)] if rng.random() < 0.95 else None, "paddle")
+    pages = [[line(p % 2) for _ in range(rng.randrange(16))] for p in range(300)]
+    df = spark.createDataFrame(list(enumerate(pages)), f"page_id int, lines {recognition.LINE}").coalesce(1)
     names = ("pos", "region_order", "line_order", "region_x0", "region_y0", "region_x1", "region_y1")
-    got = df.select("page_id", F.inline(layout.places(F.col("boxes")))).select("page_id", *names)
-    flat = df.select("page_id", F.posexplode("boxes").alias("pos", "b")).select("page_id", "pos", *(F.col("b")[i].alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))))
-    want = layout.reading_order(flat).select("page_id", *names)
-    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == sum(map(len, pages))
-    assert df.select(layout.places(F.lit(None).cast("array<array<double>>")).alias("p")).first().p is None
+    got = df.select("page_id", F.inline(layout.placed_lines(F.col("lines")))).select("page_id", "text", "confidence", "engine", "bbox", *names)
+    clean = df.select("page_id", F.posexplode(recognition.clean_lines(F.col("lines"))).alias("pos", "l")).select("page_id", "pos", "l.*")
+    flat = clean.select("*", *(F.col("bbox")[i].alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))))
+    want = layout.reading_order(flat).select("page_id", "text", "confidence", "engine", "bbox", *names)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 500
+    assert df.select(layout.placed_lines(F.lit(None).cast(recognition.LINE)).alias("p")).first().p is None
 
 
 def test_recognition_moves_images_once(spark):
